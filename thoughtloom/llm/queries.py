@@ -1,10 +1,14 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
+from .pii import op3_pii
 from .quality import op2_quality
+from .simhash import op6_simhash
 from .toxicity import op7_toxicity
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op3_pii": op3_pii,
+    "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
 }
 
