@@ -3,13 +3,17 @@
 from .pii import op3_pii
 from .quality import op2_quality
 from .simhash import op6_simhash
+from .topk import OP4_SQL, op4_topk
 from .toxicity import op7_toxicity
 
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_pii": op3_pii,
+    "op4_topk": op4_topk,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_topk": OP4_SQL,
+}
