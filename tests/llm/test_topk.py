@@ -35,7 +35,7 @@ def test_matches_brute_force(spark, monkeypatch):
 
 
 def test_large_components_stay_exact(spark):
-    rows = [(0, [3.0e13, 1.0]), (1, [2.0, 3.0]), (2, [2.0, 4.0]), (3, [-1.0, 4.0])]
+    rows = [(0, [2.0**45, 1.0]), (1, [2.0, 3.0]), (2, [2.0, 4.0]), (3, [-1.0, 4.0])]
     assert run(spark, rows, 2) == sorted(brute(rows, {0}, 2))
 
 

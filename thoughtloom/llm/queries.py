@@ -1,5 +1,6 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
+from .linededup import op5_linededup
 from .pii import op3_pii
 from .quality import op2_quality
 from .simhash import op6_simhash
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_pii": op3_pii,
     "op4_topk": op4_topk,
+    "op5_linededup": op5_linededup,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
 }
