@@ -1,5 +1,7 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
+from .chat import OP1_SQL, op1_chat
+from .licenses import OP10_SQL, op10_license
 from .linededup import op5_linededup
 from .pii import op3_pii
 from .quality import op2_quality
@@ -8,14 +10,18 @@ from .topk import OP4_SQL, op4_topk
 from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_chat": op1_chat,
     "op2_quality": op2_quality,
     "op3_pii": op3_pii,
     "op4_topk": op4_topk,
     "op5_linededup": op5_linededup,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
+    "op10_license": op10_license,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat": OP1_SQL,
     "op4_topk": OP4_SQL,
+    "op10_license": OP10_SQL,
 }
