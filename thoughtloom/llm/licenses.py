@@ -86,8 +86,8 @@ RULES = (
     ("Proprietary", ("all-rights",)),
 )
 
-#: Every known sentence has one of these words; others may be passed with other sentences.
-MARKERS = ("licens", "copyright", "rights reserved", "warranty", "redistribution", "public domain", "mpl")
+#: Every known sentence has one of these within a word; others may be passed with other sentences.
+MARKERS = ("licens", "copyright", "reserved", "warranty", "redistribution", "domain", "mpl")
 
 #: A sentence end that is not a line end, and what normalising replaces by one space.
 _END, _OTHER = r"([.!?])[ \t\r]+", r"[^\p{L}\p{N}]+"
