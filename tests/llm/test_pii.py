@@ -67,4 +67,11 @@ def test_query_digest(spark):
     got = pii.detect(docs).orderBy("doc_id").collect()
     assert [[(s.kind, s.start, s.end) for s in r.spans] for r in got] == [[("email", 2, 8)], *[[("email", 0, 6), ("phone", 7, 21)]] * 2, [], []]
     assert pii.detect(docs.limit(0)).count() == 0
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_query(spark, tmp_path):
+    spark.createDataFrame([(1, "x@y.zz +49 1234 56789"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    one, two = pii.op3_pii(spark, str(tmp_path)).orderBy("doc_id").collect()
+    digest = hashlib.sha256(b"email:0:6,phone:7:21").hexdigest()
+    assert tuple(one) == (1, 1, 0, 0, 1, digest, "email:0:6,phone:7:21")
+    assert tuple(two) == (2, 0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "")
