@@ -1,8 +1,10 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
 from .chat import OP1_SQL, op1_chat
+from .decontaminate import op9_decontaminate
 from .licenses import OP10_SQL, op10_license
 from .linededup import op5_linededup
+from .packing import op8_packing
 from .pii import op3_pii
 from .quality import op2_quality
 from .simhash import op6_simhash
@@ -17,11 +19,15 @@ QUERIES = {
     "op5_linededup": op5_linededup,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
+    "op8_packing": op8_packing,
+    "op9_decontaminate": op9_decontaminate,
     "op10_license": op10_license,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat": OP1_SQL,
     "op4_topk": OP4_SQL,
+    "op8_packing": op8_packing,
+    "op9_decontaminate": op9_decontaminate,
     "op10_license": OP10_SQL,
 }
