@@ -35,29 +35,58 @@ BUCKETS = 1 << 20
 _LINES, _HASHES, _STARTS, _KEY = "_ld_lines", "_ld_hashes", "_ld_starts", "_ld_key"
 
 
-def _with_chunks(df: DataFrame, text: str, divisor: int, solo_chars: int) -> DataFrame:
-    """Adds the lines, their hashes, and the numbers of the lines that begin a chunk."""
-    df = df.withColumn(_LINES, F.split(F.col(text), "\n", -1))
-    df = df.withColumn(_HASHES, F.transform(_LINES, lambda line: F.struct(F.xxhash64(line).alias("h"), (F.length(line) >= solo_chars).alias("solo"), F.length(line).alias("n"))))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for its row.
+
+    A column that a lambda refers to may be replaced by its whole expression when the optimiser
+    moves a filter, and would then be computed again for every element; a lambda's own variable
+    cannot be.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _line_hashes(lines: Column, solo_chars: int) -> Column:
+    return F.transform(lines, lambda line: F.struct(F.xxhash64(line).alias("h"), (F.length(line) >= solo_chars).alias("solo"), F.length(line).alias("n")))
+
+
+def _chunk_starts(hashes: Column, divisor: int) -> Column:
+    """The numbers of the lines that begin a chunk."""
 
     def begins(i: Column) -> Column:
-        here, last = F.get(_HASHES, i), F.get(_HASHES, i - 1)
-        before = F.coalesce(F.get(_HASHES, i - 2)["h"], F.lit(0).cast("long"))
+        here, last = F.get(hashes, i), F.get(hashes, i - 1)
+        before = F.coalesce(F.get(hashes, i - 2)["h"], F.lit(0).cast("long"))
         return (i == 0) | here["solo"] | last["solo"] | (F.pmod(F.xxhash64(before, last["h"]), F.lit(divisor)) == 0)
 
-    places = F.sequence(F.lit(0), F.size(_LINES) - 1)
-    return df.withColumn(_STARTS, F.filter(places, begins))
+    return F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), begins)
 
 
-def _spans() -> Column:
+def _spans(starts: Column, n_lines: Column) -> Column:
     """(start, count) of each chunk."""
-    after = lambda k: F.coalesce(F.get(_STARTS, k + 1), F.size(_LINES))
-    return F.transform(_STARTS, lambda s, k: F.struct(s.alias("start"), (after(k) - s).alias("count")))
+    after = lambda k: F.coalesce(F.get(starts, k + 1), n_lines)
+    return F.transform(starts, lambda s, k: F.struct(s.alias("start"), (after(k) - s).alias("count")))
+
+
+def _with_chunks(df: DataFrame, text: str, divisor: int, solo_chars: int) -> DataFrame:
+    """Adds the lines, their hashes, and the numbers of the lines that begin a chunk."""
+    df = df.withColumn(_LINES, F.split(F.col(text), "\n", -1))
+    df = df.withColumn(_HASHES, _line_hashes(F.col(_LINES), solo_chars))
+    return df.withColumn(_STARTS, _chunk_starts(F.col(_HASHES), divisor))
+
+
+def _without(text: Column, gone: Column, divisor: int, solo_chars: int) -> Column:
+    """A text without the chunks of the given numbers."""
+
+    def cut(lines: Column, starts: Column) -> Column:
+        kept = F.filter(_spans(starts, F.size(lines)), lambda s, k: ~F.array_contains(gone, k))
+        return F.array_join(F.flatten(F.transform(kept, lambda s: F.slice(lines, s["start"] + 1, s["count"]))), "\n")
+
+    chunked = lambda lines: _let(_line_hashes(lines, solo_chars), lambda hashes: _let(_chunk_starts(hashes, divisor), lambda starts: cut(lines, starts)))
+    return _let(F.split(text, "\n", -1), chunked)
 
 
 def _eligible(df: DataFrame, keys: list[str], solo_chars: int, text: bool) -> DataFrame:
     """A row for each chunk that is compared: ``keys``, pos, h, n and, if asked for, its text."""
-    rows = df.select(*keys, _LINES, _HASHES, F.posexplode(_spans()).alias("pos", "span"))
+    rows = df.select(*keys, _LINES, _HASHES, F.posexplode(_spans(F.col(_STARTS), F.size(_LINES))).alias("pos", "span"))
     rows = rows.where((F.col("span.count") > 1) | F.get(_HASHES, F.col("span.start"))["solo"])
     own = F.slice(_HASHES, F.col("span.start") + 1, F.col("span.count"))
     out = [*keys, "pos", F.xxhash64(F.transform(own, lambda x: x["h"])).alias("h"), F.aggregate(own, F.lit(0), lambda a, x: a + x["n"]).alias("n")]
@@ -80,13 +109,10 @@ def remove_repeated_chunks(docs: DataFrame, text: str = "text", key: str = "doc_
     copies = candidates.join(first.select("h", "n", "first", "kept"), ["h", "n"]).where((F.col("chunk") == F.col("kept")) & (place != F.col("first")))
     gone = copies.groupBy(*ids).agg(F.collect_set("pos").alias("_ld_gone")).select(F.col("_ld_id").alias("_ld_other"), F.col(_KEY).alias("_ld_hash"), "_ld_gone")
     full = docs.drop(counted).withColumn(_KEY, F.xxhash64(text)).join(gone, F.col(key).eqNullSafe(F.col("_ld_other")) & (F.col(_KEY) == F.col("_ld_hash")), "left")
-    cut = F.when(F.col("_ld_gone").isNotNull(), F.col(text))
-    work = _with_chunks(full.withColumn("_ld_text", cut), "_ld_text", divisor, solo_chars)
-    spans = F.filter(_spans(), lambda s, k: ~F.array_contains("_ld_gone", k))
-    pieces = F.flatten(F.transform(spans, lambda s: F.slice(_LINES, s["start"] + 1, s["count"])))
-    new = F.when(F.col("_ld_gone").isNull(), F.col(text)).otherwise(F.array_join(pieces, "\n"))
     names = docs.drop(counted).columns
-    return work.select(*(new.alias(c) if c == text else F.col(f"`{c}`") for c in names), F.when(F.col("_ld_gone").isNull(), 0).otherwise(F.size("_ld_gone")).alias(counted))
+    untouched = F.col("_ld_gone").isNull()
+    new = F.when(untouched, F.col(text)).otherwise(_without(F.col(text), F.col("_ld_gone"), divisor, solo_chars))
+    return full.select(*(new.alias(c) if c == text else F.col(f"`{c}`") for c in names), F.when(untouched, 0).otherwise(F.size("_ld_gone")).alias(counted))
 
 
 def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
