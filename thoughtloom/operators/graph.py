@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,17 @@ from pyspark.sql import functions as F
 HOPS = (1.0, 0.5, 0.2)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, computed once in the checkpoint folder that the cluster shares."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or f"{tempfile.gettempdir()}/graph-{uuid.uuid4().hex}")
+    return df.checkpoint()
+
+
 def build(concepts: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes of concepts that are not deleted, and the edges between them, one per pair and type."""
     nodes = concepts.where(F.col("status") != "deleted") if "status" in concepts.columns else concepts
@@ -56,18 +68,19 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 4, keep: int
     """(a, b, rank, path): up to ``keep`` of the shortest paths of at most ``most`` edges, in name order.
 
     Paths grow from all starts at once. A path that comes to a node later than another of the same
-    pair has done is not shortest and stops there, which keeps the front to shortest paths.
+    pair has done is not shortest and stops there, which keeps the front to shortest paths. Each
+    round is stored, so the plan does not grow with the rounds.
     """
     from pyspark.sql import Window
 
-    step = both_ways(edges).select(F.col("a").alias("from"), F.col("b").alias("to"))
-    starts = pairs.select("a", "b").where("a <> b").distinct()
+    step = stored(both_ways(edges).select(F.col("a").alias("from"), F.col("b").alias("to")))
+    starts = stored(pairs.select("a", "b").where("a <> b").distinct())
     front = starts.select("a", F.col("a").alias("at"), F.array("a").alias("path")).distinct()
     reached, found = front.select("a", "at"), None
     for hop in range(1, most + 1):
         grown = front.join(step, front["at"] == step["from"]).where(~F.array_contains("path", F.col("to"))).select("a", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
-        front = grown.join(reached, ["a", "at"], "left_anti")
-        reached = reached.unionByName(front.select("a", "at").distinct())
+        front = stored(grown.join(reached, ["a", "at"], "left_anti"))
+        reached = stored(reached.unionByName(front.select("a", "at").distinct()))
         hits = front.join(starts.withColumnRenamed("b", "at"), ["a", "at"]).select("a", F.col("at").alias("b"), "path")
         found = hits if found is None else found.unionByName(hits)
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.array_join("path", "\u0001")))
@@ -91,20 +104,13 @@ def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rounds grow with the logarithm of a cluster's length. Labels are written to the checkpoint
     folder every round; the driver sees a count of changes.
     """
-    spark = nodes.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or f"{tempfile.gettempdir()}/graph-{uuid.uuid4().hex}")
-    step = both_ways(edges).checkpoint()
-    label = nodes.select("slug", F.col("slug").alias("cluster")).checkpoint()
+    step = stored(both_ways(edges))
+    label = stored(nodes.select("slug", F.col("slug").alias("cluster")))
     while True:
         near = step.join(label.select(F.col("slug").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("slug")).agg(F.min("cluster").alias("near"))
         least = label.join(near, "slug", "left").select("slug", F.col("cluster").alias("old"), F.least("cluster", F.coalesce("near", "cluster")).alias("up"))
         jump = label.select(F.col("slug").alias("up"), F.col("cluster").alias("further"))
-        new = least.join(jump, "up", "left").select("slug", "old", F.least("up", F.coalesce("further", "up")).alias("cluster")).checkpoint()
+        new = stored(least.join(jump, "up", "left").select("slug", "old", F.least("up", F.coalesce("further", "up")).alias("cluster")))
         changed = new.where("old <> cluster").limit(1).count()
         label = new.select("slug", "cluster")
         if not changed:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ OPPOSITES = (("always", "sometimes"), ("never", "sometimes"), ("all", "some"), (
 def age_days(then: Column, now: Column) -> Column:
     """Days from ``then`` (timestamp or text, UTC without a zone) to ``now``; 3650 if unreadable."""
     seconds = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.try_to_timestamp(then.cast("string")))
-    return F.coalesce(F.greatest(seconds / 86_400_000_000, F.lit(0.0)), F.lit(UNKNOWN_AGE))
+    return F.when(seconds.isNull(), F.lit(UNKNOWN_AGE)).otherwise(F.greatest(seconds / 86_400_000_000, F.lit(0.0)))
 
 
 def adjusted_confidence(base: Column, age: Column, sources: Column, efold: float = EFOLD_DAYS) -> Column:
@@ -43,8 +44,6 @@ def insight_conflicts(concepts: DataFrame, whole_words: bool = True) -> DataFram
 
 def sequence_ratio(rows: DataFrame, a: str, b: str, column: str = "ratio") -> DataFrame:
     """The difflib ratio of two text columns, which no built-in function gives."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
