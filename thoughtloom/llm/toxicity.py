@@ -14,7 +14,7 @@ Words are runs of letters and digits, A-Z as a-z; their first 4, 5 and 6 bytes a
 Presence is counted once per text, so one insult in a very long text weighs as much as in a short
 one. Texts are read whole. A null or empty text has no feature and gets the score of the bias.
 Training takes at most ``max_positive`` toxic and ``max_unlabelled`` other texts, those of smallest
-id hash; scoring covers every row. Without a toxic row every score is 0.
+id hash; scoring covers every row. Without a toxic row every score is practically 0.
 """
 
 from __future__ import annotations
@@ -143,8 +143,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_posit
     """A model from documents and the labels outside the held-out fold.
 
     At most ``max_positive + max_unlabelled`` ids are sent to the executors, and as many sets of
-    features come back. Unlabelled texts are drawn from all documents of the training folds that
-    are not among the positive ones, whatever else is known of them.
+    features come back. Unlabelled texts are drawn from all documents of the training folds,
+    whatever is known of them.
     """
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg("toxic").alias("share")).head()["share"] or 0.0
@@ -152,14 +152,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_posit
     toxic = known.where("toxic = 1").orderBy(*order).limit(max_positive).select("doc_id", F.lit(1).alias("part"))
     others = docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(*order).limit(max_unlabelled)
     others = others.select("doc_id", F.lit(0).alias("part"))
-    ids = toxic.unionByName(others).groupBy("doc_id").agg(F.max("part").alias("part"))
+    # The risk asks for unlabelled texts as they come: a positive one may be among them, too.
+    ids = toxic.unionByName(others)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     sets: tuple[list, list] = ([], [])
     for r in featurise(sample, "text", "part", bits).toLocalIterator():
         sets[r["part"]].append(np.asarray(r["idx"], dtype=np.int64))
     if not sets[1] or not 0 < share < 1:
         return ToxicityModel(np.zeros(0, dtype=np.int64), np.zeros(0), -800.0, bits)
-    # A held-back positive set leaves the unlabelled texts free of those rows.
     names, weights, bias = fit_nnpu(sets[1], sets[0] or [np.zeros(0, dtype=np.int64)], share)
     return ToxicityModel(names, weights, bias, bits)
 
