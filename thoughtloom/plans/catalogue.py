@@ -388,7 +388,8 @@ def links_typed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return G.build(B.concepts(spark, d), B.links(spark, d))
+    nodes, edges = G.build(B.concepts(spark, d), B.links(spark, d))
+    return nodes, G.stored(edges)  # scored once, walked along several times
 
 
 @query(f"WITH {_concepts()} SELECT slug, name FROM concepts")
