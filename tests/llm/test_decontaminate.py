@@ -88,3 +88,11 @@ def test_empty_tables(spark):
     docs, items = frames(spark, DOCS, ITEMS)
     assert d.find_leaks(docs.limit(0), items).count() == 0
     assert d.find_leaks(docs, items.limit(0)).count() == 0
+
+
+def test_a_rejected_variant_hides_no_copy(spark):
+    far = "and now for something else that fills the space between the two, word by word, to the end. "
+    longer = ITEMS[0][1].replace("then Anna", "and then at last Anna")
+    docs = [(1, f"{DOCS[2][1]}. {far}{DOCS[0][1]}"), (2, f"{DOCS[2][1]}. {far}{longer}"), (3, f"{DOCS[2][1]}. {far}{DOCS[2][1]}")]
+    got = {(r.doc_id, r.item_id, r.exact) for r in d.find_leaks(*frames(spark, docs, ITEMS)).collect()}
+    assert got == {(1, 1, True), (2, 1, True)}

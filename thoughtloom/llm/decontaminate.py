@@ -7,7 +7,10 @@ sides and joined by hash, so a question with other numbers or names has the same
 
 A text and an item meet in the places of the item's windows. They count as the same question where
 at least ``least`` windows (or all, if the item has fewer) agree and the slots are consistent: every
-value of a slot in the item stands for one value in the text throughout. Windows with fewer than
+value of a slot in the item stands for one value in the text throughout. Both are judged for each
+alignment (place in the text less place in the item): for one shift alone, for shifts that differ
+by up to DRIFT, and for the text as a whole; the best that passes is reported, so a variant that
+does not pass hides no copy elsewhere in the text. Windows with fewer than
 ``literals`` real words carry no evidence and are left out.
 
 The benchmark decides what is compared: of the hashes of its windows the remainders modulo
@@ -26,6 +29,8 @@ from .common import checkpointed, table
 
 WINDOW, LEAST, LITERALS = 8, 6, 4
 BUCKETS = 1 << 20
+#: Words that a copy of an item may have more or less than the item and still be one alignment.
+DRIFT = 8
 #: Units that are a placeholder after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml l s ms h min hour hours minute minutes second seconds day days week weeks year years usd eur gbp dollar dollars euro euros cent cents percent degree degrees"
 
@@ -76,6 +81,13 @@ def _slots(window: int) -> Column:
     return F.transform(held, lambda i: F.element_at("_tokens", i))
 
 
+def _ways(shift: Column) -> Column:
+    """The alignments a match counts for: the whole text, its own shift, and two overlapping ranges of shifts."""
+    near = lambda offset: F.floor((shift + offset) / (2 * DRIFT)).cast("int")
+    ways = (0, F.lit(0)), (1, shift), (2, near(0)), (3, near(DRIFT))
+    return F.array(*(F.struct(F.lit(k).alias("kind"), at.cast("int").alias("at")) for k, at in ways))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = WINDOW, least: int = LEAST, literals: int = LITERALS) -> DataFrame:
     """(key, text_hash, item_key, matched, windows, exact): each item that a text holds.
 
@@ -91,16 +103,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str =
     texts = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("doc_text"))
     found = _windows(texts, ["doc", "text_hash"], "doc_text", window).join(F.broadcast(near), bucket == F.col("bucket"), "left_semi")
     found = found.select("doc", "text_hash", "pos", "h", _slots(window).alias("slots"))
-    # For each window of an item the first place in the text stands for all.
-    pairs = found.join(wanted, "h").groupBy("doc", "text_hash", "item", "item_pos", "windows").agg(F.min(F.struct("pos", "slots")).alias("at"), F.first("item_slots").alias("item_slots"))
-    pairs = pairs.groupBy("doc", "text_hash", "item", "windows").agg(F.count("*").alias("matched"), F.collect_set(F.arrays_zip("item_slots", F.col("at.slots").alias("slots"))).alias("filled"))
+    # Within an alignment the first place of each window of an item stands for all.
+    pairs = found.join(wanted, "h").withColumn("way", F.explode(_ways(F.col("pos") - F.col("item_pos"))))
+    pairs = pairs.groupBy("doc", "text_hash", "item", "item_pos", "windows", "way").agg(F.min(F.struct("pos", "slots")).alias("at"), F.first("item_slots").alias("item_slots"))
+    pairs = pairs.groupBy("doc", "text_hash", "item", "windows", "way").agg(F.count("*").alias("matched"), F.collect_set(F.arrays_zip("item_slots", F.col("at.slots").alias("slots"))).alias("filled"))
     filled = F.array_distinct(F.flatten("filled"))
     pairs = pairs.where(F.col("matched") >= F.least(F.lit(least), "windows")).withColumn("filled", filled)
     values = F.array_distinct(F.transform("filled", lambda x: x["item_slots"]))
     pairs = pairs.where(F.size(values) == F.size("filled"))
     exact = F.forall("filled", lambda x: x["item_slots"] == x["slots"])
-    return pairs.select(F.col("doc").alias(key), "text_hash", F.col("item").alias(item_key), "matched", "windows", exact.alias("exact"))
-
+    best = pairs.groupBy("doc", "text_hash", "item", "windows").agg(F.max(F.struct("matched", exact.alias("exact"))).alias("best"))
+    return best.select(F.col("doc").alias(key), "text_hash", F.col("item").alias(item_key), "best.matched", "windows", "best.exact")
 
 
 
