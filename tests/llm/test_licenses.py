@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from thoughtloom.llm import licenses
 
@@ -43,3 +44,20 @@ def test_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_rule_in_a_wrapped_header(spark):
+    wordings, rows, wanted = dict(licenses.SENTENCES), [], set()
+    for k, (lic, seq) in enumerate(licenses.RULES):
+        for j, (width, sign) in enumerate([(30, "# "), (60, " * "), (72, ""), (10_000, "// ")]):
+            lines = [line for s in seq for line in textwrap.wrap(wordings[s], width, break_long_words=False, break_on_hyphens=False)]
+            rows.append((10 * k + j, f"Some text before.\n\n{sign}" + f"\n{sign}".join(lines) + "\n\nAnd after it.\n"))
+            wanted.add((10 * k + j, lic))
+    got = {(r.doc_id, r.license) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.position == 2}
+    assert wanted - got == set()
+
+
+def test_the_apache_header_as_files_have_it(spark):
+    text = '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in\n# compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n'
+    got = [tuple(r) for r in licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()]
+    assert got == [(1, "Apache-2.0", 0, "apache-grant apache-use apache-copy")]

@@ -1,11 +1,13 @@
 """Licence scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences at line ends and after ".", "!" or "?" followed by white space. A
-sentence is normalised (lower case; all that is neither letter nor digit is one space) and looked
-up in a table of known licence sentences. The identifiers found in a text, in order, are matched
-against rules, which are ordered sequences of identifiers: a rule matches where its identifiers
-stand one after the other among those found. Of rules that begin at the same place only the longest
-is reported, so a complete licence text is not also reported as its first sentence.
+A text is cut into pieces at line ends and after ".", "!" or "?" followed by white space. Pieces are
+normalised (lower case; all that is neither letter nor digit is one space). A known licence sentence
+is found where it begins with a piece and ends with the same or a later one, so sentences that are
+wrapped, with or without comment signs, or hold an abbreviation are found too; a comment sign
+made of letters is a word and breaks a wrapped sentence. The identifiers found in a text are matched
+against rules, which are ordered sequences of identifiers: a rule matches where each next identifier
+is that of a sentence found first after the end of the last. Of rules that begin at the same place
+only the longest is reported, so a complete licence text is not also reported as its first sentence.
 
 Sentences of both tables are few and their number is fixed by this file (or by what the caller
 passes, which is checked against ``MAX_SENTENCES`` and ``MAX_RULES``), so both are broadcast. A text
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .linededup import _let
 
 MAX_SENTENCES, MAX_RULES = 5000, 2000
 
@@ -91,14 +94,30 @@ MARKERS = ("licens", "copyright", "reserved", "warranty", "redistribution", "dom
 
 #: A sentence end that is not a line end, and what normalising replaces by one space.
 _END, _OTHER = r"([.!?])[ \t\r]+", r"[^\p{L}\p{N}]+"
+#: The same within a text whose pieces are lines.
+_OTHER_INSIDE = r"[^\p{L}\p{N}\n]+"
 
 
 def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), _OTHER, " "))
 
 
-def sentences(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, _END, "$1\n"), "\n", -1)
+def _pieces(text: Column) -> Column:
+    """(position, norm) of each piece that has a word."""
+    cut = F.regexp_replace(F.lower(F.regexp_replace(text, _END, "$1\n")), _OTHER_INSIDE, " ")
+    parts = F.transform(F.split(cut, "\n", -1), lambda x, i: F.struct(i.alias("position"), F.trim(x).alias("norm")))
+    return F.filter(parts, lambda x: x["norm"] != "")
+
+
+def _begun(pieces: Column, heads: list[str], most: int) -> Column:
+    """(position, head, rest) of each piece that begins with a known first word; rest has ``most`` pieces, as lines."""
+    known = F.array(*(F.lit(x) for x in heads))
+    head = lambda x: F.substring_index(x["norm"], " ", 1)
+    numbered = F.transform(pieces, lambda x, i: F.struct(x["position"].alias("position"), head(x).alias("head"), i.alias("i")))
+    begun = F.filter(numbered, lambda x: F.array_contains(known, x["head"]))
+    rest = lambda x: F.array_join(F.transform(F.slice(pieces, x["i"] + 1, F.lit(most)), lambda y: y["norm"]), "\n")
+    ends = lambda x: F.transform(F.slice(pieces, x["i"] + 1, F.lit(most)), lambda y: y["position"])
+    return F.transform(begun, lambda x: F.struct(x["position"].alias("position"), x["head"].alias("head"), rest(x).alias("rest"), ends(x).alias("ends")))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", known=SENTENCES, rules=RULES, markers=MARKERS) -> DataFrame:
@@ -110,24 +129,38 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", know
         raise ValueError("too many sentences or rules to send to every task")
     spark = docs.sparkSession
     lookup = spark.createDataFrame([(i, s) for i, s in known], "sid string, wording string")
-    lookup = F.broadcast(lookup.select("sid", normalised(F.col("wording")).alias("norm")).groupBy("norm").agg(F.min("sid").alias("sid")))
+    lookup = lookup.select("sid", normalised(F.col("wording")).alias("norm")).groupBy("norm").agg(F.min("sid").alias("sid"))
+    lookup = lookup.where("norm <> ''").withColumn("head", F.substring_index("norm", " ", 1))
+    listed = lookup.select("head", "norm").collect()
+    heads, most = sorted({r["head"] for r in listed}), max((r["norm"].count(" ") + 1 for r in listed), default=1)
     low = F.lower(F.col(text))
     wanted = F.lit(False)
     for m in markers:
         wanted = wanted | low.contains(m)
     row = F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("text"), F.length(text).alias("n"))
-    parts = docs.where(wanted).select(row.alias("doc"), F.posexplode(sentences(F.col(text))).alias("position", "sentence"))
-    low_part, marked = F.lower(F.col("sentence")), F.lit(False)
-    for m in markers:
-        marked = marked | low_part.contains(m)
-    found = parts.where(marked).withColumn("norm", normalised(F.col("sentence"))).join(lookup, "norm").select("doc", "position", "sid")
+    begun = _let(_pieces(F.col(text)), lambda pieces: _begun(pieces, heads, most))
+    parts = docs.where(wanted).select(row.alias("doc"), F.explode(begun).alias("part")).select("doc", "part.*")
+    # A sentence is found where it ends with a piece too: there the rest ends or has a line end.
+    tried = parts.join(F.broadcast(lookup), "head").where(F.translate("rest", "\n", " ").startswith(F.col("norm")))
+    after = F.substring(F.col("rest"), F.length("norm") + 1, F.lit(1))
+    within = F.substring(F.col("rest"), F.lit(1), F.length("norm"))
+    end = F.element_at("ends", F.length("within") - F.length(F.translate("within", "\n", "")) + 1)
+    found = tried.where((after == "") | (after == "\n")).withColumn("within", within).select("doc", "position", "sid", end.alias("end"))
     # Rows repeated with the same id and text fall together here, and are counted.
-    listed = found.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("position", "sid"))).alias("ids"), F.count("*").alias("all"))
-    started = listed.select("doc", "ids", F.expr("cast(all / size(ids) as int)").alias("copies"), F.posexplode("ids").alias("at", "head"))
+    listed = found.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("position", "sid", "end"))).alias("ids"), F.count("*").alias("all"))
+    started = listed.select("doc", "ids", F.expr("cast(all / size(ids) as int)").alias("copies"), F.explode("ids").alias("head"))
     table_ = spark.createDataFrame([(lic, list(seq), seq[0]) for lic, seq in rules], "license string, seq array<string>, sid string")
     tried = started.join(F.broadcast(table_), F.col("head.sid") == F.col("sid"))
-    here = F.transform(F.slice("ids", F.col("at") + 1, F.size("seq")), lambda x: x["sid"])
-    best = tried.where(here == F.col("seq")).groupBy("doc", "at").agg(F.max_by(F.struct("license", "seq", "head", "copies"), F.struct(F.size("seq"), F.col("license"))).alias("m"))
+
+    def step(end: Column, sid: Column) -> Column:
+        """The end of the next sentence found, if it is ``sid``; else null."""
+        later = F.filter("ids", lambda x: x["position"] > end)
+        fit = F.filter(later, lambda x: (x["position"] == F.get(later, F.lit(0))["position"]) & (x["sid"] == sid))
+        return F.get(fit, F.lit(0))["end"]
+
+    through = F.aggregate(F.slice("seq", 2, F.size("seq")), F.col("head.end"), step)
+    order = F.struct(F.size("seq"), F.col("license"), F.array_join("seq", " "))
+    best = tried.where(through.isNotNull()).groupBy("doc", F.col("head.position").alias("at")).agg(F.max_by(F.struct("license", "seq", "head", "copies"), order).alias("m"))
     best = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m.copies"))))
     return best.select(F.col("doc.id").alias(key), F.col("m.license").alias("license"), F.col("m.head.position").alias("position"), F.array_join("m.seq", " ").alias("matched"))
 
