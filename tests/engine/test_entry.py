@@ -18,3 +18,7 @@ def test_the_rest_works_without_the_llm_subpackage(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(sorted(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, check=True).stdout
     assert "keyword_topk" in said and "op1_" not in said and "pipeline" not in said
+
+
+def test_sql_is_text():
+    assert all(isinstance(x, str) for x in entry.oracle_sql().values())

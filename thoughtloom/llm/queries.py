@@ -27,7 +27,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_chat": OP1_SQL,
     "op4_topk": OP4_SQL,
-    "op8_packing": op8_packing,
-    "op9_decontaminate": op9_decontaminate,
     "op10_license": OP10_SQL,
 }
