@@ -96,3 +96,10 @@ def test_a_rejected_variant_hides_no_copy(spark):
     docs = [(1, f"{DOCS[2][1]}. {far}{DOCS[0][1]}"), (2, f"{DOCS[2][1]}. {far}{longer}"), (3, f"{DOCS[2][1]}. {far}{DOCS[2][1]}")]
     got = {(r.doc_id, r.item_id, r.exact) for r in d.find_leaks(*frames(spark, docs, ITEMS)).collect()}
     assert got == {(1, 1, True), (2, 1, True)}
+
+
+def test_names_that_begin_a_sentence(spark):
+    item = "Anna has 12 apples. Anna gives 5 to Ben. How many apples does Anna have left?"
+    docs = [(1, item.replace("Anna", "Maria")), (2, f'He said: "{item}"'), (3, "3 Maria has 12 apples. Anna gives 5 to Ben. How many apples does Anna have left?")]
+    got = {(r.doc_id, r.exact) for r in d.find_leaks(*frames(spark, docs, [(1, item)])).collect()}
+    assert got == {(1, False), (2, True)}

@@ -16,7 +16,10 @@ does not pass hides no copy elsewhere in the text. Windows with fewer than
 The benchmark decides what is compared: of the hashes of its windows the remainders modulo
 ``BUCKETS`` are broadcast, at most BUCKETS numbers however large it is, and text windows outside
 them end in the scan. Only the others are joined by their full hash. Equal items are one, under the
-smallest id. Items shorter than a window are never found. Null or empty texts and items match
+smallest id. Items without a window that carries evidence (shorter than one, or mostly numbers,
+units and names) are found where a text holds all their words, with the same values. A capitalised
+word elsewhere (at the start of a sentence, after a digit, quote or bracket) may be a name or not:
+windows over it are hashed in both forms. Null or empty texts and items match
 nothing; rows repeated with the same id and text are one. Null ids are kept.
 """
 
@@ -37,12 +40,15 @@ UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml l s ms h min hour hours minut
 #: Marks a name; it is no character of texts, and counts as a letter of its word.
 _NAME = "\u0001"
 _NAMES = r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})"
+#: Marks any other capitalised word: a name, or a word that begins a sentence.
+_MAYBE = "\u0002"
+_MAYBES = r"(?<![\p{L}\p{N}\u0001])(?=\p{Lu}\p{Ll})"
 #: All that separates tokens: signs, but no point or comma between digits.
-_BETWEEN = r"(?:[^\p{L}\p{N}\u0001.,]|[.,](?!\p{N})|(?<!\p{N})[.,])+"
+_BETWEEN = r"(?:[^\p{L}\p{N}\u0001\u0002.,]|[.,](?!\p{N})|(?<!\p{N})[.,])+"
 
 
 def _tokens(text: Column) -> Column:
-    marked = F.regexp_replace(text, _NAMES, _NAME)
+    marked = F.regexp_replace(F.regexp_replace(text, _NAMES, _NAME), _MAYBES, _MAYBE)
     return F.split(F.trim(F.regexp_replace(F.lower(marked), _BETWEEN, " ")), " ", -1)
 
 
@@ -63,22 +69,72 @@ def _hashes(tokens: Column) -> Column:
 
 
 def _windows(rows: DataFrame, keys: list[str], text: str, window: int) -> DataFrame:
-    """A row for each window: keys, pos, h, and the tokens and hashes of the whole text."""
-    rows = rows.select(*keys, _tokens(F.col(text)).alias("_tokens"))
-    rows = rows.select(*keys, "_tokens", _hashes(F.col("_tokens")).alias("_hashes"))
+    """A row for each window and form: keys, pos, h, form, and the tokens and hashes of the whole text.
+
+    In form 1 each capitalised word is a name; its windows are there where they differ from form 0.
+    """
+    rows = rows.select(*keys, _tokens(F.col(text)).alias("_marked"))
+    rows = rows.select(*keys, "_marked", F.transform("_marked", lambda t: F.when(F.ascii(t) == 2, F.substr(t, F.lit(2))).otherwise(t)).alias("_tokens"))
+    rows = rows.select(*keys, "_marked", "_tokens", _hashes(F.col("_tokens")).alias("_hashes"))
+    named = F.zip_with("_marked", "_hashes", lambda t, h: F.when((F.ascii(t) == 2) & ~h.between(1, 3), F.lit(1).cast("long")).otherwise(h))
+    rows = rows.select(*keys, "_tokens", "_hashes", named.alias("_named"))
     starts = F.sequence(F.lit(1), F.size("_hashes") - (window - 1))
-    hashed = F.transform(starts, lambda i: F.xxhash64(*(F.element_at("_hashes", i + k) for k in range(window))))
-    hashed = F.when(F.size("_hashes") >= window, hashed)
-    rows = rows.select(*keys, "_tokens", "_hashes", hashed.alias("_windows"))
+    of = lambda name, i: F.xxhash64(*(F.element_at(name, i + k) for k in range(window)))
+    hashed = F.when(F.size("_hashes") >= window, F.transform(starts, lambda i: of("_hashes", i)))
+    other = F.when((F.size("_hashes") >= window) & (F.col("_hashes") != F.col("_named")), F.transform(starts, lambda i: of("_named", i)))
+    rows = rows.select(*keys, "_tokens", "_hashes", "_named", hashed.alias("_windows"), other.alias("_others"))
+    other = F.zip_with("_windows", "_others", lambda a, b: F.when(a != b, b))
+    rows = rows.select(*keys, "_tokens", "_hashes", "_named", F.size("_windows").alias("_n"), F.coalesce(F.concat("_windows", other), "_windows").alias("_windows"))
     # The outer form keeps the optimiser from testing the whole expression once more below.
-    return rows.select(*keys, "_tokens", "_hashes", F.posexplode_outer("_windows").alias("pos", "h"))
+    rows = rows.select(*keys, "_tokens", "_hashes", "_named", "_n", F.posexplode_outer("_windows").alias("_at", "h"))
+    form = (F.col("_at") >= F.col("_n")).cast("int")
+    return rows.select(*keys, "_tokens", "_hashes", "_named", (F.col("_at") - form * F.col("_n")).alias("pos"), form.alias("form"), "h")
+
+
+def _kind(i: Column) -> Column:
+    return F.when(F.col("form") == 1, F.element_at("_named", i)).otherwise(F.element_at("_hashes", i))
 
 
 def _slots(window: int) -> Column:
     """The values of the placeholders of the window at ``pos``."""
     places = F.sequence(F.col("pos") + 1, F.col("pos") + window)
-    held = F.filter(places, lambda i: F.element_at("_hashes", i).between(1, 3))
-    return F.transform(held, lambda i: F.element_at("_tokens", i))
+    held = F.filter(places, lambda i: _kind(i).between(1, 3))
+
+    def value(i: Column) -> Column:
+        token = F.element_at("_tokens", i)
+        return F.when((_kind(i) == 1) & (F.ascii(token) != 1), F.concat(F.lit(_NAME), token)).otherwise(token)
+
+    return F.transform(held, value)
+
+
+def _verbatim(texts: DataFrame, items: DataFrame, window: int) -> DataFrame | None:
+    """(doc, text_hash, item): each item whose whole sequence of words a text holds; None without items.
+
+    The first words of an item, up to ``window``, are looked up by hash, then all are compared.
+    """
+    plain = lambda text: F.split(F.trim(F.regexp_replace(F.lower(text), _BETWEEN, " ")), " ", -1)
+    short = items.select("item", plain(F.col("item_text")).alias("words")).where(F.col("words")[0] != "")
+    short = checkpointed(short.withColumn("many", F.least(F.size("words"), F.lit(window))))
+    lengths = sorted(r[0] for r in short.select("many").distinct().collect())
+    if not lengths:
+        return None
+    longest = short.agg(F.max(F.size("words"))).head()[0]
+    hash_of = lambda i, many: F.xxhash64(F.lit(many), *(F.element_at("words", i + k) for k in range(many)))
+    starts = lambda many: F.when(F.size("words") >= many, F.sequence(F.lit(1), F.size("words") - (many - 1))).otherwise(F.array().cast("array<int>"))
+    placed = lambda many: F.transform(starts(many), lambda i: F.struct(i.alias("start"), hash_of(i, many).alias("h")))
+    at = F.concat(*(placed(many) for many in lengths))
+    rows = texts.select("doc", "text_hash", plain(F.col("doc_text")).alias("words"))
+    rows = rows.select("doc", "text_hash", "words", at.alias("at"))
+    rows = rows.select("doc", "text_hash", "words", F.explode_outer("at").alias("at")).select("doc", "text_hash", "words", "at.*")
+    first = F.lit(None).cast("long")
+    for m in lengths:
+        first = F.when(F.col("many") == m, hash_of(F.lit(1), m)).otherwise(first)
+    wanted = short.select("item", F.col("words").alias("item_words"), first.alias("h"))
+    bucket = F.pmod("h", F.lit(BUCKETS)).cast("int")
+    near = wanted.select(bucket.alias("bucket")).distinct()
+    rows = rows.join(F.broadcast(near), bucket == F.col("bucket"), "left_semi").select("doc", "text_hash", "h", F.slice("words", F.col("start"), F.lit(longest)).alias("rest"))
+    same = rows.join(wanted, "h").where(F.slice("rest", F.lit(1), F.size("item_words")) == F.col("item_words"))
+    return same.select("doc", "text_hash", "item").distinct()
 
 
 def _ways(shift: Column) -> Column:
@@ -95,25 +151,31 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str =
     """
     held = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("item_text")).where("item_text is not null").groupBy("item_text").agg(F.min("item").alias("item"))
     wanted = _windows(held, ["item"], "item_text", window)
-    real = F.size(F.filter(F.slice("_hashes", F.col("pos") + 1, window), lambda x: ~x.between(1, 3)))
-    wanted = wanted.where(real >= literals).select("item", F.col("pos").alias("item_pos"), "h", _slots(window).alias("item_slots"))
-    wanted = checkpointed(wanted.withColumn("windows", F.count("*").over(Window.partitionBy("item"))))
+    held_by = F.when(F.col("form") == 1, F.col("_named")).otherwise(F.col("_hashes"))
+    real = F.size(F.filter(F.slice(held_by, F.col("pos") + 1, window), lambda x: ~x.between(1, 3)))
+    wanted = wanted.where(F.col("h").isNotNull() & (real >= literals)).select("item", F.col("pos").alias("item_pos"), "form", "h", _slots(window).alias("item_slots"))
+    # A window of form 1 has at most the real words of form 0, which so has all that count.
+    wanted = checkpointed(wanted.withColumn("windows", F.sum(1 - F.col("form")).over(Window.partitionBy("item"))).drop("form"))
+    texts = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("doc_text"))
+    whole = _verbatim(texts, held.join(wanted.select("item").distinct(), "item", "left_anti"), window)
     bucket = F.pmod("h", F.lit(BUCKETS)).cast("int").alias("bucket")
     near = wanted.select(bucket).distinct()
-    texts = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("doc_text"))
     found = _windows(texts, ["doc", "text_hash"], "doc_text", window).join(F.broadcast(near), bucket == F.col("bucket"), "left_semi")
     found = found.select("doc", "text_hash", "pos", "h", _slots(window).alias("slots"))
     # Within an alignment the first place of each window of an item stands for all.
     pairs = found.join(wanted, "h").withColumn("way", F.explode(_ways(F.col("pos") - F.col("item_pos"))))
-    pairs = pairs.groupBy("doc", "text_hash", "item", "item_pos", "windows", "way").agg(F.min(F.struct("pos", "slots")).alias("at"), F.first("item_slots").alias("item_slots"))
-    pairs = pairs.groupBy("doc", "text_hash", "item", "windows", "way").agg(F.count("*").alias("matched"), F.collect_set(F.arrays_zip("item_slots", F.col("at.slots").alias("slots"))).alias("filled"))
+    pairs = pairs.groupBy("doc", "text_hash", "item", "item_pos", "windows", "way").agg(F.min(F.struct("pos", "slots", "item_slots")).alias("at"))
+    pairs = pairs.groupBy("doc", "text_hash", "item", "windows", "way").agg(F.count("*").alias("matched"), F.collect_set(F.arrays_zip(F.col("at.item_slots").alias("item_slots"), F.col("at.slots").alias("slots"))).alias("filled"))
     filled = F.array_distinct(F.flatten("filled"))
     pairs = pairs.where(F.col("matched") >= F.least(F.lit(least), "windows")).withColumn("filled", filled)
     values = F.array_distinct(F.transform("filled", lambda x: x["item_slots"]))
     pairs = pairs.where(F.size(values) == F.size("filled"))
     exact = F.forall("filled", lambda x: x["item_slots"] == x["slots"])
     best = pairs.groupBy("doc", "text_hash", "item", "windows").agg(F.max(F.struct("matched", exact.alias("exact"))).alias("best"))
-    return best.select(F.col("doc").alias(key), "text_hash", F.col("item").alias(item_key), "best.matched", "windows", "best.exact")
+    best = best.select("doc", "text_hash", "item", "best.matched", "windows", "best.exact")
+    if whole is not None:
+        best = best.unionByName(whole.select("*", F.lit(1).cast("long").alias("matched"), F.lit(1).cast("long").alias("windows"), F.lit(True).alias("exact")))
+    return best.select(F.col("doc").alias(key), "text_hash", F.col("item").alias(item_key), "matched", "windows", "exact")
 
 
 
