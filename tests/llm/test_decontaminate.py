@@ -103,3 +103,10 @@ def test_names_that_begin_a_sentence(spark):
     docs = [(1, item.replace("Anna", "Maria")), (2, f'He said: "{item}"'), (3, "3 Maria has 12 apples. Anna gives 5 to Ben. How many apples does Anna have left?")]
     got = {(r.doc_id, r.exact) for r in d.find_leaks(*frames(spark, docs, [(1, item)])).collect()}
     assert got == {(1, False), (2, True)}
+
+
+def test_items_without_a_window_are_found_as_they_are(spark):
+    items = [(1, "Who wrote Faust?"), (2, "12 km + 7 km - 3 km * 2 km = 4,5 km"), (3, "12 km + 7 km - 3 km * 2 km = 8 km"), (4, ""), (5, "?")]
+    docs = [(1, "He asked: who wrote  Faust, and when?"), (2, "Who wrote it? Faust?"), (3, "so " + items[1][1] + " it is"), (4, ""), (5, None), (6, "Faust"), (7, "Who wrote Faust")]
+    got = {(r.doc_id, r.item_id) for r in d.find_leaks(*frames(spark, docs, items)).collect()}
+    assert got == {(1, 1), (3, 2), (7, 1)}
