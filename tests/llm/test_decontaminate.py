@@ -67,7 +67,7 @@ DOCS = [
 
 
 def frames(spark, docs, items):
-    return spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item", "2 as pos", "3 as h", "'b' as bucket"), spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as h")
+    return spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item", "2 as pos", "3 as h", "'b' as mark", "4 as other", "5 as other_mark", "6 as sieve_bits"), spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as h")
 
 
 def test_matches_brute_force(spark):
@@ -77,6 +77,12 @@ def test_matches_brute_force(spark):
     assert {r[0]: r[4] for r in got}[11] is False
 
 
+def test_a_large_benchmark_finds_the_same(spark, monkeypatch):
+    monkeypatch.setattr(d, "SENT", 3)
+    got = sorted((tuple(r) for r in d.find_leaks(*frames(spark, DOCS, ITEMS)).drop("text_hash").collect()), key=repr)
+    assert got == brute(DOCS, ITEMS)
+
+
 def test_leaks_are_removed(spark):
     docs, items = frames(spark, DOCS, ITEMS)
     left = d.remove_leaks(docs, items)

@@ -13,10 +13,10 @@ by up to DRIFT, and for the text as a whole; the best that passes is reported, s
 does not pass hides no copy elsewhere in the text. Windows with fewer than
 ``literals`` real words carry no evidence and are left out.
 
-The benchmark decides what is compared: of the hashes of its windows the remainders modulo
-``BUCKETS`` are broadcast, at most BUCKETS numbers however large it is, and text windows outside
-them end in the scan. Only the others are joined by their full hash. Equal items are one, under the
-smallest id. Items without a window that carries evidence (shorter than one, or mostly numbers,
+The benchmark decides what is compared. Up to SENT windows of it are sent to every task, and texts
+without any of them end in the scan; of a larger benchmark a sieve of bounded size is sent, and only
+text windows that pass it are joined by their full hash. Results do not depend on which way is
+taken. Equal items are one, under the smallest id. Items without a window that carries evidence (shorter than one, or mostly numbers,
 units and names) are found where a text holds all their words, with the same values. A capitalised
 word elsewhere (at the start of a sentence, after a digit, quote or bracket) may be a name or not:
 windows over it are hashed in both forms. Null or empty texts and items match
@@ -28,83 +28,83 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, fresh, sieve, sifted, table
+from .linededup import _let
 
 WINDOW, LEAST, LITERALS = 8, 6, 4
-BUCKETS = 1 << 20
+#: A benchmark of at most so many windows is sent to every task.
+SENT = 1 << 16
 #: Words that a copy of an item may have more or less than the item and still be one alignment.
 DRIFT = 8
 #: Units that are a placeholder after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb ml l s ms h min hour hours minute minutes second seconds day days week weeks year years usd eur gbp dollar dollars euro euros cent cents percent degree degrees"
 
-#: Marks a name; it is no character of texts, and counts as a letter of its word.
-_NAME = "\u0001"
-_NAMES = r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})"
-#: Marks any other capitalised word: a name, or a word that begins a sentence.
-_MAYBE = "\u0002"
-_MAYBES = r"(?<![\p{L}\p{N}\u0001])(?=\p{Lu}\p{Ll})"
-#: All that separates tokens: signs, but no point or comma between digits.
-_BETWEEN = r"(?:[^\p{L}\p{N}\u0001\u0002.,]|[.,](?!\p{N})|(?<!\p{N})[.,])+"
+#: What separates words: all but letters, digits and signs that follow them. Signs stay with the word before
+#: them (and within numbers), since they tell what begins a sentence; signs that stand alone are no words.
+_SIGNS = ".,;:!?"
+_BETWEEN = r"[^\p{L}\p{N}.,;:!?]+(?:[.,;:!?]+(?![\p{L}\p{N}])[^\p{L}\p{N}.,;:!?]*)*+"
+#: A word that may be a name, and the end of a word after which it is one.
+_CAPITAL, _GOES_ON = r"^\p{Lu}\p{Ll}", r"[\p{Ll},;]$"
+#: Codes of placeholders.
+_IS_NAME, _IS_NUMBER, _IS_UNIT = 2, 4, 6
 
 
 def _tokens(text: Column) -> Column:
-    marked = F.regexp_replace(F.regexp_replace(text, _NAMES, _NAME), _MAYBES, _MAYBE)
-    return F.split(F.trim(F.regexp_replace(F.lower(marked), _BETWEEN, " ")), " ", -1)
+    return F.array_remove(F.split(text, _BETWEEN, -1), "")
+
+
+def _word(token: Column) -> Column:
+    return F.lower(F.trim(token, F.lit(_SIGNS)))
 
 
 def _is_number(token: Column) -> Column:
-    return F.ascii(token).between(48, 57)
+    return (F.ascii(token) < 58) & (F.ascii(token) > 47)
 
 
-def _hashes(tokens: Column) -> Column:
-    """The hash of each token; placeholders have fixed ones: 1 for names, 2 numbers, 3 units."""
+def _codes(tokens: Column) -> Column:
+    """A number for each token: for placeholders that of their kind, else even, or odd for a word that may be a name."""
     units = F.array(*(F.lit(u) for u in UNITS.split()))
+    number, name, unit = (F.lit(x).cast("long") for x in (_IS_NUMBER, _IS_NAME, _IS_UNIT))
 
     def one(token: Column, i: Column) -> Column:
-        code = F.ascii(token)
-        unit = (i > 0) & _is_number(F.get(tokens, i - 1)) & F.array_contains(units, token)
-        return F.when(code == 1, F.lit(1)).when(code.between(48, 57), F.lit(2)).when(unit, F.lit(3)).otherwise(F.xxhash64(token)).cast("long")
+        before = F.coalesce(F.get(tokens, i - 1), F.lit(""))
+        code = F.xxhash64(_word(token)).bitwiseAND(F.lit(-2))
+        plain = F.when(_is_number(before) & F.array_contains(units, _word(token)), unit).otherwise(code)
+        first = F.ascii(token)
+        return (
+            F.when((first > 96) & (first < 123), plain)  # most words: all else is then not looked at
+            .when(_is_number(token), number)
+            .when(token.rlike(_CAPITAL), F.when(before.rlike(_GOES_ON), name).otherwise(code.bitwiseOR(F.lit(1))))
+            .otherwise(plain)
+        )
 
     return F.transform(tokens, one)
 
 
-def _windows(rows: DataFrame, keys: list[str], text: str, window: int) -> DataFrame:
-    """A row for each window and form: keys, pos, h, form, and the tokens and hashes of the whole text.
+def _windows(rows: DataFrame, keys: list[str], text: str, window: int, known: list[int] | None = None) -> DataFrame:
+    """A row for each window and form: keys, pos, form, h, and its slots, null for words that are none.
 
     In form 1 each capitalised word is a name; its windows are there where they differ from form 0.
+    With ``known`` only windows of these hashes. Tokens are read by lambda functions once for a text;
+    windows are plain expressions over its arrays, in generated code.
     """
-    rows = rows.select(*keys, _tokens(F.col(text)).alias("_marked"))
-    rows = rows.select(*keys, "_marked", F.transform("_marked", lambda t: F.when(F.ascii(t) == 2, F.substr(t, F.lit(2))).otherwise(t)).alias("_tokens"))
-    rows = rows.select(*keys, "_marked", "_tokens", _hashes(F.col("_tokens")).alias("_hashes"))
-    named = F.zip_with("_marked", "_hashes", lambda t, h: F.when((F.ascii(t) == 2) & ~h.between(1, 3), F.lit(1).cast("long")).otherwise(h))
-    rows = rows.select(*keys, "_tokens", "_hashes", named.alias("_named"))
-    starts = F.sequence(F.lit(1), F.size("_hashes") - (window - 1))
-    of = lambda name, i: F.xxhash64(*(F.element_at(name, i + k) for k in range(window)))
-    hashed = F.when(F.size("_hashes") >= window, F.transform(starts, lambda i: of("_hashes", i)))
-    other = F.when((F.size("_hashes") >= window) & (F.col("_hashes") != F.col("_named")), F.transform(starts, lambda i: of("_named", i)))
-    rows = rows.select(*keys, "_tokens", "_hashes", "_named", hashed.alias("_windows"), other.alias("_others"))
-    other = F.zip_with("_windows", "_others", lambda a, b: F.when(a != b, b))
-    rows = rows.select(*keys, "_tokens", "_hashes", "_named", F.size("_windows").alias("_n"), F.coalesce(F.concat("_windows", other), "_windows").alias("_windows"))
+    read = _let(_tokens(F.col(text)), lambda tokens: F.struct(tokens.alias("tokens"), _codes(tokens).alias("codes")))
+    rows = rows.select(*keys, read.alias("_read")).select(*keys, F.col("_read.tokens").alias("_tokens"), F.col("_read.codes").alias("_codes"))
     # The outer form keeps the optimiser from testing the whole expression once more below.
-    rows = rows.select(*keys, "_tokens", "_hashes", "_named", "_n", F.posexplode_outer("_windows").alias("_at", "h"))
-    form = (F.col("_at") >= F.col("_n")).cast("int")
-    return rows.select(*keys, "_tokens", "_hashes", "_named", (F.col("_at") - form * F.col("_n")).alias("pos"), form.alias("form"), "h")
-
-
-def _kind(i: Column) -> Column:
-    return F.when(F.col("form") == 1, F.element_at("_named", i)).otherwise(F.element_at("_hashes", i))
-
+    rows = rows.select(*keys, "_tokens", "_codes", F.posexplode_outer("_codes").alias("pos", "_code")).where(F.col("pos") <= F.size("_codes") - window)
+    code = lambda k: F.get("_codes", F.col("pos") + k)
+    plain = lambda k: code(k).bitwiseAND(F.lit(-2))
+    named = lambda k: F.when(code(k).bitwiseAND(F.lit(1)) == 1, F.lit(_IS_NAME).cast("long")).otherwise(code(k))
+    rows = rows.select(*keys, "_tokens", "_codes", "pos", F.xxhash64(*(plain(k) for k in range(window))).alias("_h0"), F.xxhash64(*(named(k) for k in range(window))).alias("_h1"))
+    if known is not None:
+        rows = rows.where(F.col("_h0").isin(known) | F.col("_h1").isin(known))
 
-def _slots(window: int) -> Column:
-    """The values of the placeholders of the window at ``pos``."""
-    places = F.sequence(F.col("pos") + 1, F.col("pos") + window)
-    held = F.filter(places, lambda i: _kind(i).between(1, 3))
+    def slots(form) -> Column:
+        return F.array(*(F.when(form(k).between(1, 6), _word(F.get("_tokens", F.col("pos") + k))) for k in range(window)))
 
-    def value(i: Column) -> Column:
-        token = F.element_at("_tokens", i)
-        return F.when((_kind(i) == 1) & (F.ascii(token) != 1), F.concat(F.lit(_NAME), token)).otherwise(token)
-
-    return F.transform(held, value)
+    both = F.array(F.struct(F.lit(0).alias("form"), F.col("_h0").alias("h"), slots(plain).alias("slots")), F.struct(F.lit(1).alias("form"), F.col("_h1").alias("h"), slots(named).alias("slots")))
+    found = rows.select(*keys, "pos", "_h0", F.explode(both).alias("_w")).select(*keys, "pos", "_h0", "_w.*")
+    return found.where((F.col("form") == 0) | (F.col("h") != F.col("_h0"))).drop("_h0")
 
 
 def _verbatim(texts: DataFrame, items: DataFrame, window: int) -> DataFrame | None:
@@ -112,8 +112,8 @@ def _verbatim(texts: DataFrame, items: DataFrame, window: int) -> DataFrame | No
 
     The first words of an item, up to ``window``, are looked up by hash, then all are compared.
     """
-    plain = lambda text: F.split(F.trim(F.regexp_replace(F.lower(text), _BETWEEN, " ")), " ", -1)
-    short = items.select("item", plain(F.col("item_text")).alias("words")).where(F.col("words")[0] != "")
+    plain = lambda text: F.filter(F.transform(_tokens(text), _word), lambda w: w != "")
+    short = items.select("item", plain(F.col("item_text")).alias("words")).where(F.size("words") > 0)
     short = checkpointed(short.withColumn("many", F.least(F.size("words"), F.lit(window))))
     lengths = sorted(r[0] for r in short.select("many").distinct().collect())
     if not lengths:
@@ -130,9 +130,7 @@ def _verbatim(texts: DataFrame, items: DataFrame, window: int) -> DataFrame | No
     for m in lengths:
         first = F.when(F.col("many") == m, hash_of(F.lit(1), m)).otherwise(first)
     wanted = short.select("item", F.col("words").alias("item_words"), first.alias("h"))
-    bucket = F.pmod("h", F.lit(BUCKETS)).cast("int")
-    near = wanted.select(bucket.alias("bucket")).distinct()
-    rows = rows.join(F.broadcast(near), bucket == F.col("bucket"), "left_semi").select("doc", "text_hash", "h", F.slice("words", F.col("start"), F.lit(longest)).alias("rest"))
+    rows = sifted(rows, "h", checkpointed(sieve(wanted, "h"))).select("doc", "text_hash", "h", F.slice("words", F.col("start"), F.lit(longest)).alias("rest"))
     same = rows.join(wanted, "h").where(F.slice("rest", F.lit(1), F.size("item_words")) == F.col("item_words"))
     return same.select("doc", "text_hash", "item").distinct()
 
@@ -149,28 +147,29 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str =
 
     ``matched`` of the item's ``windows`` agree; ``exact`` tells whether all slots hold the same values.
     """
-    held = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("item_text")).where("item_text is not null").groupBy("item_text").agg(F.min("item").alias("item"))
+    held = items.select(F.col(f"`{item_key}`").alias("item"), F.col(f"`{item_text}`").alias("item_text")).where("item_text is not null").groupBy("item_text").agg(F.min("item").alias("item"))
     wanted = _windows(held, ["item"], "item_text", window)
-    held_by = F.when(F.col("form") == 1, F.col("_named")).otherwise(F.col("_hashes"))
-    real = F.size(F.filter(F.slice(held_by, F.col("pos") + 1, window), lambda x: ~x.between(1, 3)))
-    wanted = wanted.where(F.col("h").isNotNull() & (real >= literals)).select("item", F.col("pos").alias("item_pos"), "form", "h", _slots(window).alias("item_slots"))
+    real = F.size(F.filter("slots", lambda x: x.isNull()))
+    wanted = wanted.where(real >= literals).select("item", F.col("pos").alias("item_pos"), "form", "h", F.col("slots").alias("item_slots"))
     # A window of form 1 has at most the real words of form 0, which so has all that count.
     wanted = checkpointed(wanted.withColumn("windows", F.sum(1 - F.col("form")).over(Window.partitionBy("item"))).drop("form"))
-    texts = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("doc_text"))
+    texts = docs.select(F.col(f"`{key}`").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("doc_text"))
     whole = _verbatim(texts, held.join(wanted.select("item").distinct(), "item", "left_anti"), window)
-    bucket = F.pmod("h", F.lit(BUCKETS)).cast("int").alias("bucket")
-    near = wanted.select(bucket).distinct()
-    found = _windows(texts, ["doc", "text_hash"], "doc_text", window).join(F.broadcast(near), bucket == F.col("bucket"), "left_semi")
-    found = found.select("doc", "text_hash", "pos", "h", _slots(window).alias("slots"))
+    if wanted.count() <= SENT:
+        known = [r["h"] for r in wanted.select("h").distinct().collect()]
+        found = _windows(texts, ["doc", "text_hash"], "doc_text", window, known)
+        wanted = F.broadcast(wanted)
+    else:
+        found = sifted(_windows(texts, ["doc", "text_hash"], "doc_text", window), "h", checkpointed(sieve(wanted, "h")))
     # Within an alignment the first place of each window of an item stands for all.
-    pairs = found.join(wanted, "h").withColumn("way", F.explode(_ways(F.col("pos") - F.col("item_pos"))))
+    pairs = found.drop("form").join(wanted, "h").withColumn("way", F.explode(_ways(F.col("pos") - F.col("item_pos"))))
     pairs = pairs.groupBy("doc", "text_hash", "item", "item_pos", "windows", "way").agg(F.min(F.struct("pos", "slots", "item_slots")).alias("at"))
     pairs = pairs.groupBy("doc", "text_hash", "item", "windows", "way").agg(F.count("*").alias("matched"), F.collect_set(F.arrays_zip(F.col("at.item_slots").alias("item_slots"), F.col("at.slots").alias("slots"))).alias("filled"))
     filled = F.array_distinct(F.flatten("filled"))
     pairs = pairs.where(F.col("matched") >= F.least(F.lit(least), "windows")).withColumn("filled", filled)
     values = F.array_distinct(F.transform("filled", lambda x: x["item_slots"]))
     pairs = pairs.where(F.size(values) == F.size("filled"))
-    exact = F.forall("filled", lambda x: x["item_slots"] == x["slots"])
+    exact = F.forall("filled", lambda x: x["item_slots"].eqNullSafe(x["slots"]))
     best = pairs.groupBy("doc", "text_hash", "item", "windows").agg(F.max(F.struct("matched", exact.alias("exact"))).alias("best"))
     best = best.select("doc", "text_hash", "item", "best.matched", "windows", "best.exact")
     if whole is not None:
@@ -178,11 +177,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str =
     return best.select(F.col("doc").alias(key), "text_hash", F.col("item").alias(item_key), "matched", "windows", "exact")
 
 
-
 def remove_leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows that hold an item."""
-    leaks = find_leaks(docs, items, text, key, **options).select(F.col(key).alias("_dc_key"), F.col("text_hash").alias("_dc_hash")).distinct()
-    return docs.join(leaks, F.col(key).eqNullSafe(F.col("_dc_key")) & (F.xxhash64(text) == F.col("_dc_hash")), "left_anti")
+    """``docs`` without the rows that hold an item; its columns may have any names.
+
+    Only rows whose text hash is in the sieve of the texts found are moved.
+    """
+    mark, other, other_mark = fresh(docs.columns, "mark", "other", "other_mark")
+    leaks = checkpointed(find_leaks(docs, items, text, key, **options).select(F.col(f"`{key}`").alias(other), F.col("text_hash").alias(other_mark)).distinct())
+    marks = checkpointed(sieve(leaks, other_mark))
+    rows = docs.withColumn(mark, F.xxhash64(F.col(f"`{text}`")))
+    same = F.col(f"`{key}`").eqNullSafe(F.col(other)) & (F.col(mark) == F.col(other_mark))
+    return sifted(rows, mark, marks, held=False).unionByName(sifted(rows, mark, marks).join(leaks, same, "left_anti")).drop(mark)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
