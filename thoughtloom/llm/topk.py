@@ -1,29 +1,34 @@
 """Exact top-k inner-product search with a three-phase uniform threshold (Cao & Wang, 2004).
 
 The dimensions are split into LISTS ranges. Each is a score list: its partial score for a query
-orders all candidates, and a candidate's score is the sum over the lists.
+orders the candidates, and a candidate's score is the sum over the lists.
 
-1. Every node (a group of candidates) sends the k best entries of each of its local lists, with
+1. Every task opens its first list only: the k candidates of the best partial scores are sent with
    their full scores. The k-th best of what is gathered for a query is a safe cutoff ``tau``.
-2. The cutoff goes back to the nodes with the query. A candidate whose partial scores all lie under
-   tau / LISTS has a score under tau, so entries of at least tau / LISTS are sufficient.
-3. Of these, those whose upper bound (known partial scores, and tau / LISTS for the others) reaches
-   tau are resolved exactly, and the k best of each node are merged.
-
-Vectors are integers: floor(scale * x). Queries travel to the candidate groups in batches and are
-scored by blocks of matrix products, so a task holds one group and one batch of queries; only k
-entries per query, list and group leave a task. Products are taken in float64 where they are exact
-and in Python integers beyond that.
+2. The cutoffs are broadcast. Lists are opened one after the other, each for the candidates that may
+   still count. An entry is sufficient in a list if its partial score is tau / LISTS or more; one that
+   is sufficient nowhere, nor can be in a list still closed, has a score under tau. And one whose
+   partial scores so far, with the most that the closed lists can add (the product of the norms of
+   both sides there), lie under tau has, too. Such entries are dropped; their other lists stay closed.
+3. What is left after the last list has its exact score; the k best of each task are merged.
+
+Vectors are integers: floor(scale * x). Queries are sent to the tasks in batches of at most
+``batch_bytes``; each batch passes over all candidates, in blocks, and no candidate is moved. Only k
+entries per query and task leave a task. Products are taken in float64 where they are exact and in
+Python integers beyond that; bounds have a margin for rounding.
 
 Vectors that are null or hold a null or non-finite component take no part, nor do rows of null id.
 Shorter vectors count as padded with zeros. Where an id is repeated, every row is a candidate, rows
 of the query's own id are not, and the query's vector is the smallest. Ties go to the smaller id;
 identical (id, score) pairs may fill several ranks. Scores beyond 64 bits are reported as the
-largest or smallest long. An empty table gives no rows.
+largest or smallest long. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,9 +36,11 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, table
 
-LISTS = 2
-#: Candidates of one group, and queries that are scored at once.
-GROUP_ROWS, QUERY_ROWS = 32_768, 256
+LISTS = 8
+#: From this share of open entries on, further lists are opened entry by entry and no more by blocks.
+SPARSE = 0.1
+#: Bytes of the queries of one batch, and scores that a task has in hand at once.
+BATCH_BYTES, SCORES = 1 << 25, 1 << 22
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -63,114 +70,164 @@ def _product(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return queries.astype(object) @ candidates.T.astype(object)
 
 
-def _parts(width: int) -> list[slice]:
+def _lists(width: int) -> list[slice]:
     edges = np.linspace(0, width, LISTS + 1).astype(int)
-    return [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
-
-
-def _best(rows: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Of ``rows`` the k with the highest score, ties to the smaller id."""
-    order = np.lexsort((ids[rows], -score[rows]))
-    return rows[order[:k]]
-
-
-def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    if len(score) <= k:
-        return np.arange(len(score))
-    if score.dtype == object:
-        return np.array(sorted(range(len(score)), key=lambda i: (-score[i], ids[i]))[:k])
-    least = np.partition(score, len(score) - k)[len(score) - k]
-    return _best(np.flatnonzero(score >= least), score, ids, k)
-
-
-def _phase(k: int, collect: bool):
-    """Streams a partition sorted by (group, is query): candidates stay, queries pass in batches."""
-
-    def score(ids, vectors, queries, taus, query_vectors):
-        width = max(vectors.shape[1], query_vectors.shape[1])
-        pad = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))
-        vectors, query_vectors = pad(vectors), pad(query_vectors)
-        lists = [_product(query_vectors[:, p], vectors[:, p]) for p in _parts(width)]
-        out_q, out_id, out_s = [], [], []
-        for i, query in enumerate(queries):
-            others = np.flatnonzero(ids != query)
-            if collect and taus[i] is not None:
-                tau = taus[i]
-                sufficient = np.zeros(len(ids), dtype=bool)
-                bound = 0
-                for part in lists:
-                    seen = LISTS * part[i] >= tau
-                    sufficient |= seen
-                    bound = bound + np.where(seen, part[i], -(-tau // LISTS))
-                rows = others[(sufficient & (bound >= tau))[others]]
-                total = sum(part[i][rows] for part in lists) if len(rows) else np.zeros(0, dtype=np.int64)
-                chosen = np.flatnonzero(total >= tau)
-                rows, total = rows[chosen], total[chosen]
-            else:
-                if collect:
-                    rows = others
-                else:
-                    rows = np.unique(np.concatenate([others[_top(part[i][others], ids[others], k)] for part in lists]))
-                total = sum(part[i][rows] for part in lists)
-            pick = _top(total, ids[rows], k)
-            out_q.append(np.full(len(pick), query))
-            out_id.append(ids[rows[pick]])
-            out_s.append(total[pick])
-        columns = np.concatenate(out_q), np.concatenate(out_id), np.clip(np.concatenate(out_s), -(2**63), 2**63 - 1)
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["query_id", "vec_id", "score"])
+    return [slice(a, b) for a, b in zip(edges[:-1], edges[1:]) if a < b] or [slice(0, 0)]
+
+
+def _norms(vectors: np.ndarray, lists: list[slice]) -> np.ndarray:
+    """The norm of each vector in each list, with a margin for rounding."""
+    return np.stack([np.sqrt((vectors[:, p].astype(np.float64) ** 2).sum(axis=1)) * (1 + 1e-7) for p in lists], axis=1)
+
+
+def _pairs(queries: np.ndarray, vectors: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The inner product of query q[i] and candidate c[i], for each i."""
+    bound = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, queries.shape[1])
+    if bound < 2**63:
+        return np.einsum("ij,ij->i", queries[q], vectors[c])
+    return np.array([sum(int(x) * int(y) for x, y in zip(queries[i], vectors[j])) for i, j in zip(q, c)], dtype=object)
+
+
+def first_entries(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, score): for each query the k candidates that lead its first list."""
+    part = _product(queries[:, _lists(queries.shape[1])[0]], vectors[:, _lists(queries.shape[1])[0]])
+    part = np.where(own[:, None] == ids[None, :], float("-inf"), part.astype(np.float64))
+    n = min(k, len(ids))
+    best = np.argpartition(-part, n - 1, axis=1)[:, :n] if n < len(ids) else np.tile(np.arange(n), (len(queries), 1))
+    q, c = np.repeat(np.arange(len(queries)), n), best.ravel()
+    other = own[q] != ids[c]
+    q, c = q[other], c[other]
+    return q, c, _pairs(queries, vectors, q, c)
+
+
+def sufficient_entries(queries: np.ndarray, own: np.ndarray, taus: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, candidate, score) of all entries of at least tau, and how many partial scores were taken.
+
+    A tau of minus infinity keeps everything.
+    """
+    lists = _lists(queries.shape[1])
+    norms_q, norms_c = _norms(queries, lists), _norms(vectors, lists)
+    share = taus / len(lists)
+    alive = own[:, None] != ids[None, :]
+    total, enough, opened, j = None, np.zeros(alive.shape, dtype=bool), 0, 0
+    while j < len(lists) and alive.mean() > (SPARSE if j else 0):
+        score = _product(queries[:, lists[j]], vectors[:, lists[j]])
+        opened, j = opened + score.size, j + 1
+        total = score if total is None else total + score
+        enough |= score >= share[:, None]
+        more = norms_q[:, j:] @ norms_c[:, j:].T
+        alive &= total.astype(np.float64) + more * (1 + 1e-9) + 1 >= taus[:, None]
+        if j < len(lists):
+            most = norms_q[:, j:].max(axis=1)[:, None] * norms_c[:, j:].max(axis=1)[None, :]
+            alive &= enough | (most + 1 >= share[:, None])
+    q, c = np.nonzero(alive)
+    score = total[q, c] if total is not None else np.zeros(0, dtype=np.int64)
+    while j < len(lists) and len(q):
+        score = score + _pairs(queries[:, lists[j]], vectors[:, lists[j]], q, c)
+        opened, j = opened + len(q), j + 1
+        more = (norms_q[q, j:] * norms_c[c, j:]).sum(axis=1)
+        held = np.flatnonzero(score.astype(np.float64) + more * (1 + 1e-9) + 1 >= taus[q])
+        q, c, score = q[held], c[held], score[held]
+    good = np.flatnonzero(score >= taus[q])
+    return q[good], c[good], score[good], opened
+
+
+class _Best:
+    """The k best entries of each query so far, ties to the smaller id."""
+
+    def __init__(self, k: int):
+        self.k, self.held = k, []
+
+    def add(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        self.held.append((q, ids, score))
+        if sum(len(x[0]) for x in self.held) > SCORES:
+            self.held = [self.merged()]
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        q, ids, score = (np.concatenate(x) for x in zip(*self.held))
+        if score.dtype == object:
+            order = np.array(sorted(range(len(q)), key=lambda i: (q[i], -score[i], ids[i])), dtype=np.int64)
+        else:
+            order = np.lexsort((ids, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        new = np.append(True, q[1:] != q[:-1])
+        rank = np.arange(len(q)) - np.maximum.accumulate(np.where(new, np.arange(len(q)), 0))
+        return q[rank < self.k], ids[rank < self.k], score[rank < self.k]
+
+
+def _phase(batch_of, k: int, collect: bool):
+    """Blocks of candidates against one batch of queries: (query_id, vec_id, score) of the k best."""
 
     def run(batches):
-        group, held_ids, held, ready = None, [], [], None
+        own, queries, taus = batch_of.value
+        best = _Best(k)
         for batch in batches:
-            groups, kinds, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "is_query", "id"))
-            cuts = np.flatnonzero((np.diff(groups) != 0) | (np.diff(kinds) != 0)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(groups)]):
-                if a == b:
-                    continue
-                if groups[a] != group:
-                    group, held_ids, held, ready = groups[a], [], [], None
-                if not kinds[a]:
-                    held_ids.append(ids[a:b])
-                    held.append(batch.column("v").slice(a, b - a))
-                    continue
-                if not held:
-                    continue
-                if ready is None:
-                    width = max(int(np.diff(c.offsets.to_numpy()).max(initial=0)) for c in held)
-                    ready = np.concatenate(held_ids), np.concatenate([_matrix(c, width) for c in held])
-                    held = [held[0].slice(0, 0)]
-                for at in range(a, b, QUERY_ROWS):
-                    n = min(QUERY_ROWS, b - at)
-                    own = batch.column("v").slice(at, n)
-                    width = int(np.diff(own.offsets.to_numpy()).max(initial=0))
-                    taus = batch.column("tau").slice(at, n).to_pylist()
-                    yield score(*ready, ids[at : at + n], taus, _matrix(own, width))
+            ids, column = batch.column("id").to_numpy(zero_copy_only=False), batch.column("v")
+            if not len(ids):
+                continue
+            width = max(queries.shape[1], int(np.diff(column.offsets.to_numpy()).max(initial=0)))
+            vectors = _matrix(column, width)
+            asked = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
+            step = max(1, SCORES // len(ids))
+            for at in range(0, len(own), step):
+                some = slice(at, at + step)
+                if collect:
+                    q, c, score, _ = sufficient_entries(asked[some], own[some], taus[some], vectors, ids)
+                else:
+                    q, c, score = first_entries(asked[some], own[some], vectors, ids, k)
+                best.add(at + q, ids[c], score)
+        q, ids, score = best.merged()
+        columns = own[q], ids, np.clip(score, -(2**63), 2**63 - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, dtype=np.int64)) for x in columns], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def _pass(candidates: DataFrame, queries: DataFrame, groups: int, k: int, collect: bool) -> DataFrame:
-    spread = queries.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    rows = candidates.select("grp", F.lit(0).alias("is_query"), "id", "v", F.lit(None).cast("long").alias("tau")).unionByName(
-        spread.select("grp", F.lit(1).alias("is_query"), "id", "v", "tau")
-    )
-    return rows.repartition("grp").sortWithinPartitions("grp", "is_query").mapInArrow(_phase(k, collect), "query_id long, vec_id long, score long")
+def _batches(asked: DataFrame, batch_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the queries, at most ``batch_bytes`` (or one query) at a time."""
+    ids, vectors, size = [], [], 0
+
+    def batch():
+        width = max(len(v) for v in vectors)
+        return np.array(ids, dtype=np.int64), np.array([v + [0] * (width - len(v)) for v in vectors], dtype=np.int64).reshape(len(ids), width)
+
+    for r in asked.toLocalIterator():
+        if ids and size + 8 * (len(r["v"]) + 1) > batch_bytes:
+            yield batch()
+            ids, vectors, size = [], [], 0
+        ids.append(r["id"])
+        vectors.append(list(r["v"]))
+        size += 8 * (len(r["v"]) + 1)
+    if ids:
+        yield batch()
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best candidates of each query, its own id excluded."""
-    prepare = lambda df: df.select(F.col(key).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v")).where("id is not null and v is not null")
+    spark = candidates.sparkSession
+    prepare = lambda df: df.select(F.col(f"`{key}`").cast("long").alias("id"), quantised(F.col(f"`{vector}`"), scale).alias("v")).where("id is not null and v is not null")
     pool = prepare(candidates)
-    groups = max(1, -(-pool.count() // GROUP_ROWS))
-    pool = pool.withColumn("grp", F.pmod(F.xxhash64("id", "v"), F.lit(groups)).cast("int"))
-    asked = prepare(queries).groupBy("id").agg(F.min("v").alias("v"))
-    first = _pass(pool, asked.withColumn("tau", F.lit(None).cast("long")), groups, k, collect=False)
+    asked = checkpointed(prepare(queries).groupBy("id").agg(F.min("v").alias("v")))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    gathered = first.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-    cutoff = checkpointed(gathered.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("tau")))
-    second = _pass(pool, asked.join(cutoff, "id", "left"), groups, k, collect=True)
-    ranked = second.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    entries = "query_id long, vec_id long, score long"
+    found = []
+    for own, vectors in _batches(asked, batch_bytes):
+        send = spark.sparkContext.broadcast
+        gathered = pool.mapInArrow(_phase(send((own, vectors, None)), k, collect=False), entries)
+        cutoff = gathered.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select("query_id", "score")
+        taus = np.full(len(own), float("-inf"))
+        place = {int(x): i for i, x in enumerate(own)}
+        for r in cutoff.toLocalIterator():  # one number for each query of the batch
+            tau = float(r["score"])
+            if abs(tau) >= 2**53:  # never above the cutoff itself, nor above a score that was cut to 64 bits
+                tau = np.nextafter(tau, float("-inf")) if tau > -(2.0**63) else float("-inf")
+            taus[place[r["query_id"]]] = tau
+        sufficient = pool.mapInArrow(_phase(send((own, vectors, taus)), k, collect=True), entries)
+        ranked = sufficient.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
+        found.append(checkpointed(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
