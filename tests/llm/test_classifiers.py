@@ -68,3 +68,96 @@ def test_toxicity_without_labels_rejects_nothing(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     model = toxicity.fit_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert model.score(docs).head().score < 1e-9
+
+
+def test_toxicity_where_every_label_is_toxic(spark):
+    rows = [(i, "the vilest words") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, docs.selectExpr("doc_id", "1 as toxic"))
+    assert all(r.score > 0.5 for r in model.score(docs).collect())
+
+
+def test_ftrl_equals_plain_steps():
+    rng = np.random.default_rng(3)
+    size, examples = 12, []
+    for _ in range(40):
+        idx = np.sort(rng.choice(12, 4, replace=False))
+        examples.append((idx, rng.random(4), int(rng.integers(0, 2))))
+    model = quality.FTRL(size)
+    weights, bias = model.fit(examples, passes=2)
+    z, n = [0.0] * 13, [0.0] * 13
+
+    def weight(i):
+        if abs(z[i]) <= model.l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * model.l1) / ((model.beta + n[i] ** 0.5) / model.alpha + model.l2)
+
+    for turn in range(2):
+        for k in np.random.default_rng(turn).permutation(len(examples)):
+            idx, val, label = examples[k]
+            x = {**dict(zip(idx.tolist(), val.tolist())), 12: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / model.alpha * w[i]
+                n[i] += g * g
+    assert np.allclose(weights, [weight(i) for i in range(12)]) and np.isclose(bias, weight(12))
+
+
+def test_scores_are_the_dot_products_of_the_words(spark):
+    rng = np.random.default_rng(4)
+    model = quality.QualityModel(rng.normal(size=1 << quality.BITS), 0.25, quality.BITS)
+    texts = ["a b", "Some words, some MORE words!!", "x", "", None, "é è é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in quality.featurise(docs, "text", ["doc_id"], quality.BITS).collect()}
+    for r in model.score(docs).collect():
+        f = found[r.doc_id]
+        dot = sum(np.float32(model.weights[i]) * v for i, v in zip(f.idx, f.val))
+        assert np.isclose(r.score, 1 / (1 + np.exp(-(dot + 0.25))), atol=1e-5)
+        n = len((texts[r.doc_id] or "").split())
+        assert np.isclose(sum(v * n for v in f.val), sum(k for k in (n, max(n - 1, 0), n, max(n - 1, 0))) + sum(a == b for a, b in zip((texts[r.doc_id] or "").lower().split(), (texts[r.doc_id] or "").lower().split()[1:])), atol=1e-3)
+
+
+def test_nnpu_equals_plain_steps():
+    """The same full-batch steps on a dense matrix, example by example."""
+    rng = np.random.default_rng(5)
+    positive = [np.unique(rng.choice([0, 1, 2, 3, 9, 8], 3)) for _ in range(12)]
+    unlabelled = [np.unique(rng.choice(np.arange(3, 12), 4)) for _ in range(20)]
+    prior = 0.3
+    names, weights, bias = toxicity.fit_nnpu(positive, unlabelled, prior, steps=6, l2=0.0)
+    row = lambda found: np.append([float(n in found) for n in names], 1.0)
+    up = lambda f: 1 / (1 + np.exp(-f))  # the slope of log(1 + exp(f))
+    theta = np.append(np.zeros(len(names)), np.log(prior / (1 - prior)))
+    m, v, mean = np.zeros(len(theta)), np.zeros(len(theta)), np.zeros(len(theta))
+    for step in range(1, 7):
+        gain, loss, risk = np.zeros(len(theta)), np.zeros(len(theta)), 0.0
+        for x in map(row, positive):
+            f = x @ theta
+            gain += -prior * up(-f) * x / 12
+            loss += -prior * up(f) * x / 12
+            risk -= prior * np.log(1 + np.exp(f)) / 12
+        for x in map(row, unlabelled):
+            f = x @ theta
+            loss += up(f) * x / 20
+            risk += np.log(1 + np.exp(f)) / 20
+        g = gain + loss if risk >= 0 else -loss
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta = theta - 0.1 * (1.02 - step / 6) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        if step > 4:
+            mean += theta / 2
+    assert np.allclose(np.append(weights, bias), mean, atol=1e-3)  # a slope of zero but for rounding moves Adam a little
+
+
+def test_held_out_labels_are_not_learnt(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, make(rng, i % 3 == 0)) for i in range(120)] + [(7, make(rng, True)), (None, "x")]
+    got = []
+    for turn in (0, 1):
+        folder = f"{tmp_path}/{turn}"
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+        fold = lambda i, m: zlib.crc32(str(i).encode()) % m
+        labels = [(i, int(i % 3 != 0) ^ (turn * (fold(i, 4) == 2)), int(i % 3 == 0) ^ (turn * (fold(i, 5) == 0))) for i in range(120)]
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        got.append([sorted((repr(r.doc_id), r.score) for r in op(spark, folder).collect()) for op in (quality.op2_quality, toxicity.op7_toxicity)])
+    assert got[0] == got[1] and len(got[0][0]) == len(rows)

@@ -64,3 +64,12 @@ def test_given_lengths_and_clusters(spark):
 
 def test_empty_table(spark):
     assert packing.best_fit(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_shards_cost_few_bins(spark):
+    """Best fit within shards against best fit over all pieces."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(["w"] * int(n)), f"s{i % 400}") for i, n in enumerate(rng.gamma(1.5, 250, 3000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "cast(doc_id as string) as dup")
+    bins = [packing.best_fit(docs, cluster="dup", shard_rows=n).select("bin_id").distinct().count() for n in (10**9, 750)]
+    assert bins[0] <= bins[1] <= 1.05 * bins[0]

@@ -9,7 +9,8 @@ short ones. Texts are read whole.
 Training takes the ``max_rows`` labelled rows of smallest id hash (a documented bound on what the
 driver holds); scoring covers every row. A null text counts as empty; an empty text has no feature
 and gets the score of the bias alone. Rows with a null id or label are never trained on. Repeated
-rows each get their score. With no labelled row the model is neutral: every score is 0.5.
+rows each get their score; rows of one id and other texts are all trained on. With no labelled row
+the model is neutral: every score is 0.5. Other columns are passed on, whatever their names.
 """
 
 from __future__ import annotations

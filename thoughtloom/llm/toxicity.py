@@ -14,7 +14,9 @@ Words are runs of letters and digits, A-Z as a-z; their first 4, 5 and 6 bytes a
 Presence is counted once per text, so one insult in a very long text weighs as much as in a short
 one. Texts are read whole. A null or empty text has no feature and gets the score of the bias.
 Training takes at most ``max_positive`` toxic and ``max_unlabelled`` other texts, those of smallest
-id hash; scoring covers every row. Without a toxic row every score is practically 0.
+id hash; scoring covers every row. Without a toxic row every score is practically 0; where all n
+labelled rows are toxic, the share is taken for n / (n + 1). Rows repeated with one id and other texts
+are all trained on and scored by their own text. Other columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -147,7 +149,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_posit
     whatever is known of them.
     """
     known = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = known.agg(F.avg("toxic").alias("share")).head()["share"] or 0.0
+    told = known.agg(F.avg("toxic").alias("share"), F.count("*").alias("n")).head()
+    share = min(told["share"] or 0.0, told["n"] / (told["n"] + 1))
     order = [hash_order("doc_id"), F.col("doc_id")]
     toxic = known.where("toxic = 1").orderBy(*order).limit(max_positive).select("doc_id", F.lit(1).alias("part"))
     others = docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(*order).limit(max_unlabelled)
@@ -158,7 +161,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_posit
     sets: tuple[list, list] = ([], [])
     for r in featurise(sample, "text", "part", bits).toLocalIterator():
         sets[r["part"]].append(np.asarray(r["idx"], dtype=np.int64))
-    if not sets[1] or not 0 < share < 1:
+    if not sets[1] or not share:
         return ToxicityModel(np.zeros(0, dtype=np.int64), np.zeros(0), -800.0, bits)
     names, weights, bias = fit_nnpu(sets[1], sets[0] or [np.zeros(0, dtype=np.int64)], share)
     return ToxicityModel(names, weights, bias, bits)
