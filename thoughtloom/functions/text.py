@@ -67,8 +67,7 @@ def wrap_retrieved(text: Column, tag: str = "retrieved-content") -> Column:
 
 def keyword_tokens(text: Column) -> Column:
     tokens = F.regexp_extract_all(F.lower(text), F.lit("([a-zA-Z][a-zA-Z0-9_]*)"), 1)
-    stop = F.array(*(F.lit(w) for w in sorted(STOPWORDS)))
-    return F.filter(tokens, lambda t: (F.length(t) > 2) & ~F.array_contains(stop, t))
+    return F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.isin(*sorted(STOPWORDS)))  # a hash set, once planned
 
 
 def short_keywords(text: Column, top_n: int = 5) -> Column:

@@ -47,7 +47,8 @@ def extract_by_rule(batches: DataFrame, keys: list[str], text: str = "content")
 def is_grounded(name: Column, text: Column) -> Column:
     """Whether a name stands in a text between non-alphanumerics, or does without its final "s"."""
     low, inside = F.lower(name), F.lower(text)
-    quoted = lambda n: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), n, F.lit(r"\E(?![A-Za-z0-9])"))
+    literal = lambda n: F.replace(n, F.lit(r"\E"), F.lit(r"\E\\E\Q"))  # a name may hold the end of a quotation
+    quoted = lambda n: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), literal(n), F.lit(r"\E(?![A-Za-z0-9])"))
     singular = F.substring(low, F.lit(1), F.greatest(F.length(low) - 1, F.lit(0)))
     return F.coalesce((low != "") & (F.rlike(inside, quoted(low)) | (low.endswith("s") & (F.length(low) > 3) & F.rlike(inside, quoted(singular)))), F.lit(False))
 
@@ -175,7 +176,7 @@ def distill_marked(raw: DataFrame) -> DataFrame:
     return rows.select(
         *raw.columns,
         F.coalesce(normalize_whitespace(F.try_element_at(plain, F.lit(1))), F.lit("")).alias("definition"),
-        F.array_join(F.transform(F.slice(plain, 2, 10_000), normalize_whitespace), " ").alias("explanation"),
+        F.array_join(F.transform(F.slice(plain, F.lit(2), F.greatest(F.size(plain), F.lit(1))), normalize_whitespace), " ").alias("explanation"),
         F.filter(listed(F.filter("_p", lambda p: p.startswith("- "))), lambda s: F.length(s) > 10).alias("insights"),
         F.filter(listed(F.transform(F.filter("_p", lambda p: p.startswith("Examples:")), lambda p: stripped(F.replace(p, F.lit("Examples:"), F.lit(""))))), lambda s: s != "").alias("examples"),
         F.when(F.size(own) > 0, own).otherwise(short_keywords(F.array_join("_p", "\n\n"))).alias("tags"),
@@ -184,6 +185,13 @@ def distill_marked(raw: DataFrame) -> DataFrame:
     )
 
 
+def links_of(concepts: DataFrame) -> DataFrame:
+    """(source, target, type) as the concepts themselves name them; none where they have no such column."""
+    if "relationships" not in concepts.columns:
+        return concepts.select(F.col("slug").alias("source"), F.col("slug").alias("target"), F.lit("related_to").alias("type")).limit(0)
+    return concepts.select(F.explode("relationships").alias("r")).select("r.source", "r.target", "r.type").distinct()
+
+
 #: The relation types.
 RELATION_TYPES = ("uses", "improves", "depends_on", "related_to", "part_of", "example_of", "contrasts_with", "enables")
 
@@ -203,6 +211,7 @@ def merge_concepts(versions: DataFrame, order: str) -> DataFrame:
         F.max("confidence").alias("confidence"),
         F.when(F.bool_and(F.col("status") == "deleted"), "deleted").otherwise("active").alias("status"),
         F.when(F.bool_and(F.col("status") == "deleted"), F.min("deleted_at")).alias("deleted_at"),
+        *(F.max(c).alias(c) for c in ("last_reinforced_at", "last_reviewed_at") if c in versions.columns),
         ordered.alias("_v"),
     )
     return out.select(*(c for c in out.columns if c != "_v"), *map(_union, lists))

@@ -46,12 +46,19 @@ def outgoing(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source", "target").agg(F.max("confidence").alias("confidence"))
 
 
+def outgoing_types(edges: DataFrame) -> DataFrame:
+    """(source, target, type, confidence): one edge per pair, the surest with its type."""
+    best = edges.groupBy("source", "target").agg(F.max(F.struct("confidence", "type")).alias("e"))
+    return best.select("source", "target", "e.type", "e.confidence")
+
+
 def within(edges: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
     """(slug, distance) of all nodes within ``radius`` of a seed, in either direction."""
     step, front = both_ways(edges), seeds.select("slug").distinct().withColumn("distance", F.lit(0))
     seen = front
     for hop in range(1, radius + 1):
         front = front.join(step, front.slug == step.a).select(F.col("b").alias("slug")).distinct().join(seen.select("slug"), "slug", "left_anti").withColumn("distance", F.lit(hop))
+        front = stored(front) if hop < radius else front  # each further hop would build it anew twice
         seen = seen.unionByName(front)
     return seen
 
@@ -68,8 +75,9 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 4, keep: int
     """(a, b, rank, path): up to ``keep`` of the shortest paths of at most ``most`` edges, in name order.
 
     Paths grow from all starts at once. A path that comes to a node later than another of the same
-    pair has done is not shortest and stops there, which keeps the front to shortest paths. Each
-    round is stored, so the plan does not grow with the rounds.
+    pair has done is not shortest and stops there; of those that come at the same time the first
+    ``keep`` go on, since their continuations keep their order. So the front has at most ``keep`` paths
+    for each start and node. Each round is stored, so the plan does not grow with the rounds.
     """
     from pyspark.sql import Window
 
@@ -79,7 +87,8 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 4, keep: int
     reached, found = front.select("a", "at"), None
     for hop in range(1, most + 1):
         grown = front.join(step, front["at"] == step["from"]).where(~F.array_contains("path", F.col("to"))).select("a", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
-        front = stored(grown.join(reached, ["a", "at"], "left_anti"))
+        order = F.row_number().over(Window.partitionBy("a", "at").orderBy(F.array_join("path", "\u0001")))
+        front = stored(grown.join(reached, ["a", "at"], "left_anti").withColumn("order", order).where(F.col("order") <= keep).drop("order"))
         reached = stored(reached.unionByName(front.select("a", "at").distinct()))
         hits = front.join(starts.withColumnRenamed("b", "at"), ["a", "at"]).select("a", F.col("at").alias("b"), "path")
         found = hits if found is None else found.unionByName(hits)

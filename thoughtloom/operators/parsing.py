@@ -17,6 +17,10 @@ MARKERS = (
 )
 
 
+#: Holds wherever a marker does; texts without it need not be read line by line.
+_ANY_MARKER = r"(?i)(?:Human|User|Me|Assistant|AI|Claude|Bot|GPT|System)\s*:|#\s*(?:Human|User|Me|Assistant|AI|Claude|Bot)\b"
+
+
 def line_role(line: Column) -> Column:
     """The role that a line announces, or null."""
     out = F.lit(None).cast("string")
@@ -57,10 +61,8 @@ def parse_turns(files: DataFrame, path: str = "source_file", text: str = "text")
         return F.when(role.isNotNull(), begin(role, F.when(rest != "", rest))).when((stripped(line["line"]) == "---") & opened.isNotNull(), begin(other, F.lit(None).cast("string"))).otherwise(go_on)
 
     lines = F.transform(F.split(F.col(text), "\n", -1), lambda x: F.struct(x.alias("line"), line_role(x).alias("role"), after_marker(x).alias("rest")))
-    # Most texts have no marker at all: they are not folded.
-    marked = F.exists(lines, lambda x: x["role"].isNotNull())
     whole = F.array(F.struct(F.lit("assistant").alias("role"), stripped(F.col(text)).alias("content")))
-    folded = F.when(marked, F.aggregate(lines, start, step, closed))
+    folded = F.when(F.col(text).rlike(_ANY_MARKER), F.aggregate(lines, start, step, closed))
     turns = F.when(F.size(folded) > 0, folded).otherwise(whole)
     out = files.select(F.col(path).alias("source_file"), F.posexplode(turns).alias("idx", "turn"))
     return out.select("source_file", "idx", "turn.role", "turn.content")
@@ -96,12 +98,17 @@ def chunk_pieces(content: Column, min_length: int = 80) -> Column:
     return F.when(F.size(pieces) == 1, pieces).otherwise(F.aggregate(pieces, start, step, to_last))
 
 
+#: The beginnings of lists and of definitions.
+LIST_ITEM, LIST_NUMBER = r"^\s*[-*]\s", r"^\s*\d+\.\s"
+DEFINING = r"^[A-Z][\p{L}\p{N}_\s]{2,30}(?:is|refers to|means|describes|represents)\b"
+
+
 def chunk_type(chunk: Column) -> Column:
     s = stripped(chunk)
     return (
         F.when(s.startswith("```"), "code")
-        .when(s.rlike(r"^\s*[-*]\s") | s.rlike(r"^\s*\d+\.\s"), "list")
-        .when(s.rlike(r"^[A-Z][\p{L}\p{N}_\s]{2,30}(?:is|refers to|means|describes|represents)\b"), "definition")
+        .when(s.rlike(LIST_ITEM) | s.rlike(LIST_NUMBER), "list")
+        .when(s.rlike(DEFINING), "definition")
         .otherwise("prose")
     )
 
