@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .graph import HOPS, outgoing
 from .hygiene import sequence_ratio
+from .retrieval import SEEDS, concept_text, tokens
 
 
 def match_concepts(expected: DataFrame, actual: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -63,6 +65,49 @@ def weight_grid(spark: SparkSession, step: float = 0.1) -> DataFrame:
     return spark.createDataFrame(rows, "w_keyword double, w_semantic double, w_graph double")
 
 
+def _share_of_best(rows: DataFrame, raw: str, name: str) -> DataFrame:
+    best = F.max(raw).over(Window.partitionBy("query"))
+    return rows.withColumn("best", best).where("best > 0").select("query", "item", (F.col(raw) / F.col("best")).alias(name))
+
+
+def component_scores(concepts: DataFrame, edges: DataFrame, seeds: int = SEEDS) -> DataFrame:
+    """(query, item, keyword, semantic, graph): each concept's name and tags asked of all concepts at once.
+
+    Words bring queries and concepts together; each query's walk starts from its own best hits. There
+    are no vectors here, so the semantic part is 0.
+    """
+    asked = concepts.select(F.col("slug").alias("query"), F.explode(tokens(F.concat_ws(" ", "name", F.array_join("tags", " ")))).alias("t")).groupBy("query", "t").agg(F.count("*").alias("times"))
+    held = concepts.select(F.col("slug").alias("item"), tokens(concept_text(concepts)).alias("ts"))
+    tf = held.select("item", F.size("ts").alias("len"), F.explode("ts").alias("t")).groupBy("item", "len", "t").agg(F.count("*").alias("tf"))
+    total = held.agg(F.count("*").alias("n"))
+    df = tf.groupBy("t").agg(F.count("*").alias("df")).join(F.broadcast(total))  # one row
+    idf = df.select("t", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    raw = asked.join(idf, "t").join(tf, "t").groupBy("query", "item").agg(F.sum(F.col("tf") / F.col("len") * F.col("idf") * F.col("times")).alias("raw"))
+    keyword = _share_of_best(raw, "raw", "keyword").where("keyword > 0")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("keyword", 9)), "item"))
+    starts = keyword.withColumn("rank", rank).where(F.col("rank") <= seeds).select("query", F.col("item").alias("seed"), F.col("keyword").alias("sigma"))
+    out = outgoing(edges)
+    one = starts.join(out, F.col("seed") == F.col("source")).where("target <> seed").select("query", "seed", "sigma", F.col("target").alias("mid"), "confidence")
+    two = one.select("query", "seed", "sigma", "mid").join(out, F.col("mid") == F.col("source")).where("target <> seed and target <> mid")
+    parts = (
+        starts.select("query", F.col("seed").alias("item"), (F.col("sigma") * HOPS[0]).alias("s"))
+        .unionByName(one.select("query", F.col("mid").alias("item"), (F.col("sigma") * F.col("confidence") * HOPS[1]).alias("s")))
+        .unionByName(two.select("query", F.col("target").alias("item"), (F.col("sigma") * F.col("confidence") * HOPS[2]).alias("s")))
+    )
+    walked = _share_of_best(parts.groupBy("query", "item").agg(F.sum("s").alias("raw")), "raw", "graph")
+    both = keyword.join(walked, ["query", "item"], "full").na.fill(0.0, ["keyword", "graph"])
+    return both.select("query", "item", F.round("keyword", 9).alias("keyword"), F.lit(0.0).alias("semantic"), F.round("graph", 9).alias("graph"))
+
+
+def evaluate_weights(scores: DataFrame, relevant: DataFrame, weights: tuple[float, float, float], k: int) -> DataFrame:
+    """(query, recall) of each query with the given weights, its own concept left out."""
+    w = dict(zip(("keyword", "semantic", "graph"), weights))
+    total = F.round(sum((F.col(c) * x for c, x in w.items()), F.lit(0.0)), 9)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("total"), "item"))
+    ranked = scores.withColumn("total", total).where("total > 0 and item <> query").withColumn("rank", rank)
+    return recall_at_k(relevant, ranked.select("query", "item", "rank"), k)
+
+
 def sweep_weights(scores: DataFrame, relevant: DataFrame, grid: DataFrame, k: int) -> DataFrame:
     """(weights, mean recall at k) of component scores (query, item, keyword, semantic, graph).
 
