@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import concepts as C
+from ..operators import dedup as D
 from ..operators import evaluation as E
+from ..operators import extraction as X
 from ..operators import graph as G
 from ..operators import hygiene as H
 from ..operators import lifecycle as L
 from ..operators import linking as K
 from ..operators import parsing as P
 from ..operators import retrieval as R
+from ..service import tools as A
 from ..sources import files as S
+from ..sources import storage as O
 from ..streaming import events as V
 from . import tables as B
 
@@ -141,9 +145,9 @@ kw AS (SELECT {key}, raw / (SELECT max(raw) FROM kraw) AS score FROM kraw WHERE
 # --- text ---------------------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, {_slug('substr(text, 1, 200)')} AS slug FROM documents")
+@query(f"SELECT doc_id, {_slug('text')} AS slug FROM documents")
 def text_slugify(spark: SparkSession, d: str) -> DataFrame:
-    return B.table(spark, d, "documents").select("doc_id", T.slugify(F.substring("text", 1, 200)).alias("slug"))
+    return B.table(spark, d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
 @query("SELECT doc_id, substr(sha256(text), 1, 12) AS hash FROM documents")
@@ -235,13 +239,92 @@ def doc_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunks.select("chunk_id", F.col("source_file").alias("doc_id"), "chunk_index", "chunk_type", "content")
 
 
-@query()
+_BATCHES = f"""
+ch AS (SELECT conv_id::VARCHAR AS source_file, turn, {_strip('text')} AS content FROM conversations WHERE role = 'assistant' AND {_strip('text')} <> ''),
+num AS (SELECT *, source_file || ':t' || turn || ':c0' AS chunk_id, length(content) AS n, row_number() OVER (PARTITION BY source_file ORDER BY turn) AS i FROM ch),
+fold AS (SELECT source_file, i, chunk_id, content, 0 AS batch, n AS used FROM num WHERE i = 1
+  UNION ALL SELECT m.source_file, m.i, m.chunk_id, m.content, CASE WHEN f.used > 0 AND f.used + m.n > 6000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.used > 0 AND f.used + m.n > 6000 THEN m.n ELSE f.used + m.n END
+  FROM fold f JOIN num m ON m.source_file = f.source_file AND m.i = f.i + 1),
+batches AS (SELECT source_file, batch, string_agg(chunk_id, ' ' ORDER BY i) AS chunk_ids, string_agg(content, chr(10) || chr(10) ORDER BY i) AS content FROM fold GROUP BY source_file, batch)"""
+
+
+@query(f"WITH RECURSIVE {_BATCHES} SELECT source_file, batch, chunk_ids, content FROM batches")
 def chunk_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The turns have neither fences nor blank lines: each is one chunk."""
     turns = B.turns(spark, d).where("role = 'assistant'")
-    return P.batch_chunks(P.chunk_turns(turns))
+    return P.batch_chunks(P.chunk_turns(turns)).withColumn("chunk_ids", F.array_join("chunk_ids", " "))
 
 
-@query()
+def _extracted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    chunks = G.stored(P.chunk_turns(B.turns(spark, d).where("role = 'assistant'")))
+    return X.extract_concepts(P.batch_chunks(chunks), chunks)
+
+
+_RAW = f"""{_BATCHES}, bs AS (SELECT source_file, batch, unnest(l) AS s, generate_subscripts(l, 1) AS si FROM (SELECT source_file, batch, string_split_regex(content, '[.!?]\\s+') AS l FROM batches)),
+bf AS (SELECT source_file, batch, si, s, unnest(p) AS name, generate_subscripts(p, 1) AS pi FROM (SELECT *, regexp_extract_all(regexp_replace(s, '[^\\x00-\\x7F]', '_', 'g'), '{_TITLE}', 1) AS p FROM bs)),
+bn AS (SELECT *, row_number() OVER (PARTITION BY source_file, batch, name ORDER BY si, pi) AS k FROM bf WHERE length(name) >= 3),
+br AS (SELECT *, (row_number() OVER (PARTITION BY source_file, batch ORDER BY si, pi) - 1)::INTEGER AS rank FROM bn WHERE k = 1),
+found AS (SELECT source_file, batch, rank, lower(name) AS low, name, substr({_strip('s')}, 1, 300) AS definition FROM br WHERE rank < 3)"""
+_STANDS = lambda text: f"(regexp_matches(lower({text}), '(^|[^a-z0-9])' || low || '($|[^a-z0-9])') OR (low LIKE '%s' AND length(low) > 3 AND regexp_matches(lower({text}), '(^|[^a-z0-9])' || substr(low, 1, length(low) - 1) || '($|[^a-z0-9])')))"
+
+
+@query(f"""WITH RECURSIVE {_RAW}, kept AS (SELECT f.*, row_number() OVER (PARTITION BY low ORDER BY f.source_file, f.batch, rank) AS first FROM found f JOIN batches b USING (source_file, batch) WHERE {_STANDS('substr(b.content, 1, 6000)')})
+SELECT k.source_file, k.batch, k.rank, k.name, string_agg(o.chunk_id, ' ' ORDER BY o.i) AS source_chunks FROM kept k JOIN fold o ON o.source_file = k.source_file AND o.batch = k.batch AND {_STANDS('o.content')} WHERE first = 1 GROUP BY ALL""")
+def raw_concepts(spark: SparkSession, d: str) -> DataFrame:
+    """Concepts of batches of chunks, with those of the chunks that name them."""
+    raw = _extracted(spark, d)[0]
+    return raw.select("source_file", "batch", "rank", "name", F.array_join("source_chunks", " ").alias("source_chunks"))
+
+
+@query(f"""WITH RECURSIVE {_RAW}, told AS (SELECT {_STANDS('substr(b.content, 1, 6000)')} AS ok FROM found f JOIN batches b USING (source_file, batch))
+SELECT (SELECT count(*) FROM fold) AS chunks_processed, (SELECT count(*) FROM batches) AS calls, (SELECT count(*) FROM told WHERE ok) AS concepts_extracted, 0::BIGINT AS parse_failures, (SELECT count(*) FROM told WHERE NOT ok) AS rejected_by_grounding""")
+def extraction_counters(spark: SparkSession, d: str) -> DataFrame:
+    return _extracted(spark, d)[1]
+
+
+_DEDUP = f"""{_mentions('assistant')},
+raw AS (SELECT slug, name, definition AS content, source_file, row_number() OVER (ORDER BY source_file, idx, rank) AS ord FROM mentions WHERE slug <> ''),
+lead AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY length(content) DESC, ord) = 1 AS is_first FROM raw),
+turned AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY is_first DESC, ord) - 1 AS turn FROM lead),
+own AS (SELECT slug, min(turn) AS turn, lower({_strip('content')}) AS low FROM turned GROUP BY slug, low),
+new AS (SELECT t.slug, string_agg({_strip('t.content')}, chr(10) || chr(10) ORDER BY t.turn) AS added FROM turned t JOIN own o ON o.slug = t.slug AND o.turn = t.turn WHERE t.turn > 0 GROUP BY t.slug),
+one AS (SELECT t.slug, t.name, CASE WHEN n.added IS NULL THEN t.content ELSE substr(t.content || chr(10) || chr(10) || n.added, 1, 5000) END AS content, (SELECT min(ord) FROM raw r WHERE r.slug = t.slug) AS ord FROM turned t LEFT JOIN new n ON n.slug = t.slug WHERE t.turn = 0),
+ws AS (SELECT *, list_distinct(regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}_]+')) AS nw, list_distinct(regexp_extract_all(lower(substr(content, 1, 500)), '[\\p{{L}}\\p{{N}}_]+')) AS cw, row_number() OVER (ORDER BY ord) AS k FROM one),
+sim AS (SELECT a.k AS a, b.k AS b FROM ws a JOIN ws b ON a.k < b.k WHERE (len(a.nw) > 0 AND len(b.nw) > 0 AND len(list_intersect(a.nw, b.nw)) / (len(a.nw) + len(b.nw) - len(list_intersect(a.nw, b.nw))) > 0.6)
+  OR (len(a.cw) > 0 AND len(b.cw) > 0 AND len(list_intersect(a.cw, b.cw)) / (len(a.cw) + len(b.cw) - len(list_intersect(a.cw, b.cw))) > 0.75)),
+before AS (SELECT w.k, coalesce(list(s.a) FILTER (s.a IS NOT NULL), []) AS near FROM ws w LEFT JOIN sim s ON s.b = w.k GROUP BY w.k),
+heads AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL SELECT b.k, CASE WHEN len(list_intersect(h.kept, b.near)) = 0 THEN list_append(h.kept, b.k) ELSE h.kept END FROM heads h JOIN before b ON b.k = h.k + 1),
+final AS (SELECT kept FROM heads ORDER BY k DESC LIMIT 1),
+joined AS (SELECT w.k, w.slug, CASE WHEN list_contains((SELECT kept FROM final), w.k) THEN w.k ELSE list_min(list_intersect((SELECT kept FROM final), b.near)) END AS head FROM ws w JOIN before b USING (k))"""
+
+
+@query(f"WITH RECURSIVE {_DEDUP} SELECT w.slug, w.name, count(*) AS members, count(DISTINCT r.source_file) AS files FROM joined j JOIN ws w ON w.k = j.head JOIN raw r ON r.slug = j.slug GROUP BY w.slug, w.name".replace("count(*) AS members", "count(DISTINCT j.k) AS members"))
+def deduplicated_concepts(spark: SparkSession, d: str) -> DataFrame:
+    """Raw concepts merged by slug, then by similar names or contents."""
+    out = D.deduplicate(_raw_mentions(spark, d))
+    return out.select("slug", "name", "members", F.size("source_files").cast("long").alias("files"))
+
+
+def _raw_mentions(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = B.mentions(spark, d).where(T.slugify(F.col("name")) != "")
+    place = F.row_number().over(Window.orderBy("source_file", "idx", "rank"))
+    return G.stored(rows.select(place.alias("ord"), "name", F.col("definition").alias("raw_content"), F.array(F.concat_ws(":", "source_file", "idx")).alias("source_chunks"), F.array("source_file").alias("source_files"), F.lit("llm").alias("extraction_method"), F.lit(0.9).alias("confidence")))
+
+
+@query(f"WITH {_DEDUP.split('ws AS (')[0].rstrip().rstrip(',')} SELECT slug, name, content AS raw_content FROM one")
+def merged_by_slug(spark: SparkSession, d: str) -> DataFrame:
+    """Raw concepts of one slug as one, each paragraph once."""
+    return D.merge_by_slug(_raw_mentions(spark, d)).select("slug", "name", "raw_content")
+
+
+_VISIBLE = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<head\\b.*?</head\\s*>', ' ', 'g'), '(?i)</p>|</div>|</li>|</h[1-6]>|<br\\s*/?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+for _code, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _VISIBLE = f"replace({_VISIBLE}, '{_code}', '{_sign}')"
+
+
+@query(f"SELECT page_id, 0 AS idx, 'assistant' AS role, {_strip('text')} AS content FROM (SELECT page_id, {_VISIBLE} AS text FROM pages)")
 def page_turns(spark: SparkSession, d: str) -> DataFrame:
     """Extension: pages as transcripts, through the reader for HTML."""
     pages = B.table(spark, d, "pages").select("page_id", S.page_text(F.col("html")).alias("text"))
@@ -256,15 +339,15 @@ def mock_concepts(spark: SparkSession, d: str) -> DataFrame:
     return B.mentions(spark, d)
 
 
-@query("""
-SELECT c.conv_id, c.turn, w.name, regexp_matches(lower(c.text), '(^|[^a-z0-9])' || lower(w.name) || '($|[^a-z0-9])')
-   OR (w.name LIKE '%s' AND length(w.name) > 3 AND regexp_matches(lower(c.text), '(^|[^a-z0-9])' || substr(lower(w.name), 1, length(w.name) - 1) || '($|[^a-z0-9])')) AS grounded
-FROM conversations c, (VALUES ('The'), ('Thes'), ('Vector Embeddings'), ('of'), ('Ions')) AS w(name)
-""")
+@query(f"""WITH {_mentions('assistant')}, w AS (SELECT DISTINCT source_file, lower(name) AS name FROM mentions), t AS (SELECT conv_id::VARCHAR AS source_file, turn AS idx, lower(text) AS low FROM conversations)
+SELECT t.source_file, t.idx, w.name, regexp_matches(low, '(^|[^a-z0-9])' || name || '($|[^a-z0-9])')
+   OR (name LIKE '%s' AND length(name) > 3 AND regexp_matches(low, '(^|[^a-z0-9])' || substr(name, 1, length(name) - 1) || '($|[^a-z0-9])')) AS grounded
+FROM t JOIN w USING (source_file)""")
 def concept_grounding(spark: SparkSession, d: str) -> DataFrame:
-    names = F.explode(F.array(*(F.lit(n) for n in ("The", "Thes", "Vector Embeddings", "of", "Ions")))).alias("name")
-    rows = B.table(spark, d, "conversations").select("conv_id", "turn", "text", names)
-    return rows.select("conv_id", "turn", "name", C.is_grounded(F.col("name"), F.col("text")).alias("grounded"))
+    """Whether each name of a conversation stands in each of its turns."""
+    names = B.mentions(spark, d).select("source_file", F.lower("name").alias("name")).distinct()
+    rows = B.turns(spark, d).join(names, "source_file")
+    return rows.select("source_file", "idx", "name", C.is_grounded(F.col("name"), F.col("content")).alias("grounded"))
 
 
 @query(f"WITH {_concepts()} SELECT name, slug, definition, array_to_string(tags, ' ') AS tags, array_to_string(source_files, ' ') AS source_files, confidence, mentions, hash FROM concepts")
@@ -295,42 +378,42 @@ def fluff_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _named_texts(spark: SparkSession, d: str) -> DataFrame:
-    """The first concept of each assistant turn, with the sentences of the turn."""
-    first = B.mentions(spark, d).where("rank = 0").select("source_file", "idx", "name")
-    return B.turns(spark, d).join(first, ["source_file", "idx"]).select("source_file", "idx", "name", "content", T.sentences(F.col("content")).alias("parts"))
+    """Each concept of each assistant turn, with the sentences of the turn."""
+    named = B.mentions(spark, d).select("source_file", "idx", "rank", "name")
+    return B.turns(spark, d).join(named, ["source_file", "idx"]).select("source_file", "idx", "rank", "name", "content", T.sentences(F.col("content")).alias("parts"))
 
 
 _NAMED = f"""{_mentions('assistant')}, named AS (
-  SELECT m.source_file, m.idx, m.name, {_sentences('c.text')} AS parts
-  FROM mentions m JOIN conversations c ON c.conv_id::VARCHAR = m.source_file AND c.turn = m.idx WHERE m.rank = 0
+  SELECT m.source_file, m.idx, m.rank, m.name, {_sentences('c.text')} AS parts
+  FROM mentions m JOIN conversations c ON c.conv_id::VARCHAR = m.source_file AND c.turn = m.idx
 ), defined AS (
   SELECT *, {_squeeze("array_to_string((CASE WHEN len(list_filter(parts, lambda s: contains(lower(s), lower(name)))) > 0 THEN list_filter(parts, lambda s: contains(lower(s), lower(name))) ELSE parts END)[1:3], ' ')")} AS definition FROM named
 )"""
 
 
-@query(f"WITH {_NAMED} SELECT source_file, idx, name, definition FROM defined")
+@query(f"WITH {_NAMED} SELECT source_file, idx, rank, name, definition FROM defined")
 def definitions(spark: SparkSession, d: str) -> DataFrame:
-    return _named_texts(spark, d).select("source_file", "idx", "name", C.build_definition(F.col("name"), F.col("parts")).alias("definition"))
+    return _named_texts(spark, d).select("source_file", "idx", "rank", "name", C.build_definition(F.col("name"), F.col("parts")).alias("definition"))
 
 
 @query(f"""WITH {_NAMED}, s AS (
-  SELECT source_file, idx, definition, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM defined
+  SELECT source_file, idx, rank, definition, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM defined
 ), n AS (
   SELECT *, lower({_squeeze('part')}) AS norm, lower(definition) AS known FROM s
 ), u AS (
-  SELECT *, row_number() OVER (PARTITION BY source_file, idx, norm ORDER BY i) AS k,
+  SELECT *, row_number() OVER (PARTITION BY source_file, idx, rank, norm ORDER BY i) AS k,
     list_distinct(regexp_extract_all(norm, '[\\p{{L}}\\p{{N}}_]+')) AS a, list_distinct(regexp_extract_all(known, '[\\p{{L}}\\p{{N}}_]+')) AS b FROM n
 ), f AS (
-  SELECT *, row_number() OVER (PARTITION BY source_file, idx ORDER BY i) AS r FROM u
+  SELECT *, row_number() OVER (PARTITION BY source_file, idx, rank ORDER BY i) AS r FROM u
   WHERE k = 1 AND NOT contains(known, norm) AND NOT contains(norm, known)
     AND (len(a) = 0 OR len(b) = 0 OR len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) <= 0.7)
 ), e AS (
-  SELECT source_file, idx, {_squeeze("string_agg(part, ' ' ORDER BY i)")} AS explanation FROM f WHERE r <= 8 GROUP BY source_file, idx
+  SELECT source_file, idx, rank, {_squeeze("string_agg(part, ' ' ORDER BY i)")} AS explanation FROM f WHERE r <= 8 GROUP BY source_file, idx, rank
 )
-SELECT d.source_file, d.idx, coalesce(e.explanation, '') AS explanation FROM defined d LEFT JOIN e USING (source_file, idx)""")
+SELECT d.source_file, d.idx, d.rank, coalesce(e.explanation, '') AS explanation FROM defined d LEFT JOIN e USING (source_file, idx, rank)""")
 def explanations(spark: SparkSession, d: str) -> DataFrame:
     rows = _named_texts(spark, d).withColumn("definition", C.build_definition(F.col("name"), F.col("parts")))
-    return rows.select("source_file", "idx", C.build_explanation(F.col("parts"), F.col("definition")).alias("explanation"))
+    return rows.select("source_file", "idx", "rank", C.build_explanation(F.col("parts"), F.col("definition")).alias("explanation"))
 
 
 _TELLS = " OR ".join(f"contains(lower(s), '{p}')" for p in C.KEY_PHRASES)
@@ -388,8 +471,10 @@ def links_typed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    nodes, edges = G.build(B.concepts(spark, d), B.links(spark, d))
-    return nodes, G.stored(edges)  # scored once, walked along several times
+    """The concepts and their edges, each computed once and then walked along several times."""
+    concepts = G.stored(B.concepts(spark, d))
+    nodes, edges = G.build(concepts, K.score_links(concepts))
+    return nodes, G.stored(edges)
 
 
 @query(f"WITH {_concepts()} SELECT slug, name FROM concepts")
@@ -414,12 +499,17 @@ def degree_centrality(spark: SparkSession, d: str) -> DataFrame:
     return G.degree_centrality(*_graph(spark, d))
 
 
-@query()
+_REACH = "reach AS (SELECT slug AS a, slug AS b FROM concepts UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b), clusters AS (SELECT a AS slug, min(b) AS cluster FROM reach GROUP BY a)"
+_RECURSIVE = _GRAPH.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(f"""{_RECURSIVE}, {_REACH}, n AS (SELECT (SELECT count(*) FROM concepts) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT source, target, type FROM links)) AS edges, (SELECT count(*) FROM pairs) AS pairs, (SELECT count(DISTINCT cluster) FROM clusters) AS clusters)
+SELECT nodes, edges, pairs, clusters, round(CASE WHEN nodes > 1 THEN pairs / (nodes * (nodes - 1)) ELSE 0.0 END, 4) AS density FROM n""")
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:
     return G.stats(*_graph(spark, d))
 
 
-@query()
+@query(f"{_RECURSIVE}, {_REACH} SELECT slug, cluster FROM clusters")
 def components(spark: SparkSession, d: str) -> DataFrame:
     return G.clusters(*_graph(spark, d))
 
@@ -434,7 +524,21 @@ def subgraph(spark: SparkSession, d: str) -> DataFrame:
     return G.subgraph(edges, R.top(nodes, "mentions", "slug", 1), 2)[1].select("source", "target", "type")
 
 
-@query()
+def _hops(n: int) -> str:
+    """CTEs ``d1`` .. ``dn`` of nodes at that distance from the start, and ``p1`` .. of the shortest paths to them."""
+    out = ["d0 AS (SELECT slug FROM concepts ORDER BY mentions DESC, slug LIMIT 1)", "p0 AS (SELECT slug AS b, slug AS path FROM d0)"]
+    for k in range(1, n + 1):
+        nearer = " UNION ALL ".join(f"SELECT slug FROM d{i}" for i in range(k))
+        out.append(f"d{k} AS (SELECT DISTINCT b AS slug FROM both_ways WHERE a IN (SELECT slug FROM d{k - 1}) AND b NOT IN ({nearer}))")
+        out.append(f"p{k} AS (SELECT e.b, p.path || chr(1) || e.b AS path FROM p{k - 1} p JOIN both_ways e ON e.a = p.b WHERE e.b IN (SELECT slug FROM d{k}))")
+    return ", ".join(out)
+
+
+_PATHS = f"""{_GRAPH}, {_hops(4)}, allp AS ({' UNION ALL '.join(f'SELECT * FROM p{k}' for k in range(1, 5))}),
+routes AS (SELECT (SELECT slug FROM d0) AS a, b, row_number() OVER (PARTITION BY b ORDER BY path)::INTEGER AS rank, replace(path, chr(1), ' > ') AS path FROM allp)"""
+
+
+@query(f"{_PATHS} SELECT a, b, rank, path FROM routes WHERE rank <= 3")
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     """From the most mentioned concept to every other."""
     nodes, edges = _graph(spark, d)
@@ -443,6 +547,23 @@ def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     return G.shortest_paths(edges, pairs).select("a", "b", "rank", F.array_join("path", " > ").alias("path"))
 
 
+@query(f"""{_PATHS}, steps AS (SELECT b, generate_subscripts(l, 1) AS i, l[generate_subscripts(l, 1)] AS x, l[generate_subscripts(l, 1) + 1] AS y FROM (SELECT b, string_split(path, ' > ') AS l FROM routes WHERE rank = 1)),
+kinds AS (SELECT source, target, min(type) AS type FROM links GROUP BY source, target)
+SELECT s.b, string_agg(coalesce(f.type, r.type), ' ' ORDER BY i) AS edge_types FROM steps s LEFT JOIN kinds f ON f.source = s.x AND f.target = s.y LEFT JOIN kinds r ON r.source = s.y AND r.target = s.x WHERE s.y IS NOT NULL GROUP BY s.b""")
+def path_types(spark: SparkSession, d: str) -> DataFrame:
+    """The types of the edges along the first shortest path from the most mentioned concept to each other."""
+    nodes, edges = _graph(spark, d)
+    start = R.top(nodes, "mentions", "slug", 1).select(F.col("slug").alias("a"))
+    pairs = nodes.select(F.col("slug").alias("b")).join(F.broadcast(start))  # one row
+    return A.typed_paths(G.shortest_paths(edges, pairs, keep=1), edges).select("b", F.array_join("edge_types", " ").alias("edge_types"))
+
+
+@query(f"{_GRAPH}, e AS (SELECT DISTINCT ON (source, target) source, target, type, confidence FROM links ORDER BY source, target, confidence DESC, type DESC) SELECT source, target, type, confidence FROM e")
+def surest_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Outgoing neighbours with the surest edge to each."""
+    return G.outgoing_types(_graph(spark, d)[1])
+
+
 _WALK = f"""{_keyword('(SELECT slug, name || chr(32) || definition AS t FROM concepts)', 'slug', 't')},
 seeds AS (SELECT slug, score FROM kw ORDER BY score DESC, slug LIMIT 10),
 h1 AS (SELECT s.slug AS seed, s.score AS sigma, p.target AS mid, p.confidence FROM seeds s JOIN pairs p ON p.source = s.slug WHERE p.target <> s.slug),
@@ -511,6 +632,33 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.top(R.hybrid(nodes, edges, ASKED), "total", "slug", 10).select("slug", "total")
 
 
+@query(f"""{_GRAPH}, {_WALK}, hits AS (SELECT slug, round(total, 3) AS total, row_number() OVER (ORDER BY total DESC, slug)::INTEGER AS rank FROM fused WHERE total > 0),
+near AS (SELECT a AS slug, array_to_string(list(b ORDER BY b)[1:5], ' ') AS related FROM both_ways GROUP BY a)
+SELECT h.rank, h.slug, c.name, h.total, c.definition, array_to_string(c.tags, ' ') AS tags, coalesce(n.related, '') AS related FROM hits h JOIN concepts c USING (slug) LEFT JOIN near n USING (slug) WHERE h.rank <= 5""")
+def search_hits(spark: SparkSession, d: str) -> DataFrame:
+    """What the search tool answers with."""
+    rows = A.search_rows(*_graph(spark, d), ASKED)
+    return rows.withColumn("tags", F.array_join("tags", " ")).withColumn("related", F.array_join("related", " "))
+
+
+@query(f"""WITH {_concepts()}, {_concepts('user', 'u_')}, asked AS (SELECT upper(name) AS name FROM u_concepts UNION SELECT slug FROM u_concepts),
+m AS (SELECT a.name, c.slug, 0 AS k FROM asked a JOIN concepts c ON c.slug = {_slug('a.name')} UNION ALL SELECT a.name, c.slug, 1 FROM asked a JOIN concepts c ON lower(c.name) = lower(a.name))
+SELECT name, arg_min(slug, {{'k': k, 's': slug}}) AS slug FROM m GROUP BY name""")
+def resolved_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names and slugs from the users' turns, resolved to concepts of the assistant's."""
+    asked = B.concepts(spark, d, "human")
+    names = asked.select(F.upper("name").alias("name")).unionByName(asked.select(F.col("slug").alias("name"))).distinct()
+    return A.resolve(B.concepts(spark, d), names)
+
+
+@query(f"WITH {_concepts()} SELECT name, slug, confidence, array_to_string(tags, ' ') AS tags FROM concepts WHERE list_contains(list_transform(tags, lambda t: lower(t)), (SELECT min(tags[1]) FROM concepts))")
+def listed_concepts(spark: SparkSession, d: str) -> DataFrame:
+    """The concepts with the tag that comes first in the alphabet among the leading ones."""
+    concepts = G.stored(B.concepts(spark, d))
+    tag = concepts.agg(F.min(F.get("tags", F.lit(0)))).head()[0] or ""
+    return A.list_concepts(concepts, tag.upper()).withColumn("tags", F.array_join("tags", " "))
+
+
 @query(f"""WITH {_VECTOR}, {_keyword('documents', 'doc_id', 'text')}
 SELECT slug, round(0.4 * coalesce(k.score, 0) + 0.4 * coalesce(s.score, 0), 9) AS total, coalesce(k.score, 0) > 0 AS by_keyword, coalesce(s.score, 0) > 0 AS by_vector
 FROM (SELECT doc_id AS slug, score FROM kw) k FULL JOIN (SELECT vec_id AS slug, score FROM sem) s USING (slug)
@@ -522,9 +670,25 @@ def hybrid_documents(spark: SparkSession, d: str) -> DataFrame:
     return out.select("slug", "total", F.array_contains("matched_via", "keyword").alias("by_keyword"), F.array_contains("matched_via", "semantic").alias("by_vector"))
 
 
-@query(f"WITH {_concepts()} SELECT slug, confidence FROM concepts WHERE list_contains(tags, 'anderwhedor') AND confidence >= 0.5")
+@query(f"WITH {_concepts()} SELECT slug, confidence FROM concepts WHERE list_contains(tags, (SELECT min(tags[1]) FROM concepts)) AND confidence >= 0.5")
 def filtered_concepts(spark: SparkSession, d: str) -> DataFrame:
-    return R.filter_concepts(B.concepts(spark, d), tag="anderwhedor", min_confidence=0.5).select("slug", "confidence")
+    concepts = G.stored(B.concepts(spark, d))
+    tag = concepts.agg(F.min(F.get("tags", F.lit(0)))).head()[0] or ""
+    return R.filter_concepts(concepts, tag=tag, min_confidence=0.5).select("slug", "confidence")
+
+
+@query(f"WITH {_concepts()} SELECT slug, name || '. ' || definition AS text FROM concepts")
+def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What an embedding model would be given of each concept."""
+    concepts = B.concepts(spark, d)
+    return concepts.select("slug", R.embedding_text(concepts).alias("text"))
+
+
+@query(f"{_GRAPH} SELECT 'node' AS kind, count(*) AS n FROM concepts UNION ALL SELECT 'edge', count(*) FROM (SELECT DISTINCT source, target, type FROM links) UNION ALL SELECT 'stats', 1")
+def graph_export(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of the graph's JSON form by kind; each must be an object."""
+    rows = O.graph_json(*_graph(spark, d))
+    return rows.where(F.try_parse_json("json").isNotNull()).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(f"""{_GRAPH}, {_WALK}, hits AS (SELECT slug, total FROM fused WHERE total > 0 ORDER BY total DESC, slug LIMIT 10),
@@ -649,11 +813,11 @@ def judgments(spark: SparkSession, d: str) -> DataFrame:
 _RELEVANT = "t AS (SELECT slug, unnest(tags) AS tag FROM concepts), rel AS (SELECT DISTINCT a.slug AS query, b.slug AS relevant FROM t a JOIN t b ON a.tag = b.tag AND a.slug <> b.slug), sizes AS (SELECT query, count(*) AS n FROM rel GROUP BY query)"
 
 
-def _ranked_links(spark: SparkSession, d: str) -> DataFrame:
+def _ranked_links(concepts: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "target"))
-    return B.links(spark, d).select(F.col("source").alias("query"), F.col("target").alias("item"), rank.alias("rank"))
+    return K.score_links(concepts).select(F.col("source").alias("query"), F.col("target").alias("item"), rank.alias("rank"))
 
 
 @query(f"""WITH {_concepts()}, {_links()}, {_RELEVANT}, got AS (SELECT source AS query, target AS item, row_number() OVER (PARTITION BY source ORDER BY score DESC, target) AS rank FROM links),
@@ -661,25 +825,52 @@ h AS (SELECT g.query, count(*) AS hits FROM got g JOIN rel r ON r.query = g.quer
 SELECT q.query, round(coalesce(coalesce(h.hits, 0) / s.n, 0.0), 9) AS recall FROM (SELECT query FROM got UNION SELECT query FROM rel) q LEFT JOIN sizes s USING (query) LEFT JOIN h USING (query)""")
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     """How many of the concepts that share a tag are among the five best links."""
-    out = E.recall_at_k(E.judgments(B.concepts(spark, d)), _ranked_links(spark, d), 5)
+    concepts = G.stored(B.concepts(spark, d))
+    out = E.recall_at_k(E.judgments(concepts), _ranked_links(concepts), 5)
     return out.select("query", F.round("recall", 9).alias("recall"))
 
 
-@query(f"""WITH {_concepts()}, {_links()}, {_RELEVANT},
+_COMPONENTS = """
+cq AS (SELECT slug AS query, w, count(*) AS times FROM (SELECT slug, unnest(regexp_extract_all(lower(name || ' ' || array_to_string(tags, ' ')), '[a-z0-9]+')) AS w FROM concepts) GROUP BY 1, 2),
+cd AS (SELECT slug AS item, regexp_extract_all(lower(name || ' ' || definition), '[a-z0-9]+') AS t FROM concepts),
+ctf AS (SELECT item, len, w, count(*) AS tf FROM (SELECT item, len(t) AS len, unnest(t) AS w FROM cd) GROUP BY 1, 2, 3),
+cidf AS (SELECT w, ln(((SELECT count(*) FROM cd) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM ctf GROUP BY w),
+craw AS (SELECT query, item, sum(tf / len * idf * times) AS raw FROM cq JOIN cidf USING (w) JOIN ctf USING (w) GROUP BY 1, 2),
+ckw AS (SELECT query, item, raw / max(raw) OVER (PARTITION BY query) AS keyword FROM craw),
+cseed AS (SELECT query, item AS seed, keyword AS sigma FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(keyword, 9) DESC, item) AS r FROM ckw WHERE keyword > 0) WHERE r <= 10),
+c1 AS (SELECT query, seed, sigma, target AS mid, confidence FROM cseed JOIN pairs ON source = seed WHERE target <> seed),
+c2 AS (SELECT query, seed, sigma, mid, target, p.confidence FROM c1 JOIN pairs p ON p.source = mid WHERE target <> seed AND target <> mid),
+cparts AS (SELECT query, seed AS item, sigma AS s FROM cseed UNION ALL SELECT query, mid, sigma * confidence * 0.5 FROM c1 UNION ALL SELECT query, target, sigma * confidence * 0.2 FROM c2),
+cwalk AS (SELECT query, item, raw / max(raw) OVER (PARTITION BY query) AS graph FROM (SELECT query, item, sum(s) AS raw FROM cparts GROUP BY 1, 2)),
+parts AS (SELECT query, item, round(coalesce(keyword, 0), 9) AS keyword, 0.0 AS semantic, round(coalesce(graph, 0), 9) AS graph FROM ckw FULL JOIN cwalk USING (query, item))"""
+
+
+def _component_scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = _graph(spark, d)
+    return G.stored(E.component_scores(nodes, edges)), nodes
+
+
+@query(f"""{_GRAPH}, {_RELEVANT}, {_COMPONENTS},
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY total DESC, item) AS rank FROM (SELECT *, round(keyword * 0.6 + graph * 0.4, 9) AS total FROM parts) WHERE total > 0 AND item <> query),
+h AS (SELECT r.query, count(*) AS hits FROM r JOIN rel ON rel.query = r.query AND rel.relevant = r.item WHERE rank <= 5 GROUP BY 1)
+SELECT q.query, round(coalesce(coalesce(h.hits, 0) / s.n, 0.0), 6) AS recall FROM (SELECT query FROM r UNION SELECT query FROM rel) q LEFT JOIN sizes s USING (query) LEFT JOIN h USING (query)""")
+def query_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Each concept's name and tags as a query: how many of those that share a tag are among the five best."""
+    scores, nodes = _component_scores(spark, d)
+    return E.evaluate_weights(scores, E.judgments(nodes), R.WEIGHTS["no_vectors"], 5).select("query", F.round("recall", 6).alias("recall"))
+
+
+@query(f"""{_GRAPH}, {_RELEVANT}, {_COMPONENTS},
 grid AS (SELECT a / 10 AS w_keyword, b / 10 AS w_semantic, (10 - a - b) / 10 AS w_graph FROM (SELECT unnest(range(11)) AS a), (SELECT unnest(range(11)) AS b) WHERE a + b <= 10),
-parts AS (SELECT source AS query, target AS item, round(score / max(score) OVER (PARTITION BY source), 9) AS keyword, 0.0 AS semantic, confidence AS graph FROM links),
 w AS (SELECT *, round(keyword * w_keyword + semantic * w_semantic + graph * w_graph, 9) AS total FROM parts, grid),
 r AS (SELECT *, row_number() OVER (PARTITION BY w_keyword, w_semantic, w_graph, query ORDER BY total DESC, item) AS rank FROM w WHERE total > 0 AND item <> query),
 h AS (SELECT w_keyword, w_semantic, w_graph, r.query, count(*) AS hits FROM r JOIN rel ON rel.query = r.query AND rel.relevant = r.item WHERE rank <= 5 GROUP BY ALL),
 m AS (SELECT w_keyword, w_semantic, w_graph, sum(hits / n) AS s FROM h JOIN sizes USING (query) GROUP BY ALL)
 SELECT w_keyword, w_semantic, w_graph, round(coalesce(s, 0.0) / (SELECT count(DISTINCT query) FROM parts), 6) AS recall FROM grid LEFT JOIN m USING (w_keyword, w_semantic, w_graph)""")
 def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Recall over the grid of weights, with link scores as the keyword part and no vectors."""
-    from pyspark.sql import Window
-
-    best = F.max("score").over(Window.partitionBy("source"))
-    scores = B.links(spark, d).select(F.col("source").alias("query"), F.col("target").alias("item"), F.round(F.col("score") / best, 9).alias("keyword"), F.lit(0.0).alias("semantic"), F.col("confidence").alias("graph"))
-    return E.sweep_weights(scores, E.judgments(B.concepts(spark, d)), E.weight_grid(spark), 5)
+    """Recall over the grid of weights; as no vectors are asked here, the semantic weight only takes from the others."""
+    scores, nodes = _component_scores(spark, d)
+    return E.sweep_weights(scores, E.judgments(nodes), E.weight_grid(spark), 5)
 
 
 def _expected(spark: SparkSession, d: str) -> DataFrame:
@@ -709,7 +900,7 @@ n AS (SELECT count(*) AS expected, count(found) AS matched, count(*) FILTER (fou
 SELECT round(CASE WHEN expected > 0 THEN matched / expected ELSE 1.0 END, 3) AS recall, round(CASE WHEN matched > 0 THEN fit / matched ELSE 1.0 END, 3) AS type_accuracy, matched, expected FROM n""")
 def relationship_scores(spark: SparkSession, d: str) -> DataFrame:
     """Whether each link is also found in the other direction."""
-    found = B.links(spark, d).select("source", "target", "type")
+    found = G.stored(B.links(spark, d).select("source", "target", "type"))
     return E.relationship_scores(found.select(F.col("target").alias("source"), F.col("source").alias("target"), "type").distinct(), found)
 
 
