@@ -61,3 +61,15 @@ def test_the_apache_header_as_files_have_it(spark):
     text = '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in\n# compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n'
     got = [tuple(r) for r in licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()]
     assert got == [(1, "Apache-2.0", 0, "apache-grant apache-use apache-copy")]
+
+
+def test_the_sql_says_the_same(spark):
+    import duckdb
+
+    wording = dict(licenses.SENTENCES)
+    texts = [" ".join(wording[i] for i in seq) for _, seq in licenses.RULES]
+    rows = list(enumerate([t.replace(" the ", "\n// the ") for t in texts] + texts + ["MIT License\n\n" + wording["mit-notice"], "none", "", "All rights\nreserved. All rights reserved."]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in licenses.scan_licenses(docs).select("doc_id", "license", "position", "matched").collect())
+    documents = docs.toPandas()  # noqa: F841 - read by the SQL
+    assert got == sorted(duckdb.sql(licenses.OP10_SQL).fetchall())

@@ -57,8 +57,45 @@ SENTENCES = (
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
     ("all-rights", "All rights reserved."),
+    ("apache-warranty", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
+    ("apache-limits", "See the License for the specific language governing permissions and limitations under the License."),
+    ("apache-contributors", "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements."),
+    ("mit-grant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("mit-warranty", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'),
+    ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd-endorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("gpl2-free", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl-copy", "You should have received a copy of the GNU General Public License along with this program."),
+    ("gpl-details", "See the GNU General Public License for more details."),
+    ("lgpl21-free", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl3-free", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl3-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("epl2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/."),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty."),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("ofl", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("by-nc-sa-short", "Licensed under CC BY-NC-SA 4.0."),
+    ("by-nc-nd-short", "Licensed under CC BY-NC-ND 4.0."),
+    ("by-nd-short", "Licensed under CC BY-ND 4.0."),
+    ("by-nc-long", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("by-nc-sa-long", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("by-nc-nd-long", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("by-nd-long", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("by3-long", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+    ("by-sa3-long", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    ("cc0-short", "Licensed under CC0 1.0."),
 )
 
+#: Licences that a line "SPDX-License-Identifier: ..." may name.
+SPDX = (
+    "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 EUPL-1.2 "
+    "GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-2.0 OFL-1.1 PostgreSQL Python-2.0 Unlicense WTFPL Zlib"
+).split()
+SENTENCES += tuple((f"spdx-{x.lower()}", f"SPDX-License-Identifier: {x}") for x in SPDX)
+
 #: Rules: licence, and the identifiers that stand one after the other.
 RULES = (
     ("Apache-2.0", ("apache-short",)),
@@ -87,10 +124,42 @@ RULES = (
     ("ISC", ("isc",)),
     ("Unlicense", ("unlicense",)),
     ("Proprietary", ("all-rights",)),
-)
+    ("Apache-2.0", ("apache-grant", "apache-use", "apache-copy", "apache-warranty", "apache-limits")),
+    ("Apache-2.0", ("apache-grant-full", "apache-copy", "apache-warranty")),
+    ("Apache-2.0", ("apache-grant-full", "apache-copy", "apache-warranty", "apache-limits")),
+    ("Apache-2.0", ("apache-contributors",)),
+    ("MIT", ("mit-grant", "mit-notice")),
+    ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
+    ("MIT", ("mit-title", "mit-grant", "mit-notice", "mit-warranty")),
+    ("MIT-0", ("mit-grant", "mit-warranty")),
+    ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-3-Clause", ("bsd-title-3", "bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl-warranty", "gpl-details", "gpl-copy")),
+    ("GPL-2.0-or-later", ("gpl2-free",)),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-warranty", "gpl-details", "gpl-copy")),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("EPL-2.0", ("epl2",)),
+    ("BSL-1.0", ("boost",)),
+    ("Zlib", ("zlib", "zlib-grant")),
+    ("0BSD", ("0bsd",)),
+    ("OFL-1.1", ("ofl",)),
+    ("CC-BY-NC-SA-4.0", ("by-nc-sa-short",)),
+    ("CC-BY-NC-SA-4.0", ("by-nc-sa-long",)),
+    ("CC-BY-NC-ND-4.0", ("by-nc-nd-short",)),
+    ("CC-BY-NC-ND-4.0", ("by-nc-nd-long",)),
+    ("CC-BY-ND-4.0", ("by-nd-short",)),
+    ("CC-BY-ND-4.0", ("by-nd-long",)),
+    ("CC-BY-NC-4.0", ("by-nc-long",)),
+    ("CC-BY-3.0", ("by3-long",)),
+    ("CC-BY-SA-3.0", ("by-sa3-long",)),
+    ("CC0-1.0", ("cc0-short",)),
+) + tuple((x, (f"spdx-{x.lower()}",)) for x in SPDX)
 
 #: Every known sentence has one of these within a word; others may be passed with other sentences.
-MARKERS = ("licens", "copyright", "reserved", "warranty", "redistribution", "domain", "mpl")
+MARKERS = ("licens", "copyright", "reserved", "warrant", "redistribut", "domain", "mpl", "hereby granted", "endorse")
 
 #: A sentence end that is not a line end, and what normalising replaces by one space.
 _END, _OTHER = r"([.!?])[ \t\r]+", r"[^\p{L}\p{N}]+"
@@ -111,10 +180,9 @@ def _pieces(text: Column) -> Column:
 
 def _begun(pieces: Column, heads: list[str], most: int) -> Column:
     """(position, head, rest) of each piece that begins with a known first word; rest has ``most`` pieces, as lines."""
-    known = F.array(*(F.lit(x) for x in heads))
     head = lambda x: F.substring_index(x["norm"], " ", 1)
     numbered = F.transform(pieces, lambda x, i: F.struct(x["position"].alias("position"), head(x).alias("head"), i.alias("i")))
-    begun = F.filter(numbered, lambda x: F.array_contains(known, x["head"]))
+    begun = F.filter(numbered, lambda x: x["head"].isin(heads))
     rest = lambda x: F.array_join(F.transform(F.slice(pieces, x["i"] + 1, F.lit(most)), lambda y: y["norm"]), "\n")
     ends = lambda x: F.transform(F.slice(pieces, x["i"] + 1, F.lit(most)), lambda y: y["position"])
     return F.transform(begun, lambda x: F.struct(x["position"].alias("position"), x["head"].alias("head"), rest(x).alias("rest"), ends(x).alias("ends")))
@@ -175,24 +243,33 @@ def _values(rows) -> str:
 
 
 _SQL_NORM = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+#: Pieces begin at line ends and after the end of a sentence; a sentence is one piece or several in a row.
 OP10_SQL = f"""
-WITH k AS (
+WITH RECURSIVE k AS (
   SELECT {_SQL_NORM.format("wording")} AS norm, min(sid) AS sid FROM (VALUES {_values(SENTENCES)}) AS v(sid, wording) GROUP BY 1
 ), r AS (
-  SELECT * FROM (VALUES {_values(RULES)}) AS v(license, seq)
+  SELECT license, seq, len(seq) AS n FROM (VALUES {_values(RULES)}) AS v(license, seq)
 ), s AS (
-  SELECT doc_id, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS position
+  SELECT doc_id, {_SQL_NORM.format("unnest(parts)")} AS norm, generate_subscripts(parts, 1) - 1 AS position
   FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM documents)
+), d AS (
+  SELECT doc_id, list(norm ORDER BY position) AS norms, list(position ORDER BY position) AS places FROM s WHERE norm <> '' GROUP BY doc_id
+), b AS (
+  SELECT doc_id, norms, places, unnest(range(1, len(norms) + 1)) AS i FROM d
 ), f AS (
-  SELECT s.doc_id, s.position, k.sid FROM s JOIN k ON {_SQL_NORM.format("s.sentence")} = k.norm
-), l AS (
-  SELECT doc_id, list(sid ORDER BY position) AS ids, list(position ORDER BY position) AS places FROM f GROUP BY doc_id
-), p AS (
-  SELECT doc_id, ids, places, unnest(range(1, len(ids) + 1)) AS i FROM l
+  SELECT doc_id, places[i] AS position, places[j] AS finish, sid FROM (
+    SELECT b.doc_id, b.norms, b.places, b.i, k.norm, k.sid, unnest(range(b.i, least(b.i + len(string_split(k.norm, ' ')), len(b.norms) + 1))) AS j
+    FROM b JOIN k ON starts_with(k.norm, b.norms[b.i])
+  ) WHERE array_to_string(norms[i:j], ' ') = norm
+), nx AS (
+  SELECT e.doc_id, e.finish, min(g.position) AS position FROM (SELECT DISTINCT doc_id, finish FROM f) e JOIN f g ON g.doc_id = e.doc_id AND g.position > e.finish GROUP BY 1, 2
 ), m AS (
-  SELECT p.doc_id, p.places[p.i]::INTEGER AS position, r.license, r.seq,
-         row_number() OVER (PARTITION BY p.doc_id, p.i ORDER BY len(r.seq) DESC, r.license DESC) AS n
-  FROM p JOIN r ON p.ids[p.i : p.i + len(r.seq) - 1] = r.seq
+  SELECT f.doc_id, f.position, f.finish, r.license, r.seq, r.n, 1 AS step FROM f JOIN r ON r.seq[1] = f.sid
+  UNION ALL
+  SELECT m.doc_id, m.position, g.finish, m.license, m.seq, m.n, m.step + 1 FROM m
+  JOIN nx ON nx.doc_id = m.doc_id AND nx.finish = m.finish JOIN f g ON g.doc_id = m.doc_id AND g.position = nx.position AND g.sid = m.seq[m.step + 1] WHERE m.step < m.n
+), w AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, position ORDER BY n DESC, license DESC, array_to_string(seq, ' ') DESC) AS best FROM m WHERE step = n
 )
-SELECT doc_id, license, position, array_to_string(seq, ' ') AS matched FROM m WHERE n = 1
+SELECT doc_id, license, position::INTEGER AS position, array_to_string(seq, ' ') AS matched FROM w WHERE best = 1
 """
