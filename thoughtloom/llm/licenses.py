@@ -75,7 +75,6 @@ SENTENCES = (
     ("boost", "Distributed under the Boost Software License, Version 1.0."),
     ("zlib", "This software is provided 'as-is', without any express or implied warranty."),
     ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
-    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
     ("ofl", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
     ("by-nc-sa-short", "Licensed under CC BY-NC-SA 4.0."),
     ("by-nc-nd-short", "Licensed under CC BY-NC-ND 4.0."),
@@ -144,7 +143,6 @@ RULES = (
     ("EPL-2.0", ("epl2",)),
     ("BSL-1.0", ("boost",)),
     ("Zlib", ("zlib", "zlib-grant")),
-    ("0BSD", ("0bsd",)),
     ("OFL-1.1", ("ofl",)),
     ("CC-BY-NC-SA-4.0", ("by-nc-sa-short",)),
     ("CC-BY-NC-SA-4.0", ("by-nc-sa-long",)),
@@ -159,7 +157,7 @@ RULES = (
 ) + tuple((x, (f"spdx-{x.lower()}",)) for x in SPDX)
 
 #: Every known sentence has one of these within a word; others may be passed with other sentences.
-MARKERS = ("licens", "copyright", "reserved", "warrant", "redistribut", "domain", "mpl", "hereby granted", "endorse")
+MARKERS = ("licens", "copyright", "reserved", "warrant", "redistribut", "domain", "mpl", "endorse")
 
 #: A sentence end that is not a line end, and what normalising replaces by one space.
 _END, _OTHER = r"([.!?])[ \t\r]+", r"[^\p{L}\p{N}]+"
