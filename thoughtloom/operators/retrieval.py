@@ -50,9 +50,10 @@ def unit(v: Column) -> Column:
     return F.when(size > 0, F.transform(v, lambda x: x.cast("double") / size)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
-def vector_scores(vectors: DataFrame, key: str, vector: str, query: Column, top: int = 50) -> DataFrame:
-    """(key, cosine, score): the best by cosine, which scan and heap deliver without a full sort."""
-    best = vectors.select(key, dot(unit(F.col(vector)), unit(query)).alias("cosine")).orderBy(F.desc("cosine"), key).limit(top)
+def vector_scores(vectors: DataFrame, key: str, vector: str, query: Column, top: int = 50, digits: int = 12) -> DataFrame:
+    """(key, cosine, score): the best by cosine to ``digits`` places, which scan and heap deliver without a full sort."""
+    cosine = F.round(dot(unit(F.col(vector)), unit(query)), digits)
+    best = vectors.select(key, cosine.alias("cosine")).orderBy(F.desc("cosine"), key).limit(top)
     return share_of_best(best, "cosine").select(key, "cosine", "score")
 
 

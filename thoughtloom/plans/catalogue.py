@@ -605,11 +605,9 @@ sem AS (SELECT vec_id, cosine, round(cosine / max(cosine) OVER (), 6) AS score F
 
 def _semantic(spark: SparkSession, d: str) -> DataFrame:
     vectors = B.table(spark, d, "embeddings")
-    asked = vectors.where("vec_id = 0").select(F.col("embedding").alias("asked"))  # one row
-    rows = vectors.join(F.broadcast(asked))
-    cosine = F.round(R.dot(R.unit(F.col("embedding")), R.unit(F.col("asked"))), 6)
-    best = rows.select("vec_id", cosine.alias("cosine")).orderBy(F.desc("cosine"), "vec_id").limit(50)
-    return G.share_of_best(best, "cosine").select("vec_id", "cosine", F.round("score", 6).alias("score"))
+    asked = vectors.where("vec_id = 0").select("embedding").head()[0]  # one vector
+    best = R.vector_scores(vectors, "vec_id", "embedding", F.array(*(F.lit(float(x)) for x in asked)), digits=6)
+    return best.select("vec_id", "cosine", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_VECTOR} SELECT vec_id, cosine, score FROM sem")
