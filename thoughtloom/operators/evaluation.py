@@ -108,12 +108,27 @@ def evaluate_weights(scores: DataFrame, relevant: DataFrame, weights: tuple[floa
     return recall_at_k(relevant, ranked.select("query", "item", "rank"), k)
 
 
+def _contenders(scores: DataFrame, k: int) -> DataFrame:
+    """The scores that can be among the k best of their query for some weights.
+
+    With weights w the k-th best total is at least w[c] * T[c] for each component c, T[c] being its k-th
+    best value; so a total reaches it for some w only if the shares x[c] / T[c] add up to 1.
+    """
+    rows, shares = scores.where("item <> query"), F.lit(0.0)
+    for c in ("keyword", "semantic", "graph"):
+        rows = rows.withColumn(f"r_{c}", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(c))))
+        rows = rows.withColumn(f"t_{c}", F.max(F.when(F.col(f"r_{c}") == k, F.col(c))).over(Window.partitionBy("query")))
+        shares = shares + F.when(F.col(f"t_{c}") > 0, F.col(c) / F.col(f"t_{c}")).otherwise((F.col(c) > 0).cast("double"))
+    return rows.where(shares >= 1 - 1e-6).select(*scores.columns)
+
+
 def sweep_weights(scores: DataFrame, relevant: DataFrame, grid: DataFrame, k: int) -> DataFrame:
     """(weights, mean recall at k) of component scores (query, item, keyword, semantic, graph).
 
-    The components are computed once; the grid, of fixed size, is sent to every task.
+    The components are computed once; the grid, of fixed size, is sent to every task and meets only
+    those scores that can be among the k best for some weights.
     """
-    weighted = scores.join(F.broadcast(grid)).withColumn("total", F.round(F.col("keyword") * F.col("w_keyword") + F.col("semantic") * F.col("w_semantic") + F.col("graph") * F.col("w_graph"), 9)).where("total > 0 and item <> query")
+    weighted = _contenders(scores, k).join(F.broadcast(grid)).withColumn("total", F.round(F.col("keyword") * F.col("w_keyword") + F.col("semantic") * F.col("w_semantic") + F.col("graph") * F.col("w_graph"), 9)).where("total > 0")
     weights = ["w_keyword", "w_semantic", "w_graph"]
     rank = F.row_number().over(Window.partitionBy(*weights, "query").orderBy(F.desc("total"), "item"))
     best = weighted.withColumn("rank", rank).where(F.col("rank") <= k)
