@@ -2,6 +2,7 @@
 
 from .chat import OP1_SQL, op1_chat
 from .decontaminate import op9_decontaminate
+from .divergence import OP11_SQL, op11_divergence
 from .licenses import OP10_SQL, op10_license
 from .linededup import op5_linededup
 from .packing import op8_packing
@@ -22,10 +23,12 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_decontaminate": op9_decontaminate,
     "op10_license": op10_license,
+    "op11_divergence": op11_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat": OP1_SQL,
     "op4_topk": OP4_SQL,
     "op10_license": OP10_SQL,
+    "op11_divergence": OP11_SQL,
 }
