@@ -8,6 +8,7 @@ from .linededup import op5_linededup
 from .packing import op8_packing
 from .pii import op3_pii
 from .quality import op2_quality
+from .reassembly import OP12_SQL, op12_reassembly
 from .simhash import op6_simhash
 from .topk import OP4_SQL, op4_topk
 from .toxicity import op7_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_license": op10_license,
     "op11_divergence": op11_divergence,
+    "op12_reassembly": op12_reassembly,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_topk": OP4_SQL,
     "op10_license": OP10_SQL,
     "op11_divergence": OP11_SQL,
+    "op12_reassembly": OP12_SQL,
 }
