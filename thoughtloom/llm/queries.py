@@ -12,6 +12,7 @@ from .reassembly import OP12_SQL, op12_reassembly
 from .simhash import op6_simhash
 from .topk import OP4_SQL, op4_topk
 from .toxicity import op7_toxicity
+from .warc import OP13_SQL, op13_warc
 
 QUERIES = {
     "op1_chat": op1_chat,
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_license": op10_license,
     "op11_divergence": op11_divergence,
     "op12_reassembly": op12_reassembly,
+    "op13_warc": op13_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -34,4 +36,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_license": OP10_SQL,
     "op11_divergence": OP11_SQL,
     "op12_reassembly": OP12_SQL,
+    "op13_warc": OP13_SQL,
 }
