@@ -125,7 +125,7 @@ def test_relation_types(spark):
 
     rows = [("It is fast. RAG uses a Vector Store! More", "vector store", "uses"), ("Unlike Trees, it grows", "trees", "contrasts_with"), ("It enables x. Nothing on Y", "Y", "related_to"), ("part of the Index; an example of Index", "index", "part_of")]
     df = spark.createDataFrame(rows, "t string, n string, k string")
-    assert all(r.got == r.k for r in df.select("k", K.relation_type(F.col("t"), F.col("n")).alias("got")).collect())
+    assert all(r.got == r.k for r in df.select("k", K.relation_type(K.telling_sentences(F.lower("t")), F.col("n")).alias("got")).collect())
 
 
 def test_wiki_links(spark):

@@ -18,6 +18,7 @@ from ..operators import graph as G
 from ..operators import hygiene as H
 from ..operators import lifecycle as L
 from ..operators import linking as K
+from ..operators import names as N
 from ..operators import parsing as P
 from ..operators import retrieval as R
 from ..service import tools as A
@@ -470,6 +471,22 @@ def links_typed(spark: SparkSession, d: str) -> DataFrame:
     return B.links(spark, d).select("source", "target", "type")
 
 
+@query(f"""WITH {_concepts()}, t AS (SELECT slug, lower(definition) || ' ' AS text FROM concepts)
+SELECT t.slug, c.slug AS target, ((length(text) - length(replace(text, lower(c.name), ''))) // length(c.name))::INTEGER AS n FROM t JOIN concepts c ON contains(text, lower(c.name))""")
+def name_mentions(spark: SparkSession, d: str) -> DataFrame:
+    c = G.stored(B.concepts(spark, d))
+    texts = c.select(F.col("slug").alias("key"), F.concat("definition", F.lit(" ")).alias("text"))
+    return N.mention_counts(texts, c.select(F.col("slug").alias("target"), "name")).withColumnRenamed("key", "slug")
+
+
+@query(f"WITH {_concepts()}, {_links()} SELECT source, target, type, score FROM links")
+def links_after_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The store held what users said and comes to hold what assistants say: links by the changed concepts alone."""
+    before, after = G.stored(B.concepts(spark, d, "user")), G.stored(B.concepts(spark, d))
+    links = G.stored(K.score_links(before))
+    return K.relink(links, after, G.stored(K.changed_concepts(before, after))).select("source", "target", "type", "score")
+
+
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The concepts and their edges, each computed once and then walked along several times."""
     concepts = G.stored(B.concepts(spark, d))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import concepts as C
-from ..operators import linking
+from ..operators import graph, linking
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,7 @@ def concepts(spark: SparkSession, d: str, role: str = "assistant") -> DataFrame:
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:
-    return linking.score_links(concepts(spark, d))
+    return linking.score_links(graph.stored(concepts(spark, d)))
 
 
 def users_as_concepts(spark: SparkSession, d: str) -> DataFrame:
