@@ -10,7 +10,7 @@ from thoughtloom.operators import extraction as X
 from thoughtloom.operators import parsing as P
 from thoughtloom.service import cli, tools
 from thoughtloom.service.knowledge import KnowledgeBase, ingest, pruned
-from thoughtloom.service.registry import Registry, kebab
+from thoughtloom.service.registry import Registry
 from thoughtloom.service.settings import load, merged
 from thoughtloom.sources import storage
 
@@ -93,7 +93,7 @@ def test_answers(filled):
 
 def test_registry(spark, tmp_path):
     r = Registry(spark, str(tmp_path))
-    assert kebab("  My  KB_one! ") == "my-kb-one"
+    assert r.create("  A  KB_one! ")["id"] == "a-kb-one" and r.delete("a-kb-one")["success"]
     assert r.create("My KB", "d")["id"] == "my-kb" and not r.create("my kb")["success"] and not r.create("!")["success"]
     assert r.create("Other")["success"] and r.current() is None and not r.select("none")["success"]
     assert r.select("my-kb") == {"success": True, "id": "my-kb", "name": "My KB", "concept_count": 0}
@@ -105,11 +105,16 @@ def test_registry(spark, tmp_path):
     found = tools.search_many(r.concepts(), "vector search").collect()
     assert {f.kb_id for f in found} == {"my-kb", "other"} and found[0].score == 1.0
     assert {f.kb_id for f in tools.search_many(r.concepts(["other"]), "vector search").collect()} == {"other"}
-    assert r.rename("my-kb", "New Name")["new_id"] == "new-name" and r.selected == "new-name" and not r.rename("new-name", "other")["success"]
+    assert r.rename("my-kb", "New Name")["new_id"] == "new-name" and Registry(spark, str(tmp_path)).current()["id"] == "new-name" and not r.rename("new-name", "other")["success"]
     assert r.open("new-name").live().count() == 2
     gone = r.delete("new-name", TIME)
-    assert gone["trashed"] == "new-name_20250101_000000" and r.selected is None and [k["id"] for k in r.list()] == ["other"]
-    assert storage.Storage(spark, str(tmp_path)).exists(f"trash/{gone['trashed']}")
+    assert gone["success"] and storage.Storage(spark, str(tmp_path)).exists(gone["kept"])
+    assert r.current() is None and [k["id"] for k in r.list()] == ["other"] and not r.delete("new-name")["success"]
+    assert r.create("New Name")["success"] and r.open("new-name").live().count() == 0  # not the old one's folder
+    with pytest.raises(KeyError):
+        r.open("my-kb")
+    with pytest.raises(Exception, match="exist|Exist"):
+        r.files.write_text(f"registry/{r.state().number:09d}", "{}", replace=False)
 
 
 def test_models(spark):

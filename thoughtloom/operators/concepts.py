@@ -186,10 +186,11 @@ def distill_marked(raw: DataFrame) -> DataFrame:
 
 
 def links_of(concepts: DataFrame) -> DataFrame:
-    """(source, target, type) as the concepts themselves name them; none where they have no such column."""
+    """(source, target, type, confidence) as the concepts themselves name them; none where they have no such column."""
     if "relationships" not in concepts.columns:
-        return concepts.select(F.col("slug").alias("source"), F.col("slug").alias("target"), F.lit("related_to").alias("type")).limit(0)
-    return concepts.select(F.explode("relationships").alias("r")).select("r.source", "r.target", "r.type").distinct()
+        return concepts.select(F.col("slug").alias("source"), F.col("slug").alias("target"), F.lit("related_to").alias("type"), F.lit(0.0).alias("confidence")).limit(0)
+    named = concepts.select(F.col("slug").alias("source"), F.explode("relationships").alias("r")).select("source", "r.target", "r.type", "r.confidence")
+    return named.where("target <> '' and source <> target").groupBy("source", "target", "type").agg(F.max("confidence").alias("confidence"))
 
 
 #: The relation types.
@@ -201,7 +202,7 @@ def merge_concepts(versions: DataFrame, order: str) -> DataFrame:
 
     A concept is deleted only if every version is, since the earliest of their times.
     """
-    lists = [c for c in ("insights", "examples", "tags", "source_files", "links") if c in versions.columns]
+    lists = [c for c in ("insights", "examples", "tags", "source_files", "links", "relationships") if c in versions.columns]
     ordered = F.array_sort(F.collect_list(F.struct(order, *lists)))
     longest = lambda c: F.max_by(c, F.struct(F.length(c), -F.col(order)))
     out = versions.groupBy("slug").agg(
@@ -218,4 +219,5 @@ def merge_concepts(versions: DataFrame, order: str) -> DataFrame:
 
 
 def _union(column: str) -> Column:
-    return F.array_distinct(F.flatten(F.transform("_v", lambda v: v[column]))).alias(column)
+    """The lists of all versions as one; versions without a list add nothing."""
+    return F.array_distinct(F.flatten(F.filter(F.transform("_v", lambda v: v[column]), lambda x: x.isNotNull()))).alias(column)

@@ -10,11 +10,13 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .concepts import RULE_CONFIDENCE, distill_marked, extract_by_rule, is_grounded, json_object, parse_reply
+from .graph import stored
 
 #: Fixed value: characters of a batch that a model sees.
 PROMPT_CHARS = 6000
@@ -102,6 +104,31 @@ def ask_model(batches: DataFrame, model: Model, text: str = "content") -> DataFr
     return batches.mapInPandas(run, schema)
 
 
+def prompt_hash(text: Column, model: Model) -> Column:
+    """The key of a reply: what the model is asked, and the model's name where it has one."""
+    name = str(getattr(model, "model", type(model).__name__))
+    return F.sha2(F.concat(F.lit(f"{name}\u0001{TASK}"), F.substring(F.coalesce(text, F.lit("")), 1, PROMPT_CHARS)), 256)
+
+
+def ask_once(batches: DataFrame, model: Model, folder: str, text: str = "content") -> DataFrame:
+    """``batches`` with ``reply`` and ``error``, asking only what the table of replies in ``folder`` does not answer.
+
+    Equal prompts are asked once. Replies are appended to the table before anything is derived from them, so
+    a plan that runs again reads them. A failed call leaves no reply, and is asked again the next time.
+    """
+    spark = batches.sparkSession
+    keyed = batches.withColumn("prompt", prompt_hash(F.col(text), model))
+    try:
+        known = spark.read.parquet(folder).select("prompt", "reply").dropDuplicates(["prompt"])
+    except AnalysisException:  # no reply yet
+        known = spark.createDataFrame([], "prompt string, reply string")
+    open_ = keyed.join(known.select("prompt"), "prompt", "left_anti").groupBy("prompt").agg(F.first(text).alias(text))
+    told = stored(ask_model(open_, model, text))
+    told.where("error is null").select("prompt", "reply").write.mode("append").parquet(folder)
+    every = known.withColumn("error", F.lit(None).cast("string")).unionByName(told.select("prompt", "reply", "error"))
+    return stored(keyed.join(every, "prompt", "left").drop("prompt"))
+
+
 def narrow_provenance(found: DataFrame, chunks: DataFrame) -> DataFrame:
     """``found`` with ``source_chunks``: of the chunks of its batch only those that name the concept, in order."""
     listed = found.select("source_file", "batch", "rank", "name", F.posexplode("chunk_ids").alias("i", "chunk_id"))
@@ -117,23 +144,25 @@ def _by_rule(batches: DataFrame) -> DataFrame:
     return found.select("source_file", "batch", "chunk_ids", "content", "rank", "name", text.alias("raw_content"), F.lit(RULE_CONFIDENCE).alias("confidence"))
 
 
-def extract_concepts(batches: DataFrame, chunks: DataFrame, model: Model | None = None) -> tuple[DataFrame, DataFrame]:
+def extract_concepts(batches: DataFrame, chunks: DataFrame, model: Model | None = None, replies: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(raw concepts, counters) of batches (source_file, batch, chunk_ids, content); without a model, by rule.
 
-    A concept whose name is not in its batch's text is rejected; of names that agree but for case the
-    first stays (by file, batch, rank), with the chunks that name it.
+    A concept whose name is not in its batch's text is rejected; of names of a file that agree but for case
+    the first stays (by batch, rank), with the chunks that name it. Every file that names a concept has its row; they
+    meet when raw concepts are merged by slug, so that each of them is a source. A model is asked once for
+    each prompt: its replies are stored, in ``replies`` also for later runs.
     """
     keys = ["source_file", "batch"]
     if model is None:
         found, failed = _by_rule(batches), batches.select(*keys).limit(0)
     else:
-        asked = ask_model(batches, model)
+        asked = ask_once(batches, model, replies) if replies else stored(ask_model(batches, model))
         failed = asked.where(F.col("error").isNotNull() | json_object(F.col("reply")).isNull()).select(*keys)
         found = parse_reply(asked, [*keys, "chunk_ids", "content"])
         found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("name", "raw_content")) - 1)
     seen = found.withColumn("grounded", is_grounded(F.col("name"), F.substring("content", 1, PROMPT_CHARS)))
     good = narrow_provenance(seen.where("grounded").drop("grounded"), chunks)
-    first = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy(*keys, "rank"))
+    first = F.row_number().over(Window.partitionBy("source_file", F.lower("name")).orderBy("batch", "rank"))
     raw = good.withColumn("first", first).where("first = 1")
     raw = raw.select("source_file", "batch", "rank", "name", "raw_content", "source_chunks", F.array("source_file").alias("source_files"), F.lit("llm").alias("extraction_method"), "confidence")
     sizes = batches.agg(F.count("*").alias("calls"), F.coalesce(F.sum(F.size("chunk_ids")), F.lit(0)).alias("chunks_processed"))

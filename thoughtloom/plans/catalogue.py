@@ -269,7 +269,7 @@ found AS (SELECT source_file, batch, rank, lower(name) AS low, name, substr({_st
 _STANDS = lambda text: f"(regexp_matches(lower({text}), '(^|[^a-z0-9])' || low || '($|[^a-z0-9])') OR (low LIKE '%s' AND length(low) > 3 AND regexp_matches(lower({text}), '(^|[^a-z0-9])' || substr(low, 1, length(low) - 1) || '($|[^a-z0-9])')))"
 
 
-@query(f"""WITH RECURSIVE {_RAW}, kept AS (SELECT f.*, row_number() OVER (PARTITION BY low ORDER BY f.source_file, f.batch, rank) AS first FROM found f JOIN batches b USING (source_file, batch) WHERE {_STANDS('substr(b.content, 1, 6000)')})
+@query(f"""WITH RECURSIVE {_RAW}, kept AS (SELECT f.*, row_number() OVER (PARTITION BY low, f.source_file ORDER BY f.batch, rank) AS first FROM found f JOIN batches b USING (source_file, batch) WHERE {_STANDS('substr(b.content, 1, 6000)')})
 SELECT k.source_file, k.batch, k.rank, k.name, string_agg(o.chunk_id, ' ' ORDER BY o.i) AS source_chunks FROM kept k JOIN fold o ON o.source_file = k.source_file AND o.batch = k.batch AND {_STANDS('o.content')} WHERE first = 1 GROUP BY ALL""")
 def raw_concepts(spark: SparkSession, d: str) -> DataFrame:
     """Concepts of batches of chunks, with those of the chunks that name them."""
@@ -307,10 +307,8 @@ def deduplicated_concepts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _raw_mentions(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = B.mentions(spark, d).where(T.slugify(F.col("name")) != "")
-    place = F.row_number().over(Window.orderBy("source_file", "idx", "rank"))
+    place = F.struct("source_file", "idx", "rank")
     return G.stored(rows.select(place.alias("ord"), "name", F.col("definition").alias("raw_content"), F.array(F.concat_ws(":", "source_file", "idx")).alias("source_chunks"), F.array("source_file").alias("source_files"), F.lit("llm").alias("extraction_method"), F.lit(0.9).alias("confidence")))
 
 

@@ -54,14 +54,14 @@ def evaluate(spark: SparkSession, folder: str, model: Model | None) -> list[dict
     turns = parsing.parse_turns(files.where("has_truth"), "fixture")
     chunks = graph.stored(parsing.chunk_turns(turns.where("role = 'assistant'")))
     raw, _ = extraction.extract_concepts(parsing.batch_chunks(chunks), chunks, model)
-    found = graph.stored(knowledge.distilled(raw, F.current_timestamp()).select("source_files", "slug", "name", "definition", "insights").withColumn("fixture", F.col("source_files")[0]))
+    found = graph.stored(knowledge.distilled(raw, F.current_timestamp()).select("source_files", "slug", "name", "definition", "insights", "relationships").withColumn("fixture", F.col("source_files")[0]))
     names = [r[0] for r in expected.select("fixture").distinct().collect()]  # one per file of the folder
     out = []
     for name in sorted(names):
         e, a = expected.where(F.col("fixture") == name), found.where(F.col("fixture") == name)
         told = evaluation.concept_scores(e, a, evaluation.match_concepts(e, a)).head().asDict()
         edges = relations.where(F.col("fixture") == name).select("source", "target", "type")
-        told["relationships"] = evaluation.relationship_scores(edges, C.links_of(a)).head().asDict()
+        told["relationships"] = evaluation.relationship_scores(edges, C.links_of(a).select("source", "target", "type")).head().asDict()
         out.append({"fixture": name, **told})
     return out
 

@@ -15,7 +15,7 @@ from ..sources import files, storage
 
 #: The tables of a version of a knowledge base.
 CONCEPTS = """name string, slug string, definition string, explanation string, insights array<string>, examples array<string>, tags array<string>, source_files array<string>,
- confidence double, links array<string>, status string, deleted_at timestamp, last_reinforced_at timestamp, last_reviewed_at timestamp, hash string"""
+ confidence double, links array<string>, relationships array<struct<source:string,target:string,type:string,confidence:double>>, status string, deleted_at timestamp, last_reinforced_at timestamp, last_reviewed_at timestamp, hash string"""
 
 
 @dataclass
@@ -26,8 +26,8 @@ class KnowledgeBase:
     root: str
 
     def version(self) -> int:
-        store = storage.Storage(self.spark, self.root)
-        return json.loads(store.read_text("current.json"))["version"] if store.exists("current.json") else 0
+        """The highest version that was finished; each has a file of its own, so none is ever replaced."""
+        return max((int(name) for name in storage.Storage(self.spark, self.root).names("finished")), default=0)
 
     def folder(self, version: int | None = None) -> str:
         return f"{self.root.rstrip('/')}/v{self.version() if version is None else version}"
@@ -50,17 +50,33 @@ class KnowledgeBase:
         rows = storage.read_or_none(self.spark, f"{self.root}/snapshots")
         return rows if rows is not None else self.spark.createDataFrame([], "ts timestamp, provider string, slug string, hash string")
 
+    def links(self) -> DataFrame | None:
+        """The scored links of the current version, without those that a model named; None if there are none stored."""
+        return storage.read_or_none(self.spark, f"{self.folder()}/links") if self.version() else None
+
     def save(self, concepts: DataFrame) -> None:
-        """Writes concepts, their graph and their Markdown as a new version, and then makes it the current one."""
-        version = self.version() + 1
-        folder = self.folder(version)
-        files.write_store(concepts.select(*(f.name for f in _fields())), folder)
+        """Writes concepts, their links, graph and Markdown as a new version, and then makes it the current one.
+
+        Only links with a changed end are scored. Edges are those links and the relations that concepts name.
+        Vectors of concepts whose text is the same go along.
+        """
+        last, version = self.version(), self.version() + 1
+        folder, before, links = self.folder(version), self.live(), self.links()
+        files.write_store(_shaped(concepts), folder)
         rows = files.read_store(self.spark, folder)
-        nodes, edges = graph.build(rows, linking.score_links(rows.where("status <> 'deleted'")).select("source", "target", "type", "confidence"))
+        live = rows.where("status <> 'deleted'")
+        columns = ["source", "target", "type", "confidence"]
+        changed = graph.stored(linking.changed_concepts(before, live))
+        new = linking.score_links(live) if links is None else linking.relink(links, live, changed)
+        new.select(*columns).write.mode("overwrite").parquet(f"{folder}/links")
+        links = self.spark.read.parquet(f"{folder}/links")
+        nodes, edges = graph.build(rows, links.unionByName(C.links_of(live).select(*columns)))
         files.write_graph(nodes.select("slug", "name"), edges, folder)
         storage.write_markdown_files(rows, folder)
-        store = storage.Storage(self.spark, self.root)
-        store.write_text("current.json", json.dumps({"version": version}))
+        old = storage.load_vectors(self.spark, self.folder(last)) if last else None
+        if old is not None:
+            storage.keep_vectors(old.join(changed, "slug", "left_anti"), folder)
+        storage.Storage(self.spark, self.root).write_text(f"finished/{version:09d}", "")
 
 
 def _fields() -> list:
@@ -115,8 +131,8 @@ def ingest(kb: KnowledgeBase, source: str, provider: str = "mock", model: extrac
     kept = lifecycle.drop_sources(before, gone, time)
     fresh = texts.join(states.where("state in ('new', 'modified')").select(F.col("path").alias("source_file")), "source_file", "left_semi")
     chunks = graph.stored(parsing.chunk_turns(parsing.parse_turns(fresh).where("role = 'assistant'")))
-    raw, counters = extraction.extract_concepts(parsing.batch_chunks(chunks), chunks, model)
-    raw = raw.withColumn("ord", F.row_number().over(extraction.Window.orderBy("source_file", "batch", "rank")))
+    raw, counters = extraction.extract_concepts(parsing.batch_chunks(chunks), chunks, model, f"{kb.root}/replies" if model else None)
+    raw = raw.withColumn("ord", F.struct("source_file", "batch", "rank"))
     found = distilled(dedup.deduplicate(graph.stored(raw)), time)
     versions = _shaped(kept).withColumn("o", F.lit(1)).unionByName(found.withColumn("o", F.lit(2)))
     merged = C.merge_concepts(versions, "o").withColumn("hash", C.concept_hash(F.col("name"), F.col("definition")))

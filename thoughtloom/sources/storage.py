@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +18,7 @@ class Storage:
     """Text files under a folder of any Hadoop file system, written by the driver."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self._jvm, self._conf, self.folder = spark._jvm, spark._jsc.hadoopConfiguration(), folder.rstrip("/")
+        self._gateway, self._jvm, self._conf, self.folder = spark.sparkContext._gateway, spark._jvm, spark._jsc.hadoopConfiguration(), folder.rstrip("/")
 
     def _at(self, name: str):
         path = self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
@@ -35,19 +36,22 @@ class Storage:
         finally:
             stream.close()
 
-    def write_text(self, name: str, text: str) -> None:
-        """Written beside and then renamed, so that a reader never sees half a file."""
-        fs, path = self._at(name)
-        _, beside = self._at(name + ".new")
+    def write_text(self, name: str, text: str, replace: bool = True) -> None:
+        """Written beside and then renamed over the old one, so that a reader sees one of the two, whole.
+
+        Without ``replace`` a file that is there makes the rename fail.
+        """
+        _, path = self._at(name)
+        fs, beside = self._at(f"{name}.{uuid.uuid4().hex}.new")
         stream = fs.create(beside, True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        if not fs.rename(beside, path):
-            raise OSError(f"cannot rename {beside} to {path}")
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        how = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = rename.valueOf("OVERWRITE" if replace else "NONE")
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self._conf).rename(beside, path, how)
 
     def move(self, name: str, to: str) -> None:
         fs, path = self._at(name)
@@ -56,6 +60,12 @@ class Storage:
         if not fs.rename(path, target):
             raise OSError(f"cannot move {path} to {target}")
 
+    def names(self, name: str) -> list[str]:
+        """The files in a folder; none if it is not there. Those that are still being written do not count."""
+        fs, path = self._at(name)
+        found = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return [n for n in found if not n.endswith(".new")]
+
     def make(self, name: str) -> None:
         fs, path = self._at(name)
         fs.mkdirs(path)
@@ -88,6 +98,11 @@ def save_vectors(vectors: DataFrame, folder: str, model: str = "") -> None:
     vectors.select("slug", "vector", F.lit(model).alias("model"), F.size("vector").alias("width")).write.mode("overwrite").parquet(f"{folder}/embeddings")
 
 
+def keep_vectors(rows: DataFrame, folder: str) -> None:
+    """Rows of a table of vectors as those of another version."""
+    rows.write.mode("overwrite").parquet(f"{folder}/embeddings")
+
+
 def load_vectors(spark: SparkSession, folder: str) -> DataFrame | None:
     return read_or_none(spark, f"{folder}/embeddings")
 
