@@ -5,21 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The weights of seeds, first and second hops.
 HOPS = (1.0, 0.5, 0.2)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df``, computed once in the checkpoint folder that the cluster shares."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; on a local master without it, one of this machine."""
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or f"{tempfile.gettempdir()}/graph-{uuid.uuid4().hex}")
+    return (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir().get()).rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, computed once in the checkpoint folder that the cluster shares."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

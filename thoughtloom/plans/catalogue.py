@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import cells as W
 from ..operators import concepts as C
 from ..operators import dedup as D
 from ..operators import evaluation as E
 from ..operators import extraction as X
 from ..operators import graph as G
 from ..operators import hygiene as H
+from ..operators import index as I
 from ..operators import lifecycle as L
 from ..operators import linking as K
 from ..operators import names as N
@@ -612,6 +614,26 @@ def document_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.top(kw, "score", "doc_id", 20)
 
 
+@query(f"WITH {_keyword('documents', 'doc_id', 'text')} SELECT doc_id::VARCHAR AS key, round(score, 9) AS score FROM kw ORDER BY round(score, 12) DESC, doc_id::VARCHAR LIMIT 20")
+def index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that fit a question best, through a stored index."""
+    index = I.KeywordIndex(spark, O.scratch(spark, "index"))
+    index.build(B.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), "text"))
+    return index.search(ASKED, 20).withColumn("score", F.round("score", 9))
+
+
+_BOTH = "(SELECT doc_id::VARCHAR AS key, text FROM documents UNION ALL SELECT item_id::VARCHAR, text FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM documents))"
+
+
+@query(f"WITH {_keyword(_BOTH, 'key', 'text')} SELECT key, round(score, 9) AS score FROM kw ORDER BY round(score, 12) DESC, key LIMIT 20")
+def index_after_update(spark: SparkSession, d: str) -> DataFrame:
+    """An index of the benchmark into which the documents come; those of equal keys replace its items."""
+    index = I.KeywordIndex(spark, O.scratch(spark, "index"))
+    index.build(B.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("key"), "text"))
+    index.update(B.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), "text"))
+    return index.search(ASKED, 20).withColumn("score", F.round("score", 9))
+
+
 _VECTOR = """
 q AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
 cos AS (SELECT vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS cosine FROM embeddings e, q),
@@ -630,6 +652,16 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return _semantic(spark, d)
 
 
+@query(f"WITH {_VECTOR} SELECT vec_id, cosine, score FROM sem")
+def vector_cells_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest vectors, through stored cells of which few are opened."""
+    vectors = B.table(spark, d, "embeddings")
+    cells = W.VectorCells(spark, O.scratch(spark, "cells"))
+    cells.build(vectors.select(F.format_string("%019d", "vec_id").alias("key"), F.col("embedding").alias("vector")))
+    asked = vectors.where("vec_id = 0").select("embedding").head()[0]  # one vector
+    return cells.nearest([float(x) for x in asked], 50, digits=6).select(F.col("key").cast("bigint").alias("vec_id"), "cosine", F.round("score", 6).alias("score"))
+
+
 @query(f"""WITH {_VECTOR}, {_keyword('documents', 'doc_id', 'text')},
 k AS (SELECT doc_id AS slug, round(score, 9) AS score FROM kw ORDER BY round(score, 9) DESC, doc_id LIMIT 10),
 v AS (SELECT vec_id AS slug, score FROM sem ORDER BY score DESC, vec_id LIMIT 10)

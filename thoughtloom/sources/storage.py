@@ -71,6 +71,13 @@ class Storage:
         fs.mkdirs(path)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder in the one that the cluster shares; see ``spark.checkpoint.dir``."""
+    from ..operators.graph import shared_folder
+
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """A table, or None where there is none."""
     try:
