@@ -39,7 +39,9 @@ from .common import delete, scratch_path, table
 #: Words of a block of a vector, on average.
 WIDTH = 4096
 #: Entries of a task's table of counts before it is handed on.
-HELD = 400_000
+HELD = 500_000
+#: Into how many parts the words of a language are dealt where they meet the language's totals.
+SALTS = 64
 #: Everything in ASCII but letters parts words; A-Z become a-z. Other characters are letters, as they stand.
 _LETTERS = bytes(ord(chr(b).lower()) if chr(b) in string.ascii_letters else b if b > 127 else 32 for b in range(256))
 
@@ -51,11 +53,14 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
     def handed() -> pa.RecordBatch:
-        rows = [(lang, source, term, k, docs[term]) for (lang, source), (words, docs) in held.items() for term, k in words.items()]
-        rows += [(lang, source, b"", 0, 0) for lang, source in held]
-        cols = list(zip(*rows))
-        terms = pa.array(cols[2], pa.binary()).cast(pa.string(), safe=False)  # cut at ASCII signs: as valid as the text
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), terms, pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], schema=_COUNTS)
+        cols: list[list[pa.Array]] = [[] for _ in _COUNTS]
+        for (lang, source), (words, docs) in held.items():
+            k = len(words) + 1
+            terms = pa.array([b"", *words], pa.binary()).cast(pa.string(), safe=False)  # cut at ASCII signs: as valid as the text
+            n, among = np.fromiter(words.values(), np.int64, k - 1), np.fromiter(map(docs.__getitem__, words), np.int64, k - 1)
+            for col, values in zip(cols, (pa.repeat(pa.scalar(lang), k), pa.repeat(pa.scalar(source), k), terms, pa.array(np.append(0, n)), pa.array(np.append(0, among)))):
+                col.append(values)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], schema=_COUNTS)
 
     for batch in batches:
         for text, lang, source in zip(*(batch.column(c) for c in ("text", "lang", "source"))):
@@ -74,6 +79,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and texts of each word in each group, and a row with term '' for each group."""
     read = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
     parts = read.withColumn("text", F.col("text").cast("binary")).mapInArrow(_count_words, "lang string, source string, term string, n bigint, docs bigint")
+    parts = parts.repartition("lang", "term")  # tasks have summed already, and all that counts a word of a language finds it in one place
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -166,17 +172,21 @@ def _meet(home: pa.Table, visitors: pa.Table) -> pa.Table:
 def _vectors(docs: DataFrame, min_docs: int, top: int, width: int, folder: str) -> DataFrame:
     """Stored blocks of vectors and their best words, in ``folder``."""
     spark = docs.sparkSession
-    word_counts(docs).write.parquet(f"{folder}/counts")
+    word = Window.partitionBy("lang", "term")
+    counts = word_counts(docs).withColumns({"among": F.sum("docs").over(word), "in_lang": F.sum("n").over(word), "one": F.row_number().over(word.orderBy("source")) == 1})
+    counts.where((F.col("term") == "") | (F.col("among") >= min_docs)).drop("docs", "among").write.parquet(f"{folder}/counts")
     counts = spark.read.parquet(f"{folder}/counts")
-    counted = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("in_lang")).where(F.col("docs") >= min_docs)
+    counted = counts.where("one and term <> ''").select("lang", "term", "in_lang")
     langs = counted.groupBy("lang").agg(F.count("*").alias("kinds"), F.sum("in_lang").alias("lang_total"))
     langs = langs.withColumn("blocks", F.ceil(F.col("kinds") / width))
-    placed = counted.join(langs, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")))
+    dealt = langs.select("lang", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a language may have most words
+    placed = counted.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "term"), F.lit(SALTS))).join(dealt, ["lang", "salt"])
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")))
     kept = placed.withColumn("at", F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")) - 1)
-    kept.select("lang", "term", "block", "at", "in_lang").write.parquet(f"{folder}/kept")
+    kept.select("lang", "term", "block", "at").write.parquet(f"{folder}/kept")
     kept = spark.read.parquet(f"{folder}/kept")
-    held = counts.join(kept, ["lang", "term"])
-    totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    held = counts.where("term <> ''").join(kept, ["lang", "term"])
+    totals = counts.where("term <> ''").groupBy("lang", "source").agg(F.sum("n").alias("total"))
 
     groups = counts.where("term = ''").select("lang", "source")
     sizes = groups.groupBy("lang").agg(F.count("*").alias("s"))
@@ -198,6 +208,7 @@ def divergence(docs: DataFrame, min_docs: int = 10, top: int = 10, width: int =
     spark = docs.sparkSession
     folder = scratch_path(spark, "divergence")
     blocks = _vectors(docs, min_docs, top, width, folder)
+    delete(spark, f"{folder}/counts")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     home = blocks.where("vector is not null").drop("term", "value").repartition(n, "lang", "block", "tile").persist(StorageLevel.MEMORY_AND_DISK)
     most = home.agg(F.max("tiles")).head()[0] or 1
