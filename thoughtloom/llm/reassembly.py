@@ -26,6 +26,7 @@ import heapq
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,15 @@ class _Conversation:
         self.closed, self.heap, self.role = True, [], None
 
 
+def _frame(events: list[tuple]) -> pd.DataFrame:
+    """Events as a frame of plain objects: nulls stay nulls, and there is no conversion for each conversation."""
+    columns = {}
+    for name, values in zip(("event", "key", "turn", "batch", "came", "unreleased", "n_missing", "n_breaks"), zip(*events)):
+        columns[name] = np.empty(len(values), dtype=object)
+        columns[name][:] = values
+    return pd.DataFrame(columns, copy=False)
+
+
 def _step(batch: int, quiet: int, ends: bool):
     """The state function of the query that is started for ``batch``."""
 
@@ -114,7 +124,7 @@ def _step(batch: int, quiet: int, ends: bool):
         if not talk.closed:
             state.setTimeoutDuration(1)  # any later batch, which then looks at its number
         if talk.events:
-            yield pd.DataFrame(talk.events, columns=["event", "key", "turn", "batch", "came", "unreleased", "n_missing", "n_breaks"]).astype({"came": "Int64", "n_missing": "Int64", "n_breaks": "Int64"})
+            yield _frame(talk.events)
 
     return step
 
