@@ -140,8 +140,8 @@ _MET = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.st
 def _meet(home: pa.Table, visitors: pa.Table) -> pa.Table:
     """Distances within a block of every resident and every visitor, in both directions.
 
-    ``value`` is the sum over the positions up to the last that either uses, less as many times ``rest``,
-    the distance at a word that neither has; times the kept words, ``rest`` makes up for all others.
+    ``value`` is the sum over the positions up to the last that either uses, less as many times the distance
+    at a word that neither has. ``rest`` is that distance times all kept words: what all blocks lack together.
     """
     out: list[tuple] = []
 
@@ -162,8 +162,7 @@ def _meet(home: pa.Table, visitors: pa.Table) -> pa.Table:
             if a["kinds"]:
                 width = int(max([*a_at[-1:], *b_at[-1:], -1])) + 1
                 f = _apart(dense(a, a_at, a_n, width), dense(b, b_at, b_n, width))
-                rest = int(f[-1])
-                value = int(f[:-1].sum()) - width * rest
+                value, rest = int(f[:-1].sum()) - width * int(f[-1]), int(f[-1]) * a["kinds"]
             out += [(a["lang"], a["source"], b["source"], value, rest), (a["lang"], b["source"], a["source"], value, rest)]
     cols = zip(*out) if out else [()] * len(_MET)
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _MET)], schema=_MET)
@@ -219,9 +218,8 @@ def divergence(docs: DataFrame, min_docs: int = 10, top: int = 10, width: int =
         home.unpersist()
 
     met = spark.read.schema("lang string, source string, item string, value bigint, rest bigint").parquet(f"{folder}/met")
-    kinds = spark.read.parquet(f"{folder}/kept").groupBy("lang").agg(F.count("*").alias("kinds"))
-    summed = met.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"), F.first("rest").alias("rest")).join(kinds, "lang", "left")
-    pairs = summed.select("lang", "source", F.lit("pair").alias("part"), "item", (F.col("value") + F.col("rest") * F.coalesce("kinds", F.lit(0))).alias("value"))
+    summed = met.groupBy("lang", "source", "item").agg((F.sum("value") + F.first("rest")).alias("value"))
+    pairs = summed.select("lang", "source", F.lit("pair").alias("part"), "item", "value")
     words = blocks.where("vector is null").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     return pairs.withColumn("rank", rank).unionByName(words.withColumn("rank", rank).where(F.col("rank") <= top))
