@@ -120,13 +120,20 @@ def chunk_turns(turns: DataFrame, min_length: int = 80) -> DataFrame:
     return rows.select(name.alias("chunk_id"), "source_file", "turn_index", "chunk_index", chunk_type(F.col("content")).alias("chunk_type"), "content")
 
 
+#: Chunks of a file that are folded within a row.
+FOLDED = 1000
+
+
 def batch_chunks(chunks: DataFrame, max_chars: int = 6000) -> DataFrame:
     """(source_file, batch, chunk_ids, content): chunks in order, up to ``max_chars``, never across files.
 
-    A batch begins where the running length would pass the limit; that resets, so the chunks of a
-    file, of which only names and lengths are gathered, are folded in order.
+    A batch begins where the running length would pass the limit; that resets. The chunks of a file of up to
+    FOLDED chunks, of which only names and lengths are gathered, are folded in order; longer files are gone
+    through by all tasks (``batch_numbers``), with the same result.
     """
-    item = F.struct("turn_index", "chunk_index", "chunk_id", F.length("content").alias("n"))
+    from .scans import batch_numbers
+
+    item = F.struct("turn_index", "chunk_index", "chunk_id", "n")
     start = F.struct(F.array().cast("array<struct<chunk_id:string,batch:int>>").alias("out"), F.lit(0).alias("batch"), F.lit(0).alias("used"))
 
     def step(acc: Column, c: Column) -> Column:
@@ -134,7 +141,12 @@ def batch_chunks(chunks: DataFrame, max_chars: int = 6000) -> DataFrame:
         batch = acc["batch"] + full.cast("int")
         return F.struct(F.concat(acc["out"], F.array(F.struct(c["chunk_id"].alias("chunk_id"), batch.alias("batch")))).alias("out"), batch.alias("batch"), (F.when(full, 0).otherwise(acc["used"]) + c["n"]).alias("used"))
 
-    listed = chunks.groupBy("source_file").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    lengths = chunks.select("source_file", "turn_index", "chunk_index", "chunk_id", F.length("content").alias("n"))
+    sizes = lengths.groupBy("source_file").agg(F.count("*").alias("k"))
+    listed = lengths.join(sizes.where(F.col("k") <= FOLDED).select("source_file"), "source_file", "left_semi").groupBy("source_file").agg(F.array_sort(F.collect_list(item)).alias("items"))
     dealt = listed.select(F.inline(F.aggregate("items", start, step, lambda a: a["out"])))
+    long = sizes.where(F.col("k") > FOLDED).select("source_file")
+    if long.head(1):
+        dealt = dealt.unionByName(batch_numbers(lengths.join(long, "source_file", "left_semi"), max_chars))
     rows = chunks.join(dealt, "chunk_id").groupBy("source_file", "batch").agg(F.array_sort(F.collect_list(F.struct("turn_index", "chunk_index", "chunk_id", "content"))).alias("c"))
     return rows.select("source_file", "batch", F.transform("c", lambda x: x["chunk_id"]).alias("chunk_ids"), F.array_join(F.transform("c", lambda x: x["content"]), "\n\n").alias("content"))

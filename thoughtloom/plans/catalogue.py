@@ -23,6 +23,7 @@ from ..operators import linking as K
 from ..operators import names as N
 from ..operators import parsing as P
 from ..operators import retrieval as R
+from ..operators import scans as Z
 from ..service import tools as A
 from ..sources import files as S
 from ..sources import storage as O
@@ -258,6 +259,28 @@ def chunk_batches(spark: SparkSession, d: str) -> DataFrame:
     return P.batch_chunks(P.chunk_turns(turns)).withColumn("chunk_ids", F.array_join("chunk_ids", " "))
 
 
+_ONE_FILE = f"""ch AS (SELECT doc_id, length({_strip('text')})::BIGINT AS n FROM documents WHERE {_strip('text')} <> ''),
+num AS (SELECT doc_id, n, row_number() OVER (ORDER BY doc_id) - 1 AS pos, sum(n) OVER (ORDER BY doc_id)::BIGINT AS e FROM ch),
+starts AS (SELECT 0::BIGINT AS pos, 0 AS batch UNION ALL SELECT min(c.pos), s.batch + 1 FROM starts s JOIN num a ON a.pos = s.pos JOIN num c ON c.pos > s.pos AND c.e > a.e - a.n + 6000 GROUP BY s.batch HAVING min(c.pos) IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {_ONE_FILE} SELECT n.doc_id, max(s.batch) AS batch FROM num n JOIN starts s ON s.pos <= n.pos GROUP BY n.doc_id")
+def one_file_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The batches of a single file that holds all documents, a turn each."""
+    text = T.stripped(F.col("text"))
+    rows = B.table(spark, d, "documents").select(F.lit("all").alias("source_file"), F.col("doc_id").alias("turn_index"), F.lit(0).alias("chunk_index"), F.col("doc_id").cast("string").alias("chunk_id"), F.length(text).alias("n")).where("n > 0")
+    return Z.batch_numbers(rows).select(F.col("chunk_id").cast("bigint").alias("doc_id"), "batch")
+
+
+@query(f"""SELECT (row_number() OVER (ORDER BY conv_id, turn) - 1)::INTEGER AS idx, CASE role WHEN 'user' THEN 'human' ELSE role END AS role, {_strip('text')} AS content
+FROM conversations WHERE {_strip('text')} <> ''""")
+def one_file_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The turns of a single transcript that holds all conversations, from its lines."""
+    said = F.concat(F.initcap("role"), F.lit(": "), "text")
+    lines = B.table(spark, d, "conversations").where("role in ('user', 'assistant', 'system')").select(F.lit("all").alias("source_file"), F.col("conv_id").alias("block"), "turn", F.posexplode(F.split(said, "\n", -1)).alias("i", "line"))
+    return Z.turns_of_lines(lines.withColumn("at", F.struct("turn", "i"))).select("idx", "role", "content")
+
+
 def _extracted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     chunks = G.stored(P.chunk_turns(B.turns(spark, d).where("role = 'assistant'")))
     return X.extract_concepts(P.batch_chunks(chunks), chunks)
