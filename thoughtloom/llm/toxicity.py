@@ -15,8 +15,8 @@ Presence is counted once per text, so one insult in a very long text weighs as m
 one. Texts are read whole. A null or empty text has no feature and gets the score of the bias.
 Training takes at most ``max_positive`` toxic and ``max_unlabelled`` other texts, those of smallest
 id hash; scoring covers every row. Without a toxic row every score is practically 0; where all n
-labelled rows are toxic, the share is taken for n / (n + 1). Rows repeated with one id and other texts
-are all trained on and scored by their own text. Other columns are passed on, whatever their names.
+labelled rows are toxic, the share is taken for n / (n + 1). Of rows repeated with one id and other texts
+the one of smallest text hash is trained on; all are scored by their own text. Other columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -70,21 +70,19 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     Only features of a sufficient share of the positive texts that are relatively more frequent
     there than in unlabelled texts can speak for toxicity; the others are dropped before training.
     """
-    sizes = np.array([len(x) for x in positive + unlabelled])
-    flat = np.concatenate([*positive, *unlabelled]).astype(np.int64)
-    is_positive = np.repeat(np.arange(len(sizes)) < len(positive), sizes)
-    names, column = np.unique(flat, return_inverse=True)
-    in_positive = np.bincount(column, weights=is_positive, minlength=len(names))
-    in_other = np.bincount(column, weights=~is_positive, minlength=len(names))
+    texts = [*positive, *unlabelled]
+    width = max((int(x[-1]) for x in map(np.sort, texts) if len(x)), default=-1) + 1
+    in_positive, in_other = np.zeros(width), np.zeros(width)
+    for k, x in enumerate(texts):  # text by text, so that nothing as long as all texts together is made
+        (in_positive if k < len(positive) else in_other)[x] += 1
     least = max(2, MIN_SHARE * len(positive)) if len(positive) > 20 else 1
     lift = (in_positive / len(positive)) / np.maximum((in_other + 1) / (len(unlabelled) + 1), 1e-12)
-    chosen = np.flatnonzero((in_positive >= least) & (lift > MIN_LIFT))
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    used = place[column] >= 0
-    row, col = row[used], place[column[used]]
-    n, m = len(sizes), len(chosen)
+    names = np.flatnonzero((in_positive >= least) & (lift > MIN_LIFT))
+    place = np.full(width, -1, dtype=np.int32)
+    place[names] = np.arange(len(names))
+    kept = [(at := place[x])[at >= 0] for x in texts]
+    row, col = np.repeat(np.arange(len(texts)), [len(x) for x in kept]), np.concatenate(kept)
+    n, m = len(texts), len(names)
     w, b = np.zeros(m), float(np.log(prior / (1 - prior)))
     first, second, k = np.zeros(m + 1), np.zeros(m + 1), np.arange(n) < len(positive)
     mean_w, mean_b, averaged = np.zeros(m), 0.0, steps // 3
@@ -104,7 +102,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
         w, b = w - move[:-1], b - move[-1]
         if step > steps - averaged:  # the last third of the path, averaged, is free of its swings
             mean_w, mean_b = mean_w + w / averaged, mean_b + b / averaged
-    return names[chosen], mean_w, float(mean_b)
+    return names, mean_w, float(mean_b)
 
 
 @dataclass
@@ -157,10 +155,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_posit
     others = others.select("doc_id", F.lit(0).alias("part"))
     # The risk asks for unlabelled texts as they come: a positive one may be among them, too.
     ids = toxic.unionByName(others)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    # of an id with several texts one takes part, so that no more than the bound come back
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "part").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sets: tuple[list, list] = ([], [])
-    for r in featurise(sample, "text", "part", bits).toLocalIterator():
-        sets[r["part"]].append(np.asarray(r["idx"], dtype=np.int64))
+    found = featurise(sample, "text", "part", bits).toArrow()
+    for batch in found.to_batches():
+        values, bounds = batch.column("idx").values.to_numpy(), batch.column("idx").offsets.to_numpy()
+        for part, begin, end in zip(batch.column("part").to_pylist(), bounds, bounds[1:]):
+            sets[part].append(values[begin:end])
     if not sets[1] or not share:
         return ToxicityModel(np.zeros(0, dtype=np.int64), np.zeros(0), -800.0, bits)
     names, weights, bias = fit_nnpu(sets[1], sets[0] or [np.zeros(0, dtype=np.int64)], share)
