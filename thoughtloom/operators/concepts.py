@@ -106,6 +106,23 @@ def provenance(mentions: DataFrame, file: str = "source_file", turn: str = "idx"
     return rows.groupBy("slug", F.col(file).alias("transcript_path")).agg(F.array_sort(F.collect_set(turn)).alias("turn_indices"), F.min_by(F.substring("definition", 1, 500), F.struct(turn, "definition")).alias("snippet"))
 
 
+#: A place where a concept was named, as a store keeps it.
+SOURCE = "struct<transcript_path:string,transcript_hash:string,turn_indices:array<int>,extracted_at:timestamp,chunk_id:string,snippet:string>"
+
+
+def source_refs(named: DataFrame, chunks: DataFrame, hashes: DataFrame, now: Column) -> DataFrame:
+    """(slug, sources) of concepts with ``source_chunks``: for each file its hash, turns, and the first chunk with its text.
+
+    ``chunks`` has chunk_id, source_file, turn_index and content; ``hashes`` path and hash. Chunks that are not there are left out.
+    """
+    listed = named.select("slug", F.posexplode("source_chunks").alias("at", "chunk_id")).join(chunks.select("chunk_id", "source_file", "turn_index", "content"), "chunk_id")
+    first = lambda c: F.min_by(c, "at")
+    files = listed.groupBy("slug", "source_file").agg(F.array_sort(F.collect_set(F.col("turn_index").cast("int"))).alias("turns"), first("chunk_id").alias("chunk_id"), F.substring(first("content"), 1, CONTENT_CHARS).alias("snippet"))
+    files = files.join(hashes.select(F.col("path").alias("source_file"), "hash"), "source_file", "left")
+    ref = F.struct(F.col("source_file").alias("transcript_path"), F.coalesce("hash", F.lit("")).alias("transcript_hash"), F.col("turns").alias("turn_indices"), now.alias("extracted_at"), "chunk_id", "snippet")
+    return files.groupBy("slug").agg(F.array_sort(F.collect_list(ref)).cast(f"array<{SOURCE}>").alias("sources"))
+
+
 def remove_fluff(text: Column) -> Column:
     for pattern in FLUFF:
         text = F.regexp_replace(text, pattern, "")
@@ -202,7 +219,7 @@ def merge_concepts(versions: DataFrame, order: str) -> DataFrame:
 
     A concept is deleted only if every version is, since the earliest of their times.
     """
-    lists = [c for c in ("insights", "examples", "tags", "source_files", "links", "relationships") if c in versions.columns]
+    lists = [c for c in ("insights", "examples", "tags", "source_files", "links", "relationships", "sources") if c in versions.columns]
     ordered = F.array_sort(F.collect_list(F.struct(order, *lists)))
     longest = lambda c: F.max_by(c, F.struct(F.length(c), -F.col(order)))
     out = versions.groupBy("slug").agg(

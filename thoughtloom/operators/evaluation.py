@@ -141,3 +141,25 @@ def sweep_weights(scores: DataFrame, relevant: DataFrame, grid: DataFrame, k: in
 
 def report(scores: DataFrame) -> Column:
     return F.to_json(F.struct(*scores.columns))
+
+
+def _table(head: list[str], rows: list[list]) -> list[str]:
+    cell = lambda x: f"{x:.3f}" if isinstance(x, float) else str(x)
+    return ["| " + " | ".join(head) + " |", "|" + " --- |" * len(head), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]
+
+
+def markdown_report(results: list[dict]) -> str:
+    """Scores by fixture, and over all of them, as Markdown; one row for each of ``cli.evaluate``'s results."""
+    names = ["recall", "precision", "phrase_grounding", "matched", "expected", "extracted"]
+    rows = [[r["fixture"], *(r[n] for n in names), r["relationships"]["recall"], r["relationships"]["type_accuracy"]] for r in results]
+    matched, expected, extracted = (sum(r[n] for r in results) for n in ("matched", "expected", "extracted"))
+    share = lambda a, b: a / b if b else 1.0
+    lines = ["# Evaluation", "", f"Fixtures: {len(results)}", f"Concept recall: {share(matched, expected):.3f} ({matched} of {expected})", f"Concept precision: {share(matched, extracted):.3f} ({matched} of {extracted})", ""]
+    return "\n".join([*lines, *_table(["fixture", *names, "relation recall", "type accuracy"], rows), ""])
+
+
+def sweep_report(scores: DataFrame, top: int = 10) -> str:
+    """The best weights of a sweep (keyword, semantic, graph and a score each) as Markdown."""
+    names = scores.columns
+    best = scores.orderBy(F.desc(names[-1]), *names[:-1]).limit(top).collect()
+    return "\n".join(["# Weights", "", *_table(names, [list(r) for r in best]), ""])

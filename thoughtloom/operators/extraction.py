@@ -31,7 +31,7 @@ class Model(Protocol):
     def generate(self, prompt: str, system: str = "") -> str: ...
 
 
-def _post(url: str, body: dict, headers: dict, timeout: float) -> dict:
+def http_post(url: str, body: dict, headers: dict, timeout: float) -> dict:
     request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
     with urllib.request.urlopen(request, timeout=timeout) as reply:
         return json.load(reply)
@@ -47,7 +47,7 @@ class HttpModel:
     key: str = ""
     timeout: float = 120.0
     retries: int = 2
-    post: Callable[[str, dict, dict, float], dict] = field(default=_post, repr=False)
+    post: Callable[[str, dict, dict, float], dict] = field(default=http_post, repr=False)
 
     def available(self) -> bool:
         try:

@@ -35,6 +35,18 @@ def contradicts(a: Column, b: Column, whole_words: bool = True) -> Column:
     return out
 
 
+def conflict_pairs(insights: Column) -> Column:
+    """Array of (a, b): the contradicting pairs of a concept's insights, the one that stands first as a."""
+    later = lambda a, i: F.transform(F.slice(insights, i + 2, F.greatest(F.size(insights), F.lit(1))), lambda b: F.struct(a.alias("a"), b.alias("b")))
+    return F.coalesce(F.filter(F.flatten(F.transform(insights, later)), lambda p: contradicts(p["a"], p["b"])), F.array().cast("array<struct<a:string,b:string>>"))
+
+
+def with_conflicts(concepts: DataFrame) -> DataFrame:
+    """``concepts`` with ``conflicts``, the variants that contradict each other, and the status that goes with them."""
+    out = concepts.withColumn("conflicts", conflict_pairs(F.col("insights")))
+    return out.withColumn("status", F.when(F.col("status") == "deleted", "deleted").when(F.size("conflicts") > 0, "conflicted").otherwise("active"))
+
+
 def insight_conflicts(concepts: DataFrame, whole_words: bool = True) -> DataFrame:
     """(slug, i, j, a, b): contradicting pairs of a concept's insights, compared within its row."""
     pairs = F.flatten(F.transform("insights", lambda a, i: F.transform(F.slice("insights", i + 2, F.greatest(F.size("insights"), F.lit(1))), lambda b, k: F.struct(i.alias("i"), (i + 1 + k).alias("j"), a.alias("a"), b.alias("b")))))

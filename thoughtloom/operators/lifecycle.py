@@ -46,6 +46,8 @@ def drop_sources(concepts: DataFrame, changed: DataFrame, now: Column) -> DataFr
     rows = concepts.join(kept, "slug", "left").withColumn("_left", F.coalesce(F.transform("_k", lambda x: x["path"]), F.array().cast("array<string>")))
     dies = (F.size("_left") == 0) & (F.size("source_files") > 0)
     out = rows.withColumn("status", F.when(dies, "deleted").otherwise(F.col("status"))).withColumn("deleted_at", F.when(dies, F.coalesce("deleted_at", now)).otherwise(F.col("deleted_at")))
+    if "sources" in concepts.columns:  # where they were named goes with them
+        out = out.withColumn("sources", F.filter("sources", lambda s: F.array_contains("_left", s["transcript_path"])))
     return out.withColumn("source_files", F.col("_left")).drop("_k", "_left")
 
 

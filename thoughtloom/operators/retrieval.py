@@ -89,7 +89,8 @@ def filter_concepts(concepts: DataFrame, tag: str | None = None, min_confidence:
 def hybrid(concepts: DataFrame, edges: DataFrame, query: str, semantic: DataFrame | None = None, mode: str | None = None, weights: tuple[float, float, float] | None = None) -> DataFrame:
     """Fused scores; explicit weights win over the mode, branches of no weight are not built."""
     empty = concepts.select("slug", F.lit(0.0).alias("score")).limit(0)
-    w = weights or WEIGHTS[mode or ("hybrid" if semantic is not None else "no_vectors")]
+    mode = mode or "hybrid"
+    w = weights or WEIGHTS["no_vectors" if mode == "hybrid" and semantic is None else mode]
     kw = keyword_scores(concepts, "slug", concept_text(concepts), query) if w[0] or w[2] else empty
     sem = semantic.select("slug", "score") if semantic is not None and (w[1] or w[2]) else empty
     walked = walk_scores(seed_pool(kw, sem), concepts, edges) if w[2] else empty

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -10,12 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import concepts as C
-from ..operators import dedup, extraction, graph, lifecycle, linking, parsing
+from ..operators import dedup, extraction, graph, hygiene, lifecycle, linking, parsing
+from ..operators.cells import VectorCells
+from ..operators.embedding import Embedder, embed_concepts
 from ..sources import files, storage
 
 #: The tables of a version of a knowledge base.
-CONCEPTS = """name string, slug string, definition string, explanation string, insights array<string>, examples array<string>, tags array<string>, source_files array<string>,
- confidence double, links array<string>, relationships array<struct<source:string,target:string,type:string,confidence:double>>, status string, deleted_at timestamp, last_reinforced_at timestamp, last_reviewed_at timestamp, hash string"""
+CONCEPTS = f"""name string, slug string, definition string, explanation string, insights array<string>, examples array<string>, tags array<string>, source_files array<string>,
+ confidence double, links array<string>, relationships array<struct<source:string,target:string,type:string,confidence:double>>, sources array<{C.SOURCE}>, conflicts array<struct<a:string,b:string>>, status string, deleted_at timestamp, last_reinforced_at timestamp, last_reviewed_at timestamp, hash string"""
 
 
 @dataclass
@@ -46,6 +47,11 @@ class KnowledgeBase:
     def vectors(self) -> DataFrame | None:
         return storage.load_vectors(self.spark, self.folder()) if self.version() else None
 
+    def cells(self) -> VectorCells | None:
+        """The vectors of the current version, stored for search; None without any."""
+        there = self.version() and storage.read_or_none(self.spark, f"{self.folder()}/cells/centres") is not None
+        return VectorCells(self.spark, f"{self.folder()}/cells") if there else None
+
     def history(self) -> DataFrame:
         rows = storage.read_or_none(self.spark, f"{self.root}/snapshots")
         return rows if rows is not None else self.spark.createDataFrame([], "ts timestamp, provider string, slug string, hash string")
@@ -54,7 +60,7 @@ class KnowledgeBase:
         """The scored links of the current version, without those that a model named; None if there are none stored."""
         return storage.read_or_none(self.spark, f"{self.folder()}/links") if self.version() else None
 
-    def save(self, concepts: DataFrame) -> None:
+    def save(self, concepts: DataFrame, embedder: Embedder | None = None) -> None:
         """Writes concepts, their links, graph and Markdown as a new version, and then makes it the current one.
 
         Only links with a changed end are scored. Edges are those links and the relations that concepts name.
@@ -73,9 +79,16 @@ class KnowledgeBase:
         nodes, edges = graph.build(rows, links.unionByName(C.links_of(live).select(*columns)))
         files.write_graph(nodes.select("slug", "name"), edges, folder)
         storage.write_markdown_files(rows, folder)
+        files.write_provenance(live, folder)
         old = storage.load_vectors(self.spark, self.folder(last)) if last else None
-        if old is not None:
-            storage.keep_vectors(old.join(changed, "slug", "left_anti"), folder)
+        kept = None if old is None else old.join(changed, "slug", "left_anti").join(live.select("slug"), "slug", "left_semi")
+        if embedder is not None:
+            new = live if kept is None else live.join(kept.select("slug"), "slug", "left_anti")
+            made = embed_concepts(new, embedder).select("slug", "vector", F.lit(str(getattr(embedder, "model", ""))).alias("model"), F.size("vector").alias("width"))
+            kept = made if kept is None else kept.select(*made.columns).unionByName(made)
+        if kept is not None:
+            storage.keep_vectors(kept, folder)
+            VectorCells(self.spark, f"{folder}/cells").build(storage.load_vectors(self.spark, folder).select(F.col("slug").alias("key"), "vector"))
         storage.Storage(self.spark, self.root).write_text(f"finished/{version:09d}", "")
 
 
@@ -91,8 +104,8 @@ def _shaped(concepts: DataFrame) -> DataFrame:
     return concepts.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in _fields()))
 
 
-def distilled(raw: DataFrame, now: Column) -> DataFrame:
-    """Raw concepts as concepts of a store."""
+def distilled(raw: DataFrame, now: Column, chunks: DataFrame | None = None, hashes: DataFrame | None = None) -> DataFrame:
+    """Raw concepts as concepts of a store, with the places in ``chunks`` where they were named."""
     def by_rule(rows: DataFrame) -> DataFrame:
         text = C.remove_fluff(F.col("raw_content"))
         parts = rows.withColumn("clean", text).withColumn("parts", C.sentences(F.col("clean")))
@@ -102,15 +115,18 @@ def distilled(raw: DataFrame, now: Column) -> DataFrame:
 
     rows = extraction.distill(raw, by_rule).withColumn("slug", C.slugify(F.col("name"))).where("slug <> ''")
     rows = rows.withColumn("status", F.lit("active")).withColumn("last_reinforced_at", now).withColumn("hash", C.concept_hash(F.col("name"), F.col("definition")))
+    if chunks is not None:
+        rows = graph.stored(rows)
+        rows = rows.join(C.source_refs(rows, chunks, hashes, now), "slug", "left")
     return _shaped(rows)
 
 
-def ingest(kb: KnowledgeBase, source: str, provider: str = "mock", model: extraction.Model | None = None, now: datetime | None = None, dry_run: bool = False, extensions: tuple[str, ...] = ("md", "txt"), embed=None) -> dict:
+def ingest(kb: KnowledgeBase, source: str, provider: str = "mock", model: extraction.Model | None = None, now: datetime | None = None, dry_run: bool = False, extensions: tuple[str, ...] = ("md", "txt"), embedder: Embedder | None = None) -> dict:
     """Brings ``kb`` up to the transcripts in ``source``; only new and changed files are read into concepts.
 
     Concepts lose the files that changed or went, and are deleted when none is left; what the new
     texts say is merged into them. A dry run only counts. File hashes are saved last, so a run that
-    ends early is done again. ``embed`` gives (slug, vector) for concepts.
+    ends early is done again. With an ``embedder`` the concepts without a vector get one.
     """
     spark, time = kb.spark, F.lit(now or datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp")
     last = kb.history().groupBy("provider").agg(F.max("ts").alias("ts"))
@@ -133,17 +149,15 @@ def ingest(kb: KnowledgeBase, source: str, provider: str = "mock", model: extrac
     chunks = graph.stored(parsing.chunk_turns(parsing.parse_turns(fresh).where("role = 'assistant'")))
     raw, counters = extraction.extract_concepts(parsing.batch_chunks(chunks), chunks, model, f"{kb.root}/replies" if model else None)
     raw = raw.withColumn("ord", F.struct("source_file", "batch", "rank"))
-    found = distilled(dedup.deduplicate(graph.stored(raw)), time)
+    found = graph.stored(distilled(dedup.deduplicate(graph.stored(raw)), time, chunks, hashes))
     versions = _shaped(kept).withColumn("o", F.lit(1)).unionByName(found.withColumn("o", F.lit(2)))
-    merged = C.merge_concepts(versions, "o").withColumn("hash", C.concept_hash(F.col("name"), F.col("definition")))
+    merged = hygiene.with_conflicts(C.merge_concepts(versions, "o")).withColumn("hash", C.concept_hash(F.col("name"), F.col("definition")))
     after = graph.stored(_shaped(merged))
     told = lifecycle.diff_counts(before.where("status <> 'deleted'"), after.where("status <> 'deleted'")).head().asDict()
     result = {"skipped": False, "files": files_told, "concepts": told, "extraction": counters.head().asDict()}
     if dry_run:
         return result
-    kb.save(after)
-    if embed is not None:
-        storage.save_vectors(embed(kb.live()), kb.folder())
+    kb.save(after, embedder)
     files.append_snapshot(after, kb.root, provider, time)
     storage.save_hashes(hashes, kb.root)
     return result

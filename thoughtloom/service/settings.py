@@ -15,6 +15,10 @@ class Settings:
     url: str = "http://localhost:11434"
     model: str = ""
     form: str = "ollama"
+    embed_url: str = ""
+    embed_model: str = ""
+    embed_form: str = "ollama"
+    client: str = "plain"
     mode: str = "hybrid"
     top_k: int = 5
 

@@ -15,8 +15,10 @@ from ..functions.text import slugify
 from ..operators import graph as G
 from ..operators import hygiene, lifecycle
 from ..operators import retrieval as R
+from ..operators.embedding import Embedder
 from ..operators.extraction import Model
 from .knowledge import KnowledgeBase
+from .registry import Registry
 
 #: Lengths of texts in answers, and how many neighbours a hit shows.
 BRIEF_CHARS, LISTED_CHARS, NEIGHBOR_CHARS, RELATED = 400, 200, 150, 5
@@ -50,8 +52,38 @@ def search_rows(concepts: DataFrame, edges: DataFrame, question: str, k: int = 5
     return rows.select("rank", "slug", "name", F.round("total", 3).alias("total"), "definition", "tags", F.coalesce("related", F.array().cast("array<string>")).alias("related")).orderBy("rank")
 
 
-def search(kb: KnowledgeBase, question: str, top_k: int = 5, mode: str | None = None) -> list[dict]:
-    return _rows(search_rows(kb.live(), kb.edges(), question, top_k, mode=mode))
+def nearest(kb: KnowledgeBase, question: str, embedder: Embedder | None, top: int = 50) -> DataFrame | None:
+    """(slug, cosine, score) of the concepts whose vectors are nearest to the question's; None where one of them is missing."""
+    cells = kb.cells() if embedder is not None else None
+    if cells is None:
+        return None
+    return cells.nearest(embedder.embed([question])[0], top).withColumnRenamed("key", "slug")
+
+
+def search(kb: KnowledgeBase, question: str, top_k: int = 5, mode: str | None = None, embedder: Embedder | None = None, **filters) -> list[dict]:
+    """The best hits; ``filters`` (tag, min_confidence, since, include_deleted) say which concepts can be among them.
+
+    A filter holds before scores are taken, so that the best of the filtered concepts are found.
+    """
+    rows = R.filter_concepts(kb.concepts(), **filters)
+    semantic = nearest(kb, question, embedder)
+    if semantic is not None:
+        semantic = semantic.join(rows.select("slug"), "slug", "left_semi")
+    return _rows(search_rows(rows, kb.edges(), question, top_k, semantic, mode))
+
+
+def search_all(registry: Registry, question: str, top_k: int = 5, max_total: int = 20, kb_ids: list[str] | None = None) -> list[dict]:
+    """The best of each knowledge base (or of the named ones), and of these the best of all."""
+    concepts = registry.concepts(kb_ids)
+    return [] if concepts is None else _rows(search_many(concepts, question, top_k, max_total))
+
+
+def search_selected(registry: Registry, question: str, top_k: int = 5, embedder: Embedder | None = None) -> dict:
+    """The hits of the selected knowledge base."""
+    selected = registry.state().selected
+    if selected is None:
+        return {"error": "no_kb_selected", "message": "select a knowledge base first"}
+    return {"kb_id": selected, "results": search(registry.open(selected), question, top_k, embedder=embedder)}
 
 
 def search_many(concepts: DataFrame, question: str, top_k: int = 5, most: int = 20) -> DataFrame:
@@ -80,7 +112,7 @@ def get_concept(kb: KnowledgeBase, name: str) -> dict:
     if slug is None:
         return {"error": "concept_not_found", "message": f"Concept not found: {name}"}
     row = kb.live().where(F.col("slug") == slug).head().asDict(recursive=True)
-    fields = ("name", "slug", "definition", "explanation", "insights", "examples", "tags", "confidence", "links", "source_files")
+    fields = ("name", "slug", "definition", "explanation", "insights", "examples", "tags", "confidence", "links", "source_files", "status", "conflicts", "sources")
     edges = kb.edges().where(F.col("source") == slug).select("target", "type").orderBy("target", "type")
     return {**{f: row.get(f) for f in fields}, "relationships": _rows(edges)}
 
@@ -199,3 +231,17 @@ def wrapped(payload: object, tag: str = "retrieved-content") -> str:
     text = json.dumps(payload, default=str)
     hidden = {*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF, *range(0xE0000, 0xE0080)}
     return f"<{tag}>\n{text.translate(dict.fromkeys(hidden))}\n</{tag}>"
+
+
+#: How answers are written for a client, by its name; others are added by ``register_client``.
+_CLIENTS = {"plain": lambda command, payload: json.dumps(payload, indent=2, default=str), "enveloped": lambda command, payload: wrapped(payload)}
+
+
+def register_client(name: str, write) -> None:
+    """``write`` gets the command and its answer, and gives the text for that client."""
+    _CLIENTS[name] = write
+
+
+def for_client(name: str, command: str, payload: object) -> str:
+    """An answer as text; an unknown client gets it plain. What a tool retrieved is enveloped for all but plain clients."""
+    return _CLIENTS.get(name, _CLIENTS["plain"])(command, payload)

@@ -124,7 +124,12 @@ def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/snapshots")
 
 
-def provenance_json(refs: DataFrame) -> DataFrame:
-    """(slug, sources): a JSON list of the places of each concept."""
-    rows = refs.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("transcript_path", "turn_indices", "snippet"))).alias("s"))
-    return rows.select("slug", F.to_json("s").alias("sources"))
+def provenance_json(concepts: DataFrame) -> DataFrame:
+    """(slug, json): a JSON document of the places of each concept that has some, null fields left out."""
+    rows = concepts.where(F.size("sources") > 0)
+    return rows.select("slug", F.to_json(F.struct("slug", "name", "sources")).alias("json"))
+
+
+def write_provenance(concepts: DataFrame, folder: str) -> None:
+    """A line of JSON for each concept that has sources."""
+    provenance_json(concepts).select(F.col("json").alias("value")).write.mode("overwrite").text(f"{folder}/provenance")
