@@ -6,21 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import HOPS, outgoing
-from .hygiene import sequence_ratio
+from .hygiene import ratio_candidates, sequence_ratio
 from .retrieval import SEEDS, concept_text, tokens
 
 
 def match_concepts(expected: DataFrame, actual: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(expected slug, actual slug): the same slug, else the first name with a ratio at the threshold.
+    """(e, a): of each expected slug the same slug, else the first slug of a name with a ratio at the threshold.
 
-    Names meet for the ratio only where they share a character pair, as any ratio of 0.85 needs
-    for names of three characters and more.
+    The ratio, which is computed in Python, is taken of pairs only whose characters can give it.
     """
     same = expected.select("slug").join(actual.select("slug"), "slug").select(F.col("slug").alias("e"), F.col("slug").alias("a"))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.lower(c), i, F.lit(2))))
-    left = expected.join(same, expected.slug == same.e, "left_anti").select(F.col("slug").alias("e"), F.col("name").alias("x"), F.explode(grams(F.col("name"))).alias("g"))
-    right = actual.select(F.col("slug").alias("a"), F.col("name").alias("y"), F.explode(grams(F.col("name"))).alias("g"))
-    near = left.join(right, "g").where("length(x) * 3 >= length(y) * 2 and length(y) * 3 >= length(x) * 2").select("e", "a", "x", "y").distinct()
+    left = expected.join(same, expected.slug == same.e, "left_anti").select(F.col("slug").alias("e"), F.col("name").alias("x"))
+    near = ratio_candidates(left, actual.select(F.col("slug").alias("a"), F.col("name").alias("y")), threshold)
     best = sequence_ratio(near, "x", "y").where(F.col("ratio") >= threshold).groupBy("e").agg(F.min("a").alias("a"))
     return same.unionByName(best)
 

@@ -132,6 +132,31 @@ def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
+def reclustered(labels: DataFrame, nodes: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """(slug, cluster) after a change, from the ``labels`` before it.
+
+    ``nodes`` and ``edges`` are those after the change; ``added`` and ``removed`` the edges (source, target) that make
+    the difference, ``removed`` with those of nodes that went. Only clusters that lost an edge or a node are
+    searched anew, among their own nodes. Added edges join clusters as wholes: their ends are replaced by labels, and
+    the graph of labels, which has as many edges as were added, is clustered. Others keep their label.
+    """
+    here = nodes.select("slug").distinct()
+    ends = removed.select(F.explode(F.array("source", "target")).alias("slug")).distinct()
+    went = labels.join(here, "slug", "left_anti")
+    torn = stored(labels.join(ends, "slug", "left_semi").unionByName(went).select("cluster").distinct())
+    open_ = stored(labels.join(torn, "cluster", "left_semi").join(here, "slug", "left_semi").select("slug"))
+    inner = edges.join(open_.withColumnRenamed("slug", "source"), "source", "left_semi").join(open_.withColumnRenamed("slug", "target"), "target", "left_semi")
+    kept = labels.join(torn, "cluster", "left_anti").select("slug", "cluster")
+    new = here.join(labels.select("slug"), "slug", "left_anti").select("slug", F.col("slug").alias("cluster"))
+    now = stored(kept.unionByName(clusters(open_, inner)).unionByName(new))
+    label = lambda end: now.select(F.col("slug").alias(end), F.col("cluster").alias(f"{end}_cluster"))
+    joins = added.join(label("source"), "source").join(label("target"), "target").where("source_cluster <> target_cluster")
+    joins = stored(joins.select(F.col("source_cluster").alias("source"), F.col("target_cluster").alias("target")).distinct())
+    wholes = joins.select(F.explode(F.array("source", "target")).alias("slug")).distinct()
+    merged = clusters(wholes, joins).select(F.col("slug").alias("cluster"), F.col("cluster").alias("least"))
+    return now.join(merged, "cluster", "left").select("slug", F.coalesce("least", "cluster").alias("cluster"))
+
+
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, distinct pairs, clusters, density (0 for fewer than two nodes)."""
     n = nodes.agg(F.count("*").alias("nodes"))

@@ -65,6 +65,40 @@ def sequence_ratio(rows: DataFrame, a: str, b: str, column: str = "ratio") -> Da
     return rows.withColumn(column, ratio(F.lower(a), F.lower(b)))
 
 
+def counted_characters(text: Column) -> Column:
+    """A text's characters in lower case, each with its how-manyth: a set that holds what the text holds, repeats included."""
+    signs = F.filter(F.split(F.lower(text), ""), lambda c: c != "")
+    def numbered(sorted_: Column) -> Column:
+        return F.transform(sorted_, lambda c, i: F.concat(c, (i - F.array_position(sorted_, c) + 2).cast("string")))
+
+    return F.get(F.transform(F.array(F.array_sort(signs)), numbered), F.lit(0))
+
+
+def ratio_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(e, a, x, y): all pairs of names (e, x) and (a, y) that can have a ratio at the threshold; few others.
+
+    A ratio is twice the matched characters over both lengths, and what is matched is in both texts, so their sets
+    of counted characters share threshold / 2 of both lengths. Two such sets share one of their first characters, the
+    rare ones first (prefix filter); the pairs that meet are held against the lengths and the shared number.
+    """
+    signs = lambda rows, key, name: rows.select(key, name, counted_characters(F.col(name)).alias("signs"))
+    lefts, rights = signs(left, "e", "x"), signs(right, "a", "y")
+    listed = lambda rows, key: rows.select(key, F.size("signs").alias("n"), F.explode("signs").alias("sign"))
+    counts = listed(lefts, "e").select("sign").unionByName(listed(rights, "a").select("sign")).groupBy("sign").agg(F.count("*").alias("df"))
+    least = threshold / (2 - threshold)  # of a text's characters, shared with the shortest text it can match
+
+    def heads(rows: DataFrame, key: str) -> DataFrame:
+        ranked = listed(rows, key).join(counts, "sign")
+        ordered = ranked.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("df", "sign"))).alias("o"))
+        return ordered.select(key, F.explode(F.slice("o", 1, (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int"))).alias("h")).select(key, "h.sign")
+
+    met = heads(lefts, "e").join(heads(rights, "a"), "sign").select("e", "a").distinct()
+    pairs = met.join(lefts.withColumnRenamed("signs", "p"), "e").join(rights.withColumnRenamed("signs", "q"), "a")
+    shared = F.size(F.array_intersect("p", "q"))
+    enough = shared * 2 >= (F.size("p") + F.size("q")) * F.lit(threshold) - 1e-9
+    return pairs.where(enough).select("e", "a", "x", "y")
+
+
 def definition_conflicts(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Pairs (a, b) of non-empty definitions that diverge."""
     return sequence_ratio(pairs.where("a <> '' and b <> ''"), "a", "b").where(F.col("ratio") < threshold)

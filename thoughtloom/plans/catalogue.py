@@ -28,6 +28,7 @@ from ..service import tools as A
 from ..sources import files as S
 from ..sources import storage as O
 from ..streaming import events as V
+from ..streaming import staleness as Y
 from . import tables as B
 
 QUERIES: dict = {}
@@ -505,7 +506,7 @@ def name_mentions(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_concepts()}, {_links()} SELECT source, target, type, score FROM links")
 def links_after_changes(spark: SparkSession, d: str) -> DataFrame:
     """The store held what users said and comes to hold what assistants say: links by the changed concepts alone."""
-    before, after = G.stored(B.concepts(spark, d, "user")), G.stored(B.concepts(spark, d))
+    before, after = G.stored(B.concepts(spark, d, "human")), G.stored(B.concepts(spark, d))
     links = G.stored(K.score_links(before))
     return K.relink(links, after, G.stored(K.changed_concepts(before, after))).select("source", "target", "type", "score")
 
@@ -554,6 +555,17 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return G.clusters(*_graph(spark, d))
 
 
+@query(f"{_RECURSIVE}, {_REACH} SELECT slug, cluster FROM clusters")
+def components_after_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The graph was that of what users said and comes to be that of the assistants': clusters by the difference."""
+    before = G.stored(B.concepts(spark, d, "human"))
+    old = G.stored(G.build(before, K.score_links(before))[1].select("source", "target").distinct())
+    nodes, edges = _graph(spark, d)
+    new = G.stored(edges.select("source", "target").distinct())
+    labels = G.clusters(before, old)
+    return G.reclustered(labels, nodes, new, new.exceptAll(old), old.exceptAll(new))
+
+
 @query(f"""{_GRAPH}, seed AS (SELECT slug FROM concepts ORDER BY mentions DESC, slug LIMIT 1), r1 AS (SELECT DISTINCT b AS slug FROM both_ways WHERE a IN (SELECT slug FROM seed)),
 r2 AS (SELECT DISTINCT b AS slug FROM both_ways WHERE a IN (SELECT slug FROM r1)),
 n AS (SELECT slug FROM seed UNION SELECT slug FROM r1 UNION SELECT slug FROM r2)
@@ -799,6 +811,23 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
     return H.review_queue(B.users_as_concepts(spark, d), F.lit(NOW))
 
 
+@query(f"WITH {_USERS} SELECT slug, epoch_us(last) // 1000 AS last, n::INTEGER AS sources FROM adj WHERE adjusted < 0.3 AND age > 90")
+def stale_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The users that have turned stale, told by the timers of a stream over the event log."""
+    events = B.table(spark, d, "events").select(F.format_string("user-%d", "user_id").alias("slug"), "ts", F.col("event_type").alias("source"), (F.col("value") / 1000).alias("confidence"))
+    return Y.stale_by(events, F.lit(NOW), O.scratch(spark, "stale")).select("slug", "last", "sources")
+
+
+@query(f"""WITH {_concepts()}, {_concepts('user', 'u_')}, named AS (SELECT 'e' AS side, slug, lower(name) AS name FROM u_concepts UNION ALL SELECT 'a', slug, lower(name) FROM concepts),
+m AS (SELECT side, slug, length(name) AS size, c, count(*) AS n FROM (SELECT side, slug, name, unnest(string_split(name, '')) AS c FROM named) WHERE c <> '' GROUP BY ALL)
+SELECT e.slug AS e, a.slug AS a FROM m e JOIN m a ON e.c = a.c AND e.side = 'e' AND a.side = 'a' GROUP BY e.slug, a.slug, e.size, a.size HAVING sum(least(e.n, a.n)) * 2 >= (e.size + a.size) * 0.85 - 1e-9""")
+def ratio_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Names of what users and assistants say whose characters allow a ratio of 0.85."""
+    left = B.concepts(spark, d, "human").select(F.col("slug").alias("e"), F.col("name").alias("x"))
+    right = B.concepts(spark, d).select(F.col("slug").alias("a"), F.col("name").alias("y"))
+    return H.ratio_candidates(G.stored(left), G.stored(right), 0.85).select("e", "a")
+
+
 _HAS = lambda t, w: f"contains(lower({t}), '{w}')"
 _AGAINST = " OR ".join(f"({_HAS('a.s', x)} AND {_HAS('b.s', y)}) OR ({_HAS('a.s', y)} AND {_HAS('b.s', x)})" for x, y in H.OPPOSITES)
 
