@@ -14,13 +14,15 @@ touches as many of them as it has words.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import stored
-from .retrieval import tokens
 
 #: Texts of a block, folders of postings, and blocks that are opened to find the threshold.
 BLOCK, FOLDERS, FIRST = 128, 64, 8
@@ -32,6 +34,18 @@ def _folder(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(FOLDERS)).cast("int")
 
 
+#: What a word is made of, in lower case; everything else parts words.
+_SIGNS = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
+
+
+def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, len, words) of (key, text): how many words a text has, and how often each."""
+    for batch in batches:
+        said = [Counter(text.translate(_SIGNS).split()) for text in batch.column("text").to_pylist()]
+        words = pa.array([[(w.decode(), n) for w, n in c.items()] for c in said], pa.map_(pa.string(), pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([c.total() for c in said], pa.int32()), words], names=["key", "len", "words"])
+
+
 @dataclass
 class KeywordIndex:
     """An index in a folder of any file system that Spark writes."""
@@ -62,12 +76,15 @@ class KeywordIndex:
         self._append(texts, segment, old, gone)
 
     def _append(self, texts: DataFrame, segment: int, old: DataFrame | None, gone: DataFrame | None = None) -> None:
-        words = texts.select("key", tokens(F.coalesce("text", F.lit(""))).alias("t"))
-        counted = words.select("key", F.size("t").alias("len"), F.explode("t").alias("token")).groupBy("key", "len", "token").agg(F.count("*").cast("int").alias("tf"))
-        own = counted.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("token", "tf"))).alias("words"))
-        own = texts.select("key").join(own, "key", "left").withColumn("words", F.coalesce("words", F.create_map().cast("map<string,int>")))
+        # the words of each text are counted where it is read, and stored: all that follows comes from these counts
+        low = texts.select("key", F.lower(F.coalesce("text", F.lit(""))).cast("binary").alias("text"))
+        own = low.mapInArrow(_counted_words, "key string, len int, words map<string,int>")
         if gone is not None:
-            own = own.unionByName(gone.select("key", F.lit(None).cast("map<string,int>").alias("words")).join(texts.select("key"), "key", "left_anti"))
+            went = gone.select("key").join(texts.select("key"), "key", "left_anti")
+            own = own.unionByName(went.select("key", F.lit(None).cast("int").alias("len"), F.lit(None).cast("map<string,int>").alias("words")))
+        own.write.parquet(f"{self.root}/texts/segment={segment}")
+        own = self.spark.read.schema("key string, len int, words map<string,int>").parquet(f"{self.root}/texts/segment={segment}").where("words is not null")
+        counted = own.select("key", "len", F.explode("words").alias("token", "tf"))
         # counts of texts by word, less those of the texts that are replaced or go
         added = counted.groupBy("token").agg(F.count("*").alias("df"))
         sizes = texts.agg(F.count("*").alias("n"))
@@ -78,13 +95,12 @@ class KeywordIndex:
         added.withColumn("folder", _folder(F.col("token"))).write.partitionBy("folder").parquet(f"{self.root}/counts/segment={segment}")
         # blocks of texts of like length
         level = F.floor(F.log2(F.col("len") + 1) * 4).cast("int")
-        levels = words.select(F.size("t").alias("len")).groupBy(level.alias("level")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))  # a row per level, at most some 130
+        levels = own.groupBy(level.alias("level")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))  # a row per level, at most some 130
         placed = counted.withColumn("level", level).join(F.broadcast(levels), "level").withColumn("block", F.concat_ws(".", F.lit(segment), "level", F.pmod(F.xxhash64("key"), F.col("blocks"))))
         share = F.col("tf") / F.col("len")
         lists = placed.groupBy("token", "block").agg(F.max(share).alias("most"), F.array_sort(F.collect_list(F.struct("key", share.alias("share")))).alias("postings"))
-        lists = lists.withColumn("folder", _folder(F.col("token"))).repartition("folder", "token").sortWithinPartitions("folder", "token", "block")
+        lists = lists.withColumn("folder", _folder(F.col("token"))).hint("rebalance", "folder").sortWithinPartitions("folder", "token", "block")
         lists.write.partitionBy("folder").parquet(f"{self.root}/postings/segment={segment}")
-        own.write.parquet(f"{self.root}/texts/segment={segment}")
         sizes.write.parquet(f"{self.root}/sizes/segment={segment}")  # last: a segment without a size was not finished
 
     def _asked(self, question: str) -> DataFrame:
