@@ -12,7 +12,7 @@ from thoughtloom.service import cli, tools
 from thoughtloom.service.knowledge import KnowledgeBase, ingest, pruned
 from thoughtloom.service.registry import Registry
 from thoughtloom.service.settings import load, merged
-from thoughtloom.sources import storage
+from thoughtloom.sources import buckets, storage
 
 ONE = "Human: what is it?\nAssistant: Vector Search is quick for most. Rank Fusion joins the lists of Vector Search.\n"
 TWO = "Human: and?\nAssistant: Prompt Cache requires Vector Search at times.\n"
@@ -54,8 +54,9 @@ def test_runs_follow_the_files(spark, tmp_path):
     told = ingest(kb, str(source), now=datetime(2025, 2, 1))
     assert told["files"] == {"new": 0, "modified": 1, "unchanged": 0, "deleted": 1}
     status = {r.slug: r.status for r in kb.concepts().collect()}
+    assert {r.slug: r.status for r in kb.concepts(1).collect()} == dict.fromkeys(["vector-search", "rank-fusion", "prompt-cache"], "active")
     assert status["prompt-cache"] == "deleted" and status["late-binding"] == "active" == status["vector-search"]
-    assert [(r.slug, r.change) for r in cli.lifecycle.snapshots_between(kb.history()).orderBy("slug").collect() if r.slug == "late-binding"] == [("late-binding", "added")]
+    assert [(r.slug, r.change) for r in buckets.changed_between(kb.changes(), *map(F.lit, buckets.times_compared(kb.history()))).collect() if r.slug == "late-binding"] == [("late-binding", "added")]
     with pytest.raises(ValueError):
         ingest(kb, str(source), provider="real", now=TIME)
     assert pruned(kb, 9999, datetime(2025, 3, 1)) == 0 and pruned(kb, None, datetime(2025, 3, 1)) == 1

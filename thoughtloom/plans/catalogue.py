@@ -25,6 +25,7 @@ from ..operators import parsing as P
 from ..operators import retrieval as R
 from ..operators import scans as Z
 from ..service import tools as A
+from ..sources import buckets as U
 from ..sources import files as S
 from ..sources import storage as O
 from ..streaming import events as V
@@ -865,6 +866,55 @@ def dry_run_counts(spark: SparkSession, d: str) -> DataFrame:
     return L.diff_counts(B.concepts(spark, d, "human"), B.concepts(spark, d))
 
 
+_CLIENTS = """moments AS (SELECT DISTINCT date_trunc('month', valid_at)::TIMESTAMP + INTERVAL 1 MONTH AS ts FROM client_changes WHERE valid_at IS NOT NULL),
+told AS (SELECT DISTINCT * FROM client_changes WHERE valid_at IS NOT NULL AND client_id IS NOT NULL),
+states AS (SELECT m.ts, t.*, sha256(concat_ws('|', coalesce(t.source, ''), coalesce(t.segment, ''), coalesce(t.city, ''), t.change_id::VARCHAR)) AS hash FROM moments m JOIN told t ON t.valid_at < m.ts
+  QUALIFY row_number() OVER (PARTITION BY m.ts, client_id ORDER BY valid_at DESC, change_id DESC) = 1),
+held AS (SELECT * FROM states WHERE op IS DISTINCT FROM 'D')"""
+
+
+def _client_store(spark: SparkSession, d: str) -> tuple[U.BucketStore, list]:
+    """Clients in buckets, brought up to date at the end of each month by its changes alone; and those times."""
+    told = B.table(spark, d, "client_changes").where("valid_at IS NOT NULL AND client_id IS NOT NULL").distinct().withColumn("month", F.trunc("valid_at", "month"))
+    state = F.sha2(F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in ("source", "segment", "city")), F.col("change_id").cast("string")), 256)
+    last = told.groupBy("month", "client_id").agg(F.max_by(F.struct("op", "source", "segment", "city", "balance", state.alias("hash")), F.struct("valid_at", "change_id")).alias("x"))
+    last = G.stored(last.select("month", "client_id", "x.*"))
+    store = U.BucketStore(spark, O.scratch(spark, "clients"), "client_id bigint, source string, segment string, city string, balance double, hash string", key="client_id", told="hash")
+    moments = [r[0] for r in last.select(F.add_months("month", 1).cast("timestamp").alias("ts")).distinct().orderBy("ts").collect()]
+    for ts in moments:
+        own = last.where(F.add_months("month", 1).cast("timestamp") == F.lit(ts))
+        store.apply(own.where(~F.col("op").eqNullSafe("D")), own.where("op = 'D'"), F.lit(ts))
+    return store, moments
+
+
+@query(f"WITH {_CLIENTS} SELECT ts, client_id, source, segment, city, balance FROM held")
+def store_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The clients as each month left them, read from the versions of a store in buckets."""
+    store, moments = _client_store(spark, d)
+    out = store.rows().withColumn("ts", F.lit(None).cast("timestamp")).limit(0)
+    for version, ts in enumerate(moments, 1):
+        out = out.unionByName(store.rows(version).withColumn("ts", F.lit(ts)))
+    return out.select("ts", "client_id", "source", "segment", "city", "balance")
+
+
+@query(f"WITH {_CLIENTS}, asked AS (SELECT s.sale_id, s.client_id, m.ts FROM sales s ASOF LEFT JOIN moments m ON s.sold_at >= m.ts) SELECT a.sale_id, a.client_id, h.hash FROM asked a LEFT JOIN held h ON h.client_id = a.client_id AND h.ts = a.ts")
+def store_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """What the store held of each sale's client when it was sold, from the changes of its versions."""
+    store, _ = _client_store(spark, d)
+    asked = B.table(spark, d, "sales").select("sale_id", "client_id", "sold_at")
+    return U.as_of(asked, store.changes(), "client_id", "sold_at").select("sale_id", "client_id", "hash")
+
+
+@query(f"""WITH {_CLIENTS}, a AS (SELECT client_id, hash FROM held WHERE ts = (SELECT min(ts) FROM moments)), b AS (SELECT client_id, hash FROM held WHERE ts = (SELECT max(ts) FROM moments))
+SELECT client_id, {_CHANGE} AS change FROM a FULL JOIN b USING (client_id) WHERE {_CHANGE} <> 'same'""")
+def store_changed_between(spark: SparkSession, d: str) -> DataFrame:
+    """How the clients of the last version differ from those of the first."""
+    store, _ = _client_store(spark, d)
+    changes = store.changes()
+    times = changes.agg(F.min("ts"), F.max("ts")).head()
+    return U.changed_between(changes, F.lit(times[0]), F.lit(times[1]), "client_id")
+
+
 _CHANGED = "changed AS (SELECT DISTINCT conv_id::VARCHAR AS path FROM conversations WHERE role = 'system')"
 _SOFT = "soft AS (SELECT c.slug, array_to_string(list(f.f ORDER BY f.f) FILTER (f.f IS NOT NULL AND ch.path IS NULL), ' ') AS source_files, count(f.f) FILTER (ch.path IS NULL) AS n FROM concepts c LEFT JOIN (SELECT slug, unnest(source_files) AS f FROM concepts) f ON f.slug = c.slug LEFT JOIN changed ch ON ch.path = f.f GROUP BY c.slug)"
 

@@ -11,10 +11,10 @@ from datetime import datetime, timezone
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, graph, hygiene, lifecycle
+from ..operators import evaluation, graph, hygiene
 from ..operators.embedding import Embedder, HttpEmbedder
 from ..operators.extraction import HttpModel, Model
-from ..sources import storage
+from ..sources import buckets, storage
 from . import knowledge, tools
 from .registry import Registry
 from .settings import Settings, load, merged
@@ -132,10 +132,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> object:
     if args.command == "list":
         return [r.asDict() for r in tools.list_concepts(kb.live(), args.tag, args.limit).collect()]
     if args.command == "diff":
-        history = kb.history()
-        if history.select("ts").distinct().count() < 2:
-            return []
-        return [r.asDict() for r in lifecycle.snapshots_between(history, args.since).orderBy("slug").collect()]
+        times = buckets.times_compared(kb.history(), args.since)
+        return [] if times is None else [r.asDict() for r in buckets.changed_between(kb.changes(), *map(F.lit, times)).orderBy("slug").collect()]
     if args.command == "prune":
         return {"pruned": knowledge.pruned(kb, args.older_than_days, provider=settings.provider)}
     if args.command == "review":

@@ -13,6 +13,7 @@ from ..operators import dedup, extraction, graph, hygiene, lifecycle, linking, p
 from ..operators.cells import VectorCells
 from ..operators.embedding import Embedder, embed_concepts
 from ..sources import files, storage
+from ..sources.buckets import BUCKETS, BucketStore
 
 #: The tables of a version of a knowledge base.
 CONCEPTS = f"""name string, slug string, definition string, explanation string, insights array<string>, examples array<string>, tags array<string>, source_files array<string>,
@@ -21,10 +22,11 @@ CONCEPTS = f"""name string, slug string, definition string, explanation string,
 
 @dataclass
 class KnowledgeBase:
-    """Tables of one version; ``root`` also holds snapshots and file hashes of all versions."""
+    """Tables of one version; ``root`` also holds the concepts of all versions, in buckets, runs and file hashes."""
 
     spark: SparkSession
     root: str
+    buckets: int = BUCKETS
 
     def version(self) -> int:
         """The highest version that was finished; each has a file of its own, so none is ever replaced."""
@@ -33,9 +35,13 @@ class KnowledgeBase:
     def folder(self, version: int | None = None) -> str:
         return f"{self.root.rstrip('/')}/v{self.version() if version is None else version}"
 
-    def concepts(self) -> DataFrame:
-        """All concepts, deleted ones included; none before the first run."""
-        return self.spark.createDataFrame([], CONCEPTS) if not self.version() else files.read_store(self.spark, self.folder())
+    def store(self) -> BucketStore:
+        """The concepts of all versions; a version rewrites the buckets in which one differs."""
+        return BucketStore(self.spark, f"{self.root.rstrip('/')}/concepts", CONCEPTS, buckets=self.buckets, told="hash")
+
+    def concepts(self, version: int | None = None) -> DataFrame:
+        """All concepts of a version (the current one), deleted ones included; none before the first run."""
+        return self.store().rows(self.version() if version is None else version)
 
     def live(self) -> DataFrame:
         return self.concepts().where("status <> 'deleted'")
@@ -53,23 +59,28 @@ class KnowledgeBase:
         return VectorCells(self.spark, f"{self.folder()}/cells") if there else None
 
     def history(self) -> DataFrame:
-        rows = storage.read_or_none(self.spark, f"{self.root}/snapshots")
-        return rows if rows is not None else self.spark.createDataFrame([], "ts timestamp, provider string, slug string, hash string")
+        """(ts, provider) of the runs that wrote a version."""
+        rows = storage.read_or_none(self.spark, f"{self.root}/runs")
+        return rows if rows is not None else self.spark.createDataFrame([], "ts timestamp, provider string")
+
+    def changes(self) -> DataFrame:
+        """(slug, change, hash, ts): what each version added, modified or deleted."""
+        return self.store().changes(self.version())
 
     def links(self) -> DataFrame | None:
         """The scored links of the current version, without those that a model named; None if there are none stored."""
         return storage.read_or_none(self.spark, f"{self.folder()}/links") if self.version() else None
 
-    def save(self, concepts: DataFrame, embedder: Embedder | None = None) -> None:
-        """Writes concepts, their links, graph and Markdown as a new version, and then makes it the current one.
+    def save(self, concepts: DataFrame, embedder: Embedder | None = None, now: Column | None = None) -> None:
+        """Writes the buckets of concepts that differ, their links, graph and Markdown as a new version, and then makes it the current one.
 
         Only links with a changed end are scored. Edges are those links and the relations that concepts name.
         Vectors of concepts whose text is the same go along.
         """
         last, version = self.version(), self.version() + 1
         folder, before, links = self.folder(version), self.live(), self.links()
-        files.write_store(_shaped(concepts), folder)
-        rows = files.read_store(self.spark, folder)
+        self.store().replace(_shaped(concepts), _now() if now is None else now, version)
+        rows = self.concepts(version)
         live = rows.where("status <> 'deleted'")
         columns = ["source", "target", "type", "confidence"]
         changed = graph.stored(linking.changed_concepts(before, live))
@@ -92,6 +103,10 @@ class KnowledgeBase:
         storage.Storage(self.spark, self.root).write_text(f"finished/{version:09d}", "")
 
 
+def _now() -> Column:
+    return F.lit(datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp")
+
+
 def _fields() -> list:
     from pyspark.sql.types import StructType
 
@@ -157,19 +172,19 @@ def ingest(kb: KnowledgeBase, source: str, provider: str = "mock", model: extrac
     result = {"skipped": False, "files": files_told, "concepts": told, "extraction": counters.head().asDict()}
     if dry_run:
         return result
-    kb.save(after, embedder)
-    files.append_snapshot(after, kb.root, provider, time)
+    kb.save(after, embedder, time)
+    files.append_run(spark, kb.root, provider, time)
     storage.save_hashes(hashes, kb.root)
     return result
 
 
 def pruned(kb: KnowledgeBase, older_than_days: float | None = None, now: datetime | None = None, provider: str = "mock") -> int:
-    """Removes deleted concepts, writes a version and a snapshot; returns how many went."""
+    """Removes deleted concepts, writes a version; returns how many went."""
     time = F.lit(now or datetime.now(timezone.utc).replace(tzinfo=None)).cast("timestamp")
     rows = kb.concepts()
     left = graph.stored(lifecycle.prune(rows, older_than_days, time))
     n = rows.count() - left.count()
     if n:
-        kb.save(left)
-        files.append_snapshot(left, kb.root, provider, time)
+        kb.save(left, now=time)
+        files.append_run(kb.spark, kb.root, provider, time)
     return n

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,13 +34,17 @@ def row_hash(columns: list[str]) -> Column:
 
 @dataclass
 class BucketStore:
-    """A table of ``schema`` (DDL) in ``root``, unique by ``key``."""
+    """A table of ``schema`` (DDL) in ``root``, unique by ``key``.
+
+    ``told`` is the column that stands for a row in ``changes``; without it that is a hash of the row.
+    """
 
     spark: SparkSession
     root: str
     schema: str
     key: str = "slug"
     buckets: int = BUCKETS
+    told: str | None = None
 
     def __post_init__(self):
         self._files = Storage(self.spark, self.root)
@@ -78,18 +83,21 @@ class BucketStore:
         keys = stored(new.select(key).unionByName(gone.select(key)).distinct())
         asked = [r["b"] for r in keys.select(self._bucket(before["buckets"]).alias("b")).distinct().collect()]
         old = self.rows(version - 1, asked)
-        was, now = (d.select(key, row_hash(names).alias(n)) for d, n in ((old.join(keys, key, "left_semi"), "was"), (new, "now")))
+        was = old.join(keys, key, "left_semi").select(key, row_hash(names).alias("was"))
+        now = new.select(key, row_hash(names).alias("now"), (F.col(self.told) if self.told else row_hash(names)).alias("hash"))
         change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "deleted").otherwise("modified")
-        changed = stored(was.join(now, key, "full").where(~F.col("was").eqNullSafe(F.col("now"))).select(key, change.alias("change"), F.col("now").alias("hash"), self._bucket(before["buckets"]).alias("bucket")))
+        changed = stored(was.join(now, key, "full").where(~F.col("was").eqNullSafe(F.col("now"))).select(key, change.alias("change"), "hash", self._bucket(before["buckets"]).alias("bucket")))
         touched = sorted(r["bucket"] for r in changed.select("bucket").distinct().collect())
         self._write(before, version, touched, old, new, keys, changed, ts)
         return touched
 
     def replace(self, rows: DataFrame, ts: Column, version: int | None = None) -> list[int]:
-        """The next version holds ``rows`` and no others; buckets in which nothing differs stay as they are."""
-        new = stored(rows.select(*self._fields.names))
-        version = version or self.version() + 1
-        names = self._fields.names
+        """The next version holds ``rows`` and no others; buckets in which nothing differs stay as they are.
+
+        ``rows`` is read twice: once for hashes, once for what differs.
+        """
+        version, names = version or self.version() + 1, self._fields.names
+        new = rows.select(*names)
         was, now = (d.select(self.key, row_hash(names).alias(n)) for d, n in ((self.rows(version - 1), "was"), (new, "now")))
         differ = stored(was.join(now, self.key, "full").where(~F.col("was").eqNullSafe(F.col("now"))).select(self.key, "now"))
         return self.apply(new.join(differ.where("now is not null").select(self.key), self.key, "left_semi"), differ.where("now is null").select(self.key), ts, version)
@@ -136,6 +144,21 @@ def as_of(asked: DataFrame, changes: DataFrame, key: str = "slug", ts: str = "ts
     return asked.join(held, meets, "left").drop("_key", "since", "until")
 
 
+def times_compared(runs: DataFrame, since: str | None = None) -> tuple | None:
+    """(earlier, latest) of the times of (ts) rows: the last up to ``since``, or the one before; None for fewer than two.
+
+    Where nothing is as old as ``since``, the earlier time lies before everything.
+    """
+    times = runs.select("ts").distinct()
+    latest = times.agg(F.max("ts")).head()[0]
+    if latest is None:
+        return None
+    earlier = times.where(F.col("ts") < F.lit(latest) if since is None else F.col("ts") <= F.lit(since).cast("timestamp")).agg(F.max("ts")).head()[0]
+    if earlier is None and times.count() < 2:
+        return None
+    return earlier or datetime(1900, 1, 1), latest
+
+
 def changed_between(changes: DataFrame, since: Column, until: Column, key: str = "slug") -> DataFrame:
     """(key, change): how the state at ``until`` differs from that at ``since``; only keys changed in between are looked at."""
     moved = changes.where((F.col("ts") > since) & (F.col("ts") <= until)).select(key).distinct()

@@ -120,6 +120,11 @@ def append_snapshot(concepts: DataFrame, folder: str, provider: str, ts: Column)
     concepts.select(ts.alias("ts"), F.lit(provider).alias("provider"), "slug", "hash").write.mode("append").parquet(f"{folder}/snapshots")
 
 
+def append_run(spark: SparkSession, folder: str, provider: str, ts: Column) -> None:
+    """Adds (ts, provider) of a run."""
+    spark.range(1).select(ts.alias("ts"), F.lit(provider).alias("provider")).write.mode("append").parquet(f"{folder}/runs")
+
+
 def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/snapshots")
 
