@@ -875,7 +875,7 @@ held AS (SELECT * FROM states WHERE op IS DISTINCT FROM 'D')"""
 
 def _client_store(spark: SparkSession, d: str) -> tuple[U.BucketStore, list]:
     """Clients in buckets, brought up to date at the end of each month by its changes alone; and those times."""
-    told = B.table(spark, d, "client_changes").where("valid_at IS NOT NULL AND client_id IS NOT NULL").distinct().withColumn("month", F.trunc("valid_at", "month"))
+    told = B.table(spark, d, "client_changes").where("valid_at IS NOT NULL AND client_id IS NOT NULL").withColumn("month", F.trunc("valid_at", "month"))
     state = F.sha2(F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in ("source", "segment", "city")), F.col("change_id").cast("string")), 256)
     last = told.groupBy("month", "client_id").agg(F.max_by(F.struct("op", "source", "segment", "city", "balance", state.alias("hash")), F.struct("valid_at", "change_id")).alias("x"))
     last = G.stored(last.select("month", "client_id", "x.*"))
