@@ -45,7 +45,11 @@ def test_equals_a_dictionary(spark, tmp_path):
         assert read(store.rows(v)) == expected
         assert {r.slug: r.hash for r in B.state_at(store.changes(), day(v) if v else F.lit(dt.datetime(2023, 1, 1))).collect()} == hashes[v]
     asked = spark.createDataFrame([(f"k{i}", dt.datetime(2024, 1, d, 5)) for i in range(31) for d in range(1, 6)], "slug string, ts timestamp")
-    assert {(r.slug, r.ts.day): r.hash for r in B.as_of(asked, store.changes()).collect()} == {(f"k{i}", d): hashes[d].get(f"k{i}") for i in range(31) for d in range(1, 6)}
+    asked = asked.unionByName(asked.where("slug = 'k3'")).unionByName(asked.limit(1).select(F.lit(None).cast("string").alias("slug"), "ts"))
+    for share in (1.0, 7 / 161, 0.001):  # no key, one key and all keys met apart
+        got = B.as_of(asked, store.changes(), share=share).collect()
+        assert len(got) == 161 and [r.hash for r in got if r.slug is None] == [None]
+        assert {(r.slug, r.ts.day): r.hash for r in got if r.slug} == {(f"k{i}", d): hashes[d].get(f"k{i}") for i in range(31) for d in range(1, 6)}
     for one, other in ((1, 5), (2, 3), (4, 4)):
         want = {k: "added" if k not in hashes[one] else "deleted" if k not in hashes[other] else "modified" for k in hashes[one].keys() | hashes[other].keys() if hashes[one].get(k) != hashes[other].get(k)}
         assert {r.slug: r.change for r in B.changed_between(store.changes(), day(one), day(other)).collect()} == want

@@ -24,6 +24,8 @@ from .storage import Storage
 
 #: Buckets of a new store. A bucket is rewritten whole, so a large store should have more of them.
 BUCKETS = 64
+#: A key with a larger share of the questions is met apart.
+HOT_SHARE = 0.001
 _EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
@@ -133,15 +135,21 @@ def state_at(changes: DataFrame, ts: Column, key: str = "slug") -> DataFrame:
     return changes.where(F.col("ts") <= ts).groupBy(key).agg(last.alias("hash")).where("hash is not null")
 
 
-def as_of(asked: DataFrame, changes: DataFrame, key: str = "slug", ts: str = "ts") -> DataFrame:
+def as_of(asked: DataFrame, changes: DataFrame, key: str = "slug", ts: str = "ts", share: float = HOT_SHARE) -> DataFrame:
     """``asked`` with the ``hash`` that its key had at its time; null where it was not there then.
 
-    The spans of a key do not overlap, so each question meets at most one. A key that most questions
-    name is one small set of spans, and its questions may be split among tasks.
+    The spans of a key do not overlap, so each question meets at most one. Keys with more than ``share``
+    of all questions, at most 1 / ``share`` of them, would fill a task each: their spans, one for each
+    version at most, go to all tasks instead, and so their questions (and those of null) stay where they are.
     """
     held = spans(changes, key).select(F.col(key).alias("_key"), "hash", "since", "until")
     meets = (F.col(key) == F.col("_key")) & (F.col(ts) >= F.col("since")) & (F.col("until").isNull() | (F.col(ts) < F.col("until")))
-    return asked.join(held, meets, "left").drop("_key", "since", "until")
+    least = asked.count() * share
+    hot = [r[0] for r in asked.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > least).select(key).collect()]
+    apart = F.col(key).isNull() | F.col(key).isin(hot)
+    few = spans(changes.where(F.col(key).isin(hot)), key).select(F.col(key).alias("_key"), "hash", "since", "until")
+    out = asked.where(~apart).join(held, meets, "left").unionByName(asked.where(apart).join(F.broadcast(few), meets, "left"))
+    return out.drop("_key", "since", "until")
 
 
 def times_compared(runs: DataFrame, since: str | None = None) -> tuple | None:
