@@ -71,3 +71,25 @@ def test_the_day_of_staleness_is_where_the_decayed_confidence_falls(spark):
         rows = spark.createDataFrame([(base, n, a) for a in ages], "b double, n int, age double")
         told = [r.s for r in rows.select(H.is_stale(H.adjusted_confidence(F.col("b"), F.col("age"), F.col("n")), F.col("age")).alias("s")).collect()]
         assert told == ([False, True] if days else [False, False]), (base, n, days)
+
+
+def test_only_names_whose_letters_allow_the_ratio_are_paired_and_the_first_is_matched(spark):
+    from collections import Counter
+
+    from thoughtloom.operators import evaluation as E
+
+    rng = random.Random(5)
+    names = lambda n, most: ["".join(rng.choices("abcdeé", k=rng.randint(1, most))) for _ in range(n)]
+    left, right = [(f"e{i:03}", x) for i, x in enumerate(names(60, 24))], [(f"a{i:03}", y.upper()) for i, y in enumerate(names(60, 24))]
+    frames = spark.createDataFrame(left, "e string, x string"), spark.createDataFrame(right, "a string, y string")
+    for threshold in (0.85, 0.5):
+        fit = {(e, a) for e, x in left for a, y in right if 2 * sum((Counter(x) & Counter(y.lower())).values()) >= threshold * (len(x) + len(y)) - 1e-9}
+        got = [(r.e, r.a) for r in H.ratio_candidates(*frames, threshold).collect()]
+        assert fit and sorted(got) == sorted(fit)
+    want = {}
+    for e, x in left:
+        for a, y in right:
+            if e not in want and SequenceMatcher(None, x, y.lower()).ratio() >= 0.7:
+                want[e] = a
+    slugs = lambda frame, key, name: frame.selectExpr(f"{key} AS slug", f"{name} AS name")
+    assert {r.e: r.a for r in E.match_concepts(slugs(frames[0], "e", "x"), slugs(frames[1], "a", "y"), 0.7).collect()} == want

@@ -68,7 +68,7 @@ def test_five_tags_meet_by_two(spark):
 
 def test_pairs_below_the_threshold_are_dropped_where_they_meet(spark):
     rows = [(f"s{i}", f"Name {i}q", f"own{i} other{i} third{i}", ["hot", "warm", f"a{i}", f"b{i}", f"c{i}"]) for i in range(40)]
-    rows += [("near", "Nearly", "own1 other1 third1", ["x"]), ("named", "Own2", "something else", ["y"])]
+    rows += [("near", "Nearly", "own1 other1 third1", ["x"]), ("named", "Own2 Other2", "something else", ["y"])]
     df = spark.createDataFrame(rows, SCHEMA)
     c = K._read(df)
     assert K._by_tag(c, c, 0.2).count() == 40 * 39 and K._by_tag(c, c, 0.2, 0.3).count() == 0

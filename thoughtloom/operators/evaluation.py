@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import HOPS, outgoing
-from .hygiene import ratio_candidates, sequence_ratio
+from .hygiene import ratio_candidates
 from .retrieval import SEEDS, concept_text, tokens
 
 
+def _first_similar(threshold: float):
+    """(e, a) of each e the first a whose ratio is at the threshold; rows (e, a, x, y) are sorted, and an e may go on in the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from difflib import SequenceMatcher
+
+        done = None
+        for batch in batches:
+            hits = []
+            for k, (e, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("e", "x", "y")))):
+                if e != done and SequenceMatcher(None, x, y).ratio() >= threshold:
+                    done = e
+                    hits.append(k)
+            yield batch.select(["e", "a"]).take(pa.array(hits, pa.int64()))
+
+    return run
+
+
 def match_concepts(expected: DataFrame, actual: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(e, a): of each expected slug the same slug, else the first slug of a name with a ratio at the threshold.
 
-    The ratio, which is computed in Python, is taken of pairs only whose characters can give it.
+    The ratio, which is computed in Python, is taken of pairs only whose characters can give it, in the order of
+    their slugs until the first that reaches the threshold; pairs are dealt to many tasks, as they are small but slow to compare.
     """
+    spark = expected.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     same = expected.select("slug").join(actual.select("slug"), "slug").select(F.col("slug").alias("e"), F.col("slug").alias("a"))
     left = expected.join(same, expected.slug == same.e, "left_anti").select(F.col("slug").alias("e"), F.col("name").alias("x"))
     near = ratio_candidates(left, actual.select(F.col("slug").alias("a"), F.col("name").alias("y")), threshold)
-    best = sequence_ratio(near, "x", "y").where(F.col("ratio") >= threshold).groupBy("e").agg(F.min("a").alias("a"))
+    near = near.select("e", "a", F.lower("x").alias("x"), F.lower("y").alias("y")).repartition(tasks, "e").sortWithinPartitions("e", "a")
+    best = near.mapInArrow(_first_similar(threshold), near.select("e", "a").schema)
     return same.unionByName(best)
 
 

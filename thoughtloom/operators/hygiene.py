@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from itertools import combinations
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,15 +79,70 @@ def counted_characters(text: Column) -> Column:
     return F.get(F.transform(F.array(F.array_sort(signs)), numbered), F.lit(0))
 
 
+#: Letters that are left out of a name at most; names that could leave out more meet by rare characters.
+LEFT_OUT = 4
+
+
+def _shortened(threshold: float):
+    """(letters, key, gone): each multiset of letters that some partner can share with ``letters``, and what is left out for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[str]] = [[], [], []]
+            for letters in batch.column("letters").to_pylist():
+                n = len(letters)
+                for k in range(LEFT_OUT + 1):
+                    if (n - k) * 2 < (n + n - k) * threshold - 1e-9:  # the least partner has as many as are shared
+                        break
+                    for places in {tuple(letters[i] for i in c): c for c in combinations(range(n), k)}.values():  # each choice of letters once
+                        out[0].append(letters)
+                        out[1].append("".join(x for i, x in enumerate(letters) if i not in places))
+                        out[2].append("".join(letters[i] for i in places))
+                if len(out[0]) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["letters", "key", "gone"])
+                    out = [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["letters", "key", "gone"])
+
+    return run
+
+
+def _letter_pairs(lefts: DataFrame, rights: DataFrame, threshold: float) -> DataFrame:
+    """(p, q): all pairs of letters in order that share threshold / 2 of both lengths, neither being long.
+
+    Such letters become equal where each leaves out what the other has not. A pair meets under several
+    keys, and stands under that which is all they share: there nothing that both leave out is the same.
+    """
+    cut = lambda rows: rows.select("letters").distinct().mapInArrow(_shortened(threshold), "letters string, key string, gone string")
+    a, b = cut(lefts).alias("a"), cut(rights).alias("b")
+    enough = F.length("a.key") * 2 >= (F.length("a.letters") + F.length("b.letters")) * F.lit(threshold) - 1e-9
+    apart = F.expr("length(translate(a.gone, b.gone, '')) = length(a.gone)")
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & enough & apart).select(F.col("a.letters").alias("p"), F.col("b.letters").alias("q"))
+
+
 def ratio_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(e, a, x, y): all pairs of names (e, x) and (a, y) that can have a ratio at the threshold; few others.
+    """(e, a, x, y): all pairs of names (e, x) and (a, y) whose characters allow a ratio at the threshold, and no others.
 
-    A ratio is twice the matched characters over both lengths, and what is matched is in both texts, so their sets
-    of counted characters share threshold / 2 of both lengths. Two such sets share one of their first characters, the
-    rare ones first (prefix filter); the pairs that meet are held against the lengths and the shared number.
+    A ratio is twice the matched characters over both lengths, and what is matched is in both texts, so together
+    they hold threshold / 2 of both lengths in common. Names are met by their letters in order, of which each needs to leave
+    out few. Where one of the names is so long that it could leave out more than ``LEFT_OUT``, sets of counted characters
+    share one of their first, the rare ones first (prefix filter), and are held against each other where they meet.
     """
+    letters = lambda rows, key, name: rows.select(key, name, F.array_join(F.array_sort(F.filter(F.split(F.lower(name), ""), lambda c: c != "")), "").alias("letters")).where("letters <> ''")
+    lefts, rights = letters(left, "e", "x"), letters(right, "a", "y")
+    longest = math.floor((LEFT_OUT + 1) / (1 - threshold / (2 - threshold)) - 1e-6) if threshold < 1 else 2**31 - 1
+    least = math.ceil((longest + 1) * threshold / (2 - threshold) - 1e-6)  # letters of the shortest partner of a long name
+    short, long_ = F.length("letters") <= longest, F.length("letters") > longest
+    met = _letter_pairs(lefts.where(short), rights.where(short), threshold)
+    found = met.join(lefts.withColumnRenamed("letters", "p"), "p").join(rights.withColumnRenamed("letters", "q"), "q").select("e", "a", "x", "y")
+    near = F.length("letters") >= least
+    far = _long_pairs(lefts.where(long_), rights.where(near), threshold).unionByName(_long_pairs(lefts.where(short & near), rights.where(long_), threshold))
+    return found.unionByName(far)
+
+
+def _long_pairs(lefts: DataFrame, rights: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of ``ratio_candidates`` by a prefix filter over counted characters."""
     signs = lambda rows, key, name: rows.select(key, name, counted_characters(F.col(name)).alias("signs"))
-    lefts, rights = signs(left, "e", "x"), signs(right, "a", "y")
+    lefts, rights = signs(lefts, "e", "x"), signs(rights, "a", "y")
     listed = lambda rows, key: rows.select(key, F.size("signs").alias("n"), F.explode("signs").alias("sign"))
     counts = listed(lefts, "e").select("sign").unionByName(listed(rights, "a").select("sign")).groupBy("sign").agg(F.count("*").alias("df"))
     least = threshold / (2 - threshold)  # of a text's characters, shared with the shortest text it can match
@@ -90,13 +150,13 @@ def ratio_candidates(left: DataFrame, right: DataFrame, threshold: float) -> Dat
     def heads(rows: DataFrame, key: str) -> DataFrame:
         ranked = listed(rows, key).join(counts, "sign")
         ordered = ranked.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("df", "sign"))).alias("o"))
-        return ordered.select(key, F.explode(F.slice("o", 1, (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int"))).alias("h")).select(key, "h.sign")
+        first = F.slice("o", 1, (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int"))
+        return ordered.select(key, F.explode(first).alias("h")).select(key, "h.sign").join(rows, key)
 
-    met = heads(lefts, "e").join(heads(rights, "a"), "sign").select("e", "a").distinct()
-    pairs = met.join(lefts.withColumnRenamed("signs", "p"), "e").join(rights.withColumnRenamed("signs", "q"), "a")
+    p, q = heads(lefts, "e").withColumnRenamed("signs", "p"), heads(rights, "a").withColumnRenamed("signs", "q")
     shared = F.size(F.array_intersect("p", "q"))
     enough = shared * 2 >= (F.size("p") + F.size("q")) * F.lit(threshold) - 1e-9
-    return pairs.where(enough).select("e", "a", "x", "y")
+    return p.join(q, "sign").where(enough).select("e", "a", "x", "y").distinct()
 
 
 def definition_conflicts(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -1038,7 +1038,7 @@ def concept_scores(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def eval_scores(spark: SparkSession, d: str) -> DataFrame:
     """As concept_scores, with names that are nearly equal matched, too."""
-    expected, actual = _expected(spark, d), B.concepts(spark, d)
+    expected, actual = G.stored(_expected(spark, d)), G.stored(B.concepts(spark, d))
     return E.concept_scores(expected, actual, E.match_concepts(expected, actual))
 
 
