@@ -35,3 +35,14 @@ def test_jaccard(spark):
     sim = T.jaccard(T.word_set(F.col("a")), T.word_set(F.col("b")))
     assert one(spark, sim, a="a b c", b="B c d") == 0.5
     assert one(spark, sim, a="", b="x") == 0.0
+
+
+def test_only_texts_of_repeated_keys_are_brought_together(spark, monkeypatch):
+    said = [(1, "Alpha beta alpha gamma"), (2, "delta Delta delta"), (2, "gamma gamma delta"), (3, None), (None, "omega"), (None, "omega psi_1")]
+    rows = spark.createDataFrame(said, "k int, t string")
+    want = sorted([(1, 1, "alpha", 2), (1, 2, "beta", 1), (2, 1, "delta", 4), (2, 2, "gamma", 2), (None, 1, "omega", 2), (None, 2, "psi_1", 1)], key=str)
+    assert sorted(map(tuple, T.keywords(rows, "k", "t", 2).collect()), key=str) == want
+    one = T.keywords(rows.where("k = 1"), "k", "t", 2)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString() and one.count() == 2
+    monkeypatch.setattr(T, "REPEATED", 1)  # more keys repeat than are sent to the tasks
+    assert sorted(map(tuple, T.keywords(rows, "k", "t", 2).collect()), key=str) == want

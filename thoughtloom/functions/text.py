@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,8 +82,49 @@ def short_keywords(text: Column, top_n: int = 5) -> Column:
     return F.transform(F.slice(F.array_sort(ranked), 1, top_n), lambda x: x["w"])
 
 
+#: Repeated keys that are sent to every task.
+REPEATED = 100_000
+
+
+def _ranked_words(key: str, top_n: int):
+    """(key, rank, word, n): the words of each text of its own, most frequent first, then first seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ranks, words, counts = [], [], [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                said = Counter(t for t in re.findall("[a-zA-Z][a-zA-Z0-9_]*", text) if len(t) > 2 and t not in STOPWORDS)
+                for rank, (word, n) in enumerate(said.most_common(top_n), 1):
+                    rows.append(k)
+                    ranks.append(rank)
+                    words.append(word)
+                    counts.append(n)
+            keys = batch.column(key).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(ranks, pa.int32()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], names=[key, "rank", "word", "n"])
+
+    return run
+
+
 def keywords(rows: DataFrame, key: str, text: str, top_n: int = 15) -> DataFrame:
-    """(key, rank, word, n) for texts of any length; counts are combined before the shuffle."""
+    """(key, rank, word, n) for texts of any length; only the texts of keys that have several are brought together.
+
+    A key's words are counted and ranked where its text is read. If up to ``REPEATED`` keys have more than one text, those take part
+    by counts of words that are combined before the shuffle; with more of them all texts do.
+    """
+    repeated = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_key")).limit(REPEATED + 1).collect()
+    if len(repeated) > REPEATED:
+        return _combined_keywords(rows, key, text, top_n)
+    several = rows.sparkSession.createDataFrame(repeated, rows.select(F.col(key).alias("_key")).schema)
+    again = F.col(key).eqNullSafe(F.col("_key"))
+    once = rows.join(F.broadcast(several), again, "left_anti") if repeated else rows
+    kind = rows.schema[key].dataType.simpleString()
+    ranked = once.select(key, F.lower(text).alias("text")).where("text is not null").mapInArrow(_ranked_words(key, top_n), f"`{key}` {kind}, rank int, word string, n long")
+    if not repeated:
+        return ranked
+    return ranked.unionByName(_combined_keywords(rows.join(F.broadcast(several), again, "left_semi"), key, text, top_n))
+
+
+def _combined_keywords(rows: DataFrame, key: str, text: str, top_n: int) -> DataFrame:
     words = rows.select(key, F.posexplode(keyword_tokens(F.col(text))).alias("at", "word"))
     counted = words.groupBy(key, "word").agg(F.count("*").alias("n"), F.min("at").alias("at"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "at"))
