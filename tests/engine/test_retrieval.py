@@ -75,3 +75,11 @@ def test_judgments_recall_and_sweep(spark, concepts):
     got = {(r.w_keyword, r.w_graph): r.recall for r in E.sweep_weights(scores, relevant, E.weight_grid(spark), 1).collect()}
     assert len(E.weight_grid(spark).collect()) == 66
     assert got[1.0, 0.0] == 0.5 and got[0.5, 0.5] == 1.0
+
+
+def test_pairs_that_share_tags_are_not_made_distinct(spark):
+    rows = spark.createDataFrame([("a", ["x", "y", "x"]), ("b", ["y", "x"]), ("c", ["y"]), ("d", []), ("e", None)], "slug string, tags array<string>")
+    pairs = E.judgments(rows)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2 and plan.lstrip().startswith("Project")  # one on each side of the join, none over pairs
+    assert sorted(map(tuple, pairs.collect())) == [(a, b) for a in "abc" for b in "abc" if a != b]

@@ -67,9 +67,14 @@ def relationship_scores(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def judgments(concepts: DataFrame, key: str = "slug", tags: str = "tags") -> DataFrame:
-    """(query, relevant): concepts that share a tag."""
-    t = concepts.select(F.col(key).alias("query"), F.explode(F.array_distinct(tags)).alias("tag"))
-    return t.join(t.select(F.col("query").alias("relevant"), "tag"), "tag").where("query <> relevant").select("query", "relevant").distinct()
+    """(query, relevant): concepts that share a tag.
+
+    A pair stands under the least tag that both have, so pairs need not be made distinct, and are not moved.
+    """
+    every = F.array_distinct(F.flatten(F.collect_list(tags)))
+    own = concepts.groupBy(F.col(key).alias("query")).agg(every.alias("own")).select("query", "own", F.explode("own").alias("tag"))
+    other = own.select(F.col("query").alias("relevant"), F.col("own").alias("others"), "tag")
+    return own.join(other, "tag").where((F.col("query") != F.col("relevant")) & (F.array_min(F.array_intersect("own", "others")) == F.col("tag"))).select("query", "relevant")
 
 
 def recall_at_k(relevant: DataFrame, retrieved: DataFrame, k: int) -> DataFrame:
