@@ -59,3 +59,11 @@ def test_merge(spark):
 def test_first_wins(spark):
     rows = [("KV", 2), ("kv", 1), ("x", 3)]
     assert sorted(r.name for r in C.first_wins(spark.createDataFrame(rows, "name string, o int"), ["o"]).collect()) == ["kv", "x"]
+
+
+def test_the_definition_is_not_computed_anew_for_each_sentence(spark):
+    parts = ["It is a tree.", "It  is a TREE.", "Leaves fall in autumn.", "A tree.", "Leaves fall."]
+    rows = spark.createDataFrame([(parts, "It is a tree.")], "parts array<string>, d string")
+    out = rows.select(C.build_explanation(F.col("parts"), F.concat("d", F.lit(" MARK"))).alias("e"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MARK") == 1
+    assert out.head().e == "Leaves fall in autumn. Leaves fall."

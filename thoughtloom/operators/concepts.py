@@ -140,11 +140,19 @@ def build_definition(name: Column, parts: Column) -> Column:
 
 
 def build_explanation(parts: Column, definition: Column) -> Column:
-    """Up to eight further sentences: distinct, not part of the definition nor too close to it."""
-    known = F.lower(normalize_whitespace(definition))
-    norm = F.transform(parts, lambda s: F.lower(normalize_whitespace(s)))
-    fresh = F.filter(parts, lambda s, i: (F.array_position(norm, F.get(norm, i)) == i + 1) & ~F.contains(known, F.get(norm, i)) & ~F.contains(F.get(norm, i), known) & (jaccard(word_set(F.get(norm, i)), word_set(known)) <= 0.7))
-    return normalize_whitespace(F.array_join(F.slice(fresh, 1, 8), " "))
+    """Up to eight further sentences: distinct, not part of the definition nor too close to it.
+
+    What is asked of every sentence is bound as a lambda variable, else it would be computed anew for each.
+    """
+    flat = lambda s: F.lower(normalize_whitespace(s))
+
+    def told(x: Column) -> Column:
+        fresh = lambda s, i: (F.array_position(x["norm"], s["norm"]) == i + 1) & ~F.contains(x["known"], s["norm"]) & ~F.contains(s["norm"], x["known"]) & (jaccard(s["words"], x["words"]) <= 0.7)
+        every = F.transform(x["parts"], lambda s, i: F.struct(s.alias("s"), F.get(x["norm"], i).alias("norm"), word_set(F.get(x["norm"], i)).alias("words")))
+        return F.transform(F.slice(F.filter(every, fresh), 1, 8), lambda s: s["s"])
+
+    known = F.transform(F.array(flat(definition)), lambda k: F.struct(parts.alias("parts"), F.transform(parts, flat).alias("norm"), k.alias("known"), word_set(k).alias("words")))
+    return normalize_whitespace(F.array_join(F.get(F.transform(known, told), F.lit(0)), " "))
 
 
 def insights(text: Column, definition: Column) -> Column:
