@@ -74,3 +74,28 @@ def test_cells_give_the_nearest_of_a_scan_and_few_are_opened(spark):
     _, opened = cells._nearest(near[0], 20, 12)
     assert len(opened) <= 12
     assert cells.nearest([0.0] * 12, 3).count() == 3
+
+
+def test_runs_part_words_as_a_scan_does_and_a_build_moves_nothing(spark):
+    import pyarrow as pa
+
+    from thoughtloom.operators import index as I
+
+    rows = [("a", "end"), ("b", "start Ünder_x"), ("c", None), ("d", ""), ("e", "  two  two end"), ("f", "É9z")]
+    low = pa.array([(t or "").lower().encode() for _, t in rows], pa.binary())
+    for some in (low, low.slice(1), low.slice(2, 2)):
+        text, said = I._words(some)
+        got = [[] for _ in range(len(some))]
+        for t, w in zip(text.tolist(), said.to_pylist()):
+            got[t].append(w)
+        want = [bytes(int(x) for x in I._SIGNS[list(t)]).decode().split() if t else [] for t in some.to_pylist()]
+        assert got == want
+    # runs of a few texts each find what a scan finds, and no text or posting is moved
+    many = texts(7, 900) + [(f"x{k}", t) for k, t in rows]
+    df = spark.createDataFrame(many, "key string, text string")
+    index = KeywordIndex(spark, scratch(spark, "index"), run=3000)
+    index.build(df)
+    assert found(index, 15) == scanned(spark, many, 15)
+    assert "Exchange" not in index._rows(df, 0)._jdf.queryExecution().executedPlan().toString()
+    index.update(df.where("key < 'k2'"), spark.createDataFrame([("x",), ("k5",)], "key string"))
+    assert found(index, 15) == scanned(spark, [r for r in many if r[0] != "k5"], 15)
