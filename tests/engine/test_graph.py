@@ -1,6 +1,7 @@
 import random
 from itertools import product
 
+import pyarrow as pa
 import pytest
 
 from thoughtloom.operators import graph as G
@@ -131,3 +132,27 @@ def test_relation_types(spark):
 def test_wiki_links(spark):
     df = spark.createDataFrame([("The KV cache and a kv cache, [[RAG]] too", ["KV Cache", "RAG", "cache"]), (None, ["x"])], "text string, names array<string>")
     assert [r.text for r in K.wiki_links(df).collect()] == ["The [[KV cache]] and a kv [[cache]], [[RAG]] too", None]
+
+
+def test_a_forest_joins_what_the_edges_join_with_fewer_edges(spark):
+    rng = random.Random(5)
+    pairs = [(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}", bool(rng.randrange(3))) for _ in range(4000)] + [("lone", "lone", False), ("x", "y", True), ("y", "z", False)]
+    edges = spark.createDataFrame(pairs, "source string, target string, kept boolean")
+    found = G.forest(edges.coalesce(2)).collect()
+    assert len(found) < 4 * 303
+    nodes = edges.selectExpr("explode(array(source, target)) slug").distinct()
+    for kept in (True, False):
+        want = G.clusters(nodes, edges.where(edges.kept == kept)).collect()
+        got = G.clusters(nodes, spark.createDataFrame([r for r in found if r.kept == kept], "source string, target string, kept boolean"))
+        assert sorted(got.collect()) == sorted(want)
+    bare = [G._stars(t).to_pylist() for t in (pa.table({"source": ["b", "c"], "target": ["a", "b"]}), pa.table({"source": pa.array([], pa.string()), "target": pa.array([], pa.string())}))]
+    assert bare == [[{"source": "a", "target": "b"}, {"source": "a", "target": "c"}], []]
+
+
+def test_marks_go_with_the_links_and_change_none(spark):
+    rows = [(f"c{i}", f"Name{i}", ["t1", f"t{i % 3}"], f"Name{(i + 1) % 8} uses Name{(i + 3) % 8} and more words of name{i % 4}") for i in range(8)]
+    concepts = spark.createDataFrame(rows, "slug string, name string, tags array<string>, definition string")
+    changed = spark.createDataFrame([("c2",), ("c5",), ("nobody",)], "slug string")
+    got = K.marked_ends(K.score_links(K.marked(concepts, changed))).collect()
+    assert sorted((r.source, r.target) for r in got) == sorted((r.source, r.target) for r in K.score_links(concepts).collect()) and got
+    assert all(r.kept == (not {r.source, r.target} & {"c2", "c5"}) for r in got)

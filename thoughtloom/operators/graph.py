@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The weights of seeds, first and second hops.
 HOPS = (1.0, 0.5, 0.2)
+#: Edges that a task brings to a forest at once, and edges of a forest that it keeps.
+EDGES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -132,6 +138,65 @@ def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
+def _heads(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of the numbers under ``n`` that hangs together with each by the edges a to b."""
+    label = np.arange(n)
+    while len(a):
+        np.minimum.at(label, label[a], label[b])
+        np.minimum.at(label, label[b], label[a])
+        while not np.array_equal(label, up := label[label]):
+            label = up
+        differ = label[a] != label[b]
+        a, b = a[differ], b[differ]
+    return label
+
+
+def _stars(edges: pa.Table) -> pa.Table:
+    """(source, target): each slug with the smallest that hangs together with it by ``edges``."""
+    ends = pa.chunked_array([*edges.column("source").chunks, *edges.column("target").chunks], pa.string()).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(ends.dictionary).to_numpy()
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    codes = place[ends.indices.to_numpy(zero_copy_only=False)]
+    label = _heads(len(order), codes[: len(edges)], codes[len(edges) :])
+    moved = np.flatnonzero(label != np.arange(len(order)))
+    return pa.table([ends.dictionary.take(pa.array(order[label[moved]])), ends.dictionary.take(pa.array(order[moved]))], names=["source", "target"])
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[bool, list[pa.Table]] = {True: [], False: []}
+
+    def shrunk(kept: bool) -> pa.Table:
+        return _stars(pa.concat_tables(held[kept]))
+
+    def rows(table: pa.Table, kept: bool) -> Iterator[pa.RecordBatch]:
+        yield from table.append_column("kept", pa.array(np.full(len(table), kept))).combine_chunks().to_batches(1 << 16)
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        for kept in held:
+            own = table.filter(pc.equal(table.column("kept"), kept)).select(["source", "target"])
+            held[kept].append(own)
+            if sum(map(len, held[kept])) >= EDGES:
+                held[kept] = [shrunk(kept)]
+                if len(held[kept][0]) >= EDGES // 2:  # as many nodes as a task should know
+                    yield from rows(held[kept][0], kept)
+                    held[kept] = []
+    for kept in held:
+        if held[kept]:
+            yield from rows(shrunk(kept), kept)
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """(source, target, kept): fewer edges that join the same nodes, found by each task among its own edges, which are not moved.
+
+    Edges with another ``kept`` (boolean; false without such a column) are joined apart.
+    """
+    kept = F.col("kept") if "kept" in edges.columns else F.lit(False)
+    rows = edges.where("source is not null and target is not null").select("source", "target", kept.alias("kept"))
+    return rows.mapInArrow(_forest, "source string, target string, kept boolean")
+
+
 def reclustered(labels: DataFrame, nodes: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
     """(slug, cluster) after a change, from the ``labels`` before it.
 
@@ -140,8 +205,16 @@ def reclustered(labels: DataFrame, nodes: DataFrame, edges: DataFrame, added: Da
     searched anew, among their own nodes. Added edges join clusters as wholes: their ends are replaced by labels, and
     the graph of labels, which has as many edges as were added, is clustered. Others keep their label.
     """
-    here = nodes.select("slug").distinct()
     ends = removed.select(F.explode(F.array("source", "target")).alias("slug")).distinct()
+    return reclustered_around(labels, nodes, edges, added, ends)
+
+
+def reclustered_around(labels: DataFrame, nodes: DataFrame, edges: DataFrame, added: DataFrame, ends: DataFrame) -> DataFrame:
+    """``reclustered`` where instead of the removed edges their ``ends`` (slug) are known, or all nodes that changed.
+
+    Of ``edges`` those that were there before are enough, and so is a ``forest`` of them and of ``added``.
+    """
+    here = nodes.select("slug").distinct()
     went = labels.join(here, "slug", "left_anti")
     torn = stored(labels.join(ends, "slug", "left_semi").unionByName(went).select("cluster").distinct())
     open_ = stored(labels.join(torn, "cluster", "left_semi").join(here, "slug", "left_semi").select("slug"))
@@ -161,7 +234,7 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, distinct pairs, clusters, density (0 for fewer than two nodes)."""
     n = nodes.agg(F.count("*").alias("nodes"))
     e = edges.agg(F.count("*").alias("edges"), F.count_distinct("source", "target").alias("pairs"))
-    k = clusters(nodes, edges).agg(F.count_distinct("cluster").alias("clusters"))
+    k = clusters(nodes, forest(edges)).agg(F.count_distinct("cluster").alias("clusters"))
     row = n.join(F.broadcast(e)).join(F.broadcast(k))  # one row each
     density = F.when(F.col("nodes") > 1, F.col("pairs") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(0.0)
     return row.select("nodes", "edges", "pairs", "clusters", F.round(density, 4).alias("density"))

@@ -553,18 +553,19 @@ def graph_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_RECURSIVE}, {_REACH} SELECT slug, cluster FROM clusters")
 def components(spark: SparkSession, d: str) -> DataFrame:
-    return G.clusters(*_graph(spark, d))
+    nodes, edges = _graph(spark, d)
+    return G.clusters(nodes, G.forest(edges))
 
 
 @query(f"{_RECURSIVE}, {_REACH} SELECT slug, cluster FROM clusters")
 def components_after_changes(spark: SparkSession, d: str) -> DataFrame:
     """The graph was that of what users said and comes to be that of the assistants': clusters by the difference."""
-    before = G.stored(B.concepts(spark, d, "human"))
-    old = G.stored(G.build(before, K.score_links(before))[1].select("source", "target").distinct())
-    nodes, edges = _graph(spark, d)
-    new = G.stored(edges.select("source", "target").distinct())
-    labels = G.clusters(before, old)
-    return G.reclustered(labels, nodes, new, new.exceptAll(old), old.exceptAll(new))
+    before, after = G.stored(B.concepts(spark, d, "human")), G.stored(B.concepts(spark, d))
+    changed = G.stored(K.changed_concepts(before, after))
+    linked = lambda c: K.marked_ends(K.score_links(G.stored(K.marked(c, changed))))
+    old = G.stored(G.forest(linked(before)))
+    added = G.stored(G.forest(linked(after).where("not kept")))
+    return G.reclustered_around(G.clusters(before, old), after, old.where("kept"), added, changed)
 
 
 @query(f"""{_GRAPH}, seed AS (SELECT slug FROM concepts ORDER BY mentions DESC, slug LIMIT 1), r1 AS (SELECT DISTINCT b AS slug FROM both_ways WHERE a IN (SELECT slug FROM seed)),
