@@ -1,7 +1,8 @@
 """Corpus preparation in five stages over ``documents``: what each one rejects or cuts is gone.
 
 Toxic documents go; passages and line chunks that repeat are cut from all texts but the first; of
-each group of near-duplicates (five-word shingles, similarity 0.8) the smallest id stays; documents
+each group of near-duplicates (found by the anchors of SimHash, and by further signatures where they differ in more
+bits; decided on five-word shingles at a similarity of 0.8) the smallest id stays; documents
 that hold a benchmark item go; the rest is packed into sequences. Every stage but the last returns
 the columns of ``documents``. A stage's result is written as Parquet in the folder that the cluster
 shares and read back for the next one, so a lost executor costs at most the current stage. A stage's

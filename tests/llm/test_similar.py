@@ -216,3 +216,19 @@ def test_ties_of_keys_that_go_on_in_further_batches(monkeypatch):
     want = closed(pairs(lambda k, a, b: of[k, a] == of[k, b]))
     assert all(closed(parts(cut, 1 << 14)) == want for cut in (1, 7, 64, 1000))
     assert all(closed(parts(cut, 30)) == closed(pairs(lambda k, a, b: of[k, a] == of[k, b] or sizes[k] > 30 + cut)) or cut > 30 for cut in (1, 7))
+
+
+def test_pairs_of_near_fingerprints_come_by_the_anchors_alone(spark, monkeypatch):
+    from thoughtloom.llm.simhash import THRESHOLD, fingerprints
+
+    rng = np.random.default_rng(31)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, n)) for n in (1500, 1500, 1500, 1500, 60, 60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10 + i, edited(rng, t, 1)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fp = {r.doc_id: r.fp & (2**64 - 1) for r in fingerprints(docs).collect()}
+    near = {i for i in range(6) if (fp[i] ^ fp[10 + i]).bit_count() <= THRESHOLD}
+    assert near and {4, 5} - near
+    assert dict(run(spark, rows)) == dict(zip([i for i, _ in rows], brute(rows)))
+    monkeypatch.setattr(similar, "_anchored", lambda prints: spark.createDataFrame([], "a long, b long"))
+    without = dict(run(spark, rows))
+    assert {i for i in range(6) if without[10 + i] == 10 + i} == near | {i for i in range(6) if brute(rows)[6 + i] != i}

@@ -17,7 +17,9 @@ each of SKETCHED minima over the shingles. A pair at the threshold differs in mo
 a probability under 1e-10, another pair of texts hardly ever passes, so that texts which merely share a
 shingle do not hang together. Of the pairs that pass, ties that keep them together go on. A signature of more than
 ``COMPARED`` texts leaves a star of ties without comparison, and where a task sees more than CROWD texts of
-one, it ties them under keys of their own, so that a hot signature is spread. Texts that hang together
+one, it ties them under keys of their own, so that a hot signature is spread. Ties come by two ways. Texts whose SimHash fingerprints (of the same shingles) differ in at most THRESHOLD
+bits meet at the anchors of ``simhash``, and by these alone: a tie by signatures whose ends are that near is dropped.
+Pairs at a similarity of 0.8 mostly differ in more bits, some ten of 64, and are tied by the signatures. Texts that hang together
 by ties are candidates of each other. They are verified in units of at most ``UNIT_CHARS`` characters, each
 in one task: a search walks from text to text over all pairs that share a prefix shingle, and each pair
 is decided on its shingle sets. Candidates that are too many for a unit are split into size classes and
@@ -43,6 +45,7 @@ from pyspark.sql import functions as F
 from . import wordhash as wh
 from .common import checkpointed, fresh, sieve, sifted
 from .components import connected_components
+from .simhash import THRESHOLD, fingerprints, linked
 
 #: Sets of so many shingles or more are met by parts, smaller ones by prefixes.
 LIMIT = 100
@@ -423,6 +426,22 @@ def _second(text: Column) -> Column:
     return F.xxhash64(F.lit("second"), F.reverse(_content(text)))
 
 
+def _anchored(prints: DataFrame) -> DataFrame:
+    """(a, b): ties that keep together all nodes whose fingerprints (node, fp) are linked by the anchors of SimHash."""
+    heads = checkpointed(prints.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")))
+    equal = prints.join(heads.where("n > 1"), "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    head = lambda end: heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_head"))
+    near = linked(heads.select("fp")).join(head("a"), "a").join(head("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    return equal.unionByName(near)
+
+
+def _far(ties: DataFrame, prints: DataFrame) -> DataFrame:
+    """The ``ties`` (a, b) whose fingerprints differ in more bits than those that meet at anchors."""
+    of = lambda end: prints.select(F.col("node").alias(end), F.col("fp").alias(f"{end}_fp"))
+    told = ties.distinct().join(of("a"), "a").join(of("b"), "b")
+    return told.where(F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) > THRESHOLD).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(key, node, other, component_id) of each row; component_id is the smallest key of its group.
 
@@ -439,7 +458,8 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", wid
     often[told["bucket"].to_numpy()] = told["n"].to_numpy()
     spread = rows.mapInArrow(_spread(width, similarity, spark.sparkContext.broadcast(often)), "key long, node long, low long, high long")
     stars = spread.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars(similarity), "a long, b long")
-    loose = connected_components(stars).withColumnRenamed("root", "loose").join(nodes.where("clear"), "node")
+    prints = checkpointed(fingerprints(rows, "text", "node", width).groupBy("node").agg(F.min("fp").alias("fp")))
+    loose = connected_components(_anchored(prints).unionByName(_far(stars, prints))).withColumnRenamed("root", "loose").join(nodes.where("clear"), "node")
     loose = checkpointed(loose.select("loose", "node", "least", "chars"))
     # One row of each candidate: that of its least id.
     chosen = lambda node, least: F.xxhash64(node, least)
