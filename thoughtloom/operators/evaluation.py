@@ -8,9 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .graph import HOPS, outgoing
+from .graph import stored
 from .hygiene import ratio_candidates
-from .retrieval import SEEDS, concept_text, tokens
 
 
 def _first_similar(threshold: float):
@@ -66,23 +65,49 @@ def relationship_scores(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return rows.select(share("matched", "expected").alias("recall"), share("right", "matched").alias("type_accuracy"), "matched", "expected")
 
 
+def _own_tags(concepts: DataFrame, key: str = "slug", tags: str = "tags") -> DataFrame:
+    return concepts.groupBy(F.col(key).alias("key")).agg(F.array_distinct(F.flatten(F.collect_list(tags))).alias("own"))
+
+
 def judgments(concepts: DataFrame, key: str = "slug", tags: str = "tags") -> DataFrame:
     """(query, relevant): concepts that share a tag.
 
     A pair stands under the least tag that both have, so pairs need not be made distinct, and are not moved.
     """
-    every = F.array_distinct(F.flatten(F.collect_list(tags)))
-    own = concepts.groupBy(F.col(key).alias("query")).agg(every.alias("own")).select("query", "own", F.explode("own").alias("tag"))
+    own = _own_tags(concepts, key, tags).select(F.col("key").alias("query"), "own", F.explode("own").alias("tag"))
     other = own.select(F.col("query").alias("relevant"), F.col("own").alias("others"), "tag")
     return own.join(other, "tag").where((F.col("query") != F.col("relevant")) & (F.array_min(F.array_intersect("own", "others")) == F.col("tag"))).select("query", "relevant")
 
 
 def recall_at_k(relevant: DataFrame, retrieved: DataFrame, k: int) -> DataFrame:
     """(query, recall) of ranked (query, item, rank); 0 for a query with nothing relevant."""
-    hits = retrieved.where(F.col("rank") <= k).join(relevant.select("query", F.col("relevant").alias("item")), ["query", "item"]).groupBy("query").agg(F.count("*").alias("hits"))
+    hits = retrieved.where(F.col("rank") <= k).join(relevant.select("query", F.col("relevant").alias("item")), ["query", "item"])
     sizes = relevant.groupBy("query").agg(F.count("*").alias("n"))
-    queries = retrieved.select("query").unionByName(relevant.select("query")).distinct()
-    return queries.join(sizes, "query", "left").join(hits, "query", "left").select("query", F.coalesce(F.coalesce("hits", F.lit(0)) / F.col("n"), F.lit(0.0)).alias("recall"))
+    return _recall(retrieved.select("query").unionByName(relevant.select("query")), hits, sizes)
+
+
+def _recall(queries: DataFrame, hits: DataFrame, sizes: DataFrame) -> DataFrame:
+    found = queries.distinct().join(sizes, "query", "left").join(hits.groupBy("query").agg(F.count("*").alias("hits")), "query", "left")
+    return found.select("query", F.coalesce(F.coalesce("hits", F.lit(0)) / F.col("n"), F.lit(0.0)).alias("recall"))
+
+
+def judged(pairs: DataFrame, concepts: DataFrame) -> DataFrame:
+    """The ``pairs`` (query, item, ...) that are among the ``judgments`` of ``concepts``, which are not made for it."""
+    tags = stored(_own_tags(concepts))  # a plain side of both joins, so an item of very many queries can be split
+    for end in ("query", "item"):
+        pairs = pairs.join(tags.select(F.col("key").alias(end), F.col("own").alias(f"_{end}")), end)
+    return pairs.where((F.col("query") != F.col("item")) & F.arrays_overlap("_query", "_item")).drop("_query", "_item")
+
+
+def judged_sizes(concepts: DataFrame) -> DataFrame:
+    """(query, n): how many are relevant for each query that has any, counted where they meet."""
+    return judgments(concepts).groupBy("query").agg(F.count("*").alias("n"))
+
+
+def recall_by_tags(concepts: DataFrame, retrieved: DataFrame, k: int) -> DataFrame:
+    """``recall_at_k`` by the ``judgments`` of ``concepts``: of those only numbers are moved, and tags decide on what is retrieved."""
+    best, sizes = stored(retrieved.where(F.col("rank") <= k)), stored(judged_sizes(concepts))
+    return _recall(best.select("query").unionByName(sizes.select("query")), judged(best.select("query", "item"), concepts), sizes)
 
 
 def weight_grid(spark: SparkSession, step: float = 0.1) -> DataFrame:
@@ -92,47 +117,17 @@ def weight_grid(spark: SparkSession, step: float = 0.1) -> DataFrame:
     return spark.createDataFrame(rows, "w_keyword double, w_semantic double, w_graph double")
 
 
-def _share_of_best(rows: DataFrame, raw: str, name: str) -> DataFrame:
-    best = F.max(raw).over(Window.partitionBy("query"))
-    return rows.withColumn("best", best).where("best > 0").select("query", "item", (F.col(raw) / F.col("best")).alias(name))
-
-
-def component_scores(concepts: DataFrame, edges: DataFrame, seeds: int = SEEDS) -> DataFrame:
-    """(query, item, keyword, semantic, graph): each concept's name and tags asked of all concepts at once.
-
-    Words bring queries and concepts together; each query's walk starts from its own best hits. There
-    are no vectors here, so the semantic part is 0.
-    """
-    asked = concepts.select(F.col("slug").alias("query"), F.explode(tokens(F.concat_ws(" ", "name", F.array_join("tags", " ")))).alias("t")).groupBy("query", "t").agg(F.count("*").alias("times"))
-    held = concepts.select(F.col("slug").alias("item"), tokens(concept_text(concepts)).alias("ts"))
-    tf = held.select("item", F.size("ts").alias("len"), F.explode("ts").alias("t")).groupBy("item", "len", "t").agg(F.count("*").alias("tf"))
-    total = held.agg(F.count("*").alias("n"))
-    df = tf.groupBy("t").agg(F.count("*").alias("df")).join(F.broadcast(total))  # one row
-    idf = df.select("t", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    raw = asked.join(idf, "t").join(tf, "t").groupBy("query", "item").agg(F.sum(F.col("tf") / F.col("len") * F.col("idf") * F.col("times")).alias("raw"))
-    keyword = _share_of_best(raw, "raw", "keyword").where("keyword > 0")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("keyword", 9)), "item"))
-    starts = keyword.withColumn("rank", rank).where(F.col("rank") <= seeds).select("query", F.col("item").alias("seed"), F.col("keyword").alias("sigma"))
-    out = outgoing(edges)
-    one = starts.join(out, F.col("seed") == F.col("source")).where("target <> seed").select("query", "seed", "sigma", F.col("target").alias("mid"), "confidence")
-    two = one.select("query", "seed", "sigma", "mid").join(out, F.col("mid") == F.col("source")).where("target <> seed and target <> mid")
-    parts = (
-        starts.select("query", F.col("seed").alias("item"), (F.col("sigma") * HOPS[0]).alias("s"))
-        .unionByName(one.select("query", F.col("mid").alias("item"), (F.col("sigma") * F.col("confidence") * HOPS[1]).alias("s")))
-        .unionByName(two.select("query", F.col("target").alias("item"), (F.col("sigma") * F.col("confidence") * HOPS[2]).alias("s")))
-    )
-    walked = _share_of_best(parts.groupBy("query", "item").agg(F.sum("s").alias("raw")), "raw", "graph")
-    both = keyword.join(walked, ["query", "item"], "full").na.fill(0.0, ["keyword", "graph"])
-    return both.select("query", "item", F.round("keyword", 9).alias("keyword"), F.lit(0.0).alias("semantic"), F.round("graph", 9).alias("graph"))
+def ranked(scores: DataFrame, weights: tuple[float, float, float]) -> DataFrame:
+    """(query, item, rank) with the given weights, each query's own concept left out."""
+    w = dict(zip(("keyword", "semantic", "graph"), weights))
+    total = F.round(sum((F.col(c) * x for c, x in w.items()), F.lit(0.0)), 9)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("total"), "item"))
+    return scores.withColumn("total", total).where("total > 0 and item <> query").select("query", "item", rank.alias("rank"))
 
 
 def evaluate_weights(scores: DataFrame, relevant: DataFrame, weights: tuple[float, float, float], k: int) -> DataFrame:
     """(query, recall) of each query with the given weights, its own concept left out."""
-    w = dict(zip(("keyword", "semantic", "graph"), weights))
-    total = F.round(sum((F.col(c) * x for c, x in w.items()), F.lit(0.0)), 9)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("total"), "item"))
-    ranked = scores.withColumn("total", total).where("total > 0 and item <> query").withColumn("rank", rank)
-    return recall_at_k(relevant, ranked.select("query", "item", "rank"), k)
+    return recall_at_k(relevant, ranked(scores, weights), k)
 
 
 def _contenders(scores: DataFrame, k: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import asking as Q
 from ..operators import cells as W
 from ..operators import concepts as C
 from ..operators import dedup as D
@@ -974,7 +975,7 @@ SELECT q.query, round(coalesce(coalesce(h.hits, 0) / s.n, 0.0), 9) AS recall FRO
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     """How many of the concepts that share a tag are among the five best links."""
     concepts = G.stored(B.concepts(spark, d))
-    out = E.recall_at_k(E.judgments(concepts), _ranked_links(concepts), 5)
+    out = E.recall_by_tags(concepts, _ranked_links(concepts), 5)
     return out.select("query", F.round("recall", 9).alias("recall"))
 
 
@@ -993,9 +994,9 @@ cwalk AS (SELECT query, item, raw / max(raw) OVER (PARTITION BY query) AS graph
 parts AS (SELECT query, item, round(coalesce(keyword, 0), 9) AS keyword, 0.0 AS semantic, round(coalesce(graph, 0), 9) AS graph FROM ckw FULL JOIN cwalk USING (query, item))"""
 
 
-def _component_scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _best_scores(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame]:
     nodes, edges = _graph(spark, d)
-    return G.stored(E.component_scores(nodes, edges)), nodes
+    return Q.best_scores(nodes, edges, k), nodes
 
 
 @query(f"""{_GRAPH}, {_RELEVANT}, {_COMPONENTS},
@@ -1004,8 +1005,8 @@ h AS (SELECT r.query, count(*) AS hits FROM r JOIN rel ON rel.query = r.query AN
 SELECT q.query, round(coalesce(coalesce(h.hits, 0) / s.n, 0.0), 6) AS recall FROM (SELECT query FROM r UNION SELECT query FROM rel) q LEFT JOIN sizes s USING (query) LEFT JOIN h USING (query)""")
 def query_recall(spark: SparkSession, d: str) -> DataFrame:
     """Each concept's name and tags as a query: how many of those that share a tag are among the five best."""
-    scores, nodes = _component_scores(spark, d)
-    return E.evaluate_weights(scores, E.judgments(nodes), R.WEIGHTS["no_vectors"], 5).select("query", F.round("recall", 6).alias("recall"))
+    scores, nodes = _best_scores(spark, d, 5)
+    return E.recall_by_tags(nodes, E.ranked(scores, R.WEIGHTS["no_vectors"]), 5).select("query", F.round("recall", 6).alias("recall"))
 
 
 @query(f"""{_GRAPH}, {_RELEVANT}, {_COMPONENTS},
@@ -1017,7 +1018,7 @@ m AS (SELECT w_keyword, w_semantic, w_graph, sum(hits / n) AS s FROM h JOIN size
 SELECT w_keyword, w_semantic, w_graph, round(coalesce(s, 0.0) / (SELECT count(DISTINCT query) FROM parts), 6) AS recall FROM grid LEFT JOIN m USING (w_keyword, w_semantic, w_graph)""")
 def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Recall over the grid of weights; as no vectors are asked here, the semantic weight only takes from the others."""
-    scores, nodes = _component_scores(spark, d)
+    scores, nodes = _best_scores(spark, d, 5)
     return E.sweep_weights(scores, E.judgments(nodes), E.weight_grid(spark), 5)
 
 
