@@ -86,3 +86,26 @@ def test_recall_by_tags_is_recall_by_judgments(spark):
     for k in (1, 3, 5):
         rows = lambda df: sorted(map(tuple, df.select("query", F.round("recall", 9)).collect()))
         assert rows(E.recall_by_tags(c, found, k)) == rows(E.recall_at_k(E.judgments(c), found, k))
+
+
+def test_a_sweep_moves_a_row_for_each_winner_and_not_for_each_weight(spark, monkeypatch):
+    concepts, links = _made(40)
+    c = spark.createDataFrame(concepts, "slug string, name string, definition string, tags array<string>")
+    e = spark.createDataFrame(links, "source string, target string, type string, confidence double").where("target < 'c40'")
+    scores, grid, moved = Q.best_scores(c, e, 3).localCheckpoint(), E.weight_grid(spark), []
+    judged = E.judged
+    monkeypatch.setattr(E, "judged", lambda pairs, by: judged(pairs, by) if moved.append((pairs.count(), pairs.select("query", "item").distinct().count())) is None else None)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = rows(E.sweep_by_tags(scores, c, grid, 3))
+    assert got == rows(E.sweep_weights(scores, E.judgments(c), grid, 3)) and len(got) == 66
+    assert moved[0][0] == moved[0][1] <= scores.count()
+    relevant = {tuple(r) for r in E.judgments(c).collect()}
+    plain = _plain(concepts, [x for x in links if x[1] < "c40"], 10)
+    queries = {q for q, _ in plain}
+    for wk, ws, wg, recall in got:
+        total = 0.0
+        for q in queries:
+            ranked = sorted((-round(k * wk + g * wg, 9), i) for (p, i), (k, g) in plain.items() if p == q and i != q and round(k * wk + g * wg, 9) > 0)[:3]
+            n = sum(p == q for p, _ in relevant)
+            total += sum((q, i) in relevant for _, i in ranked) / n if n else 0.0
+        assert recall == pytest.approx(total / len(queries), abs=2e-6), (wk, ws, wg)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -144,21 +145,58 @@ def _contenders(scores: DataFrame, k: int) -> DataFrame:
     return rows.where(shares >= 1 - 1e-6).select(*scores.columns)
 
 
+def _winners(grid: list[tuple[float, float, float]], k: int):
+    """(query, item, at): the items that are among a query's k best, with the places of the weights for which they are."""
+    w = np.array(grid).reshape(-1, 3).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: tuple[list, list, list] = ([], [], [])
+            rows = batch.column("rows")
+            for i, q in enumerate(batch.column("query").to_pylist()):
+                own = rows[i].values  # in the order of the items, which decides between equals
+                keyword, semantic, graph = (own.field(c).to_numpy()[:, None] for c in ("keyword", "semantic", "graph"))
+                totals = np.floor((keyword * w[0] + semantic * w[1] + graph * w[2]) * 1e9 + 0.5)
+                best = np.argsort(-totals, axis=0, kind="stable")[:k]
+                rank, at = np.nonzero(np.take_along_axis(totals, best, 0) > 0)
+                won: dict[int, list[int]] = {}
+                for item, place in zip(best[rank, at].tolist(), at.tolist()):
+                    won.setdefault(item, []).append(place)
+                found[0].extend([q] * len(won))
+                found[1].extend(own.field("item").take(pa.array(list(won), pa.int64())).to_pylist())
+                found[2].extend(won.values())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(found, (pa.string(), pa.string(), pa.list_(pa.int32())))], names=["query", "item", "at"])
+
+    return run
+
+
+def _sweep(scores: DataFrame, grid: DataFrame, k: int, hits, sizes: DataFrame) -> DataFrame:
+    """The means over all queries; each query's scores are ranked for all weights in one place, and only its winners are moved."""
+    spark, weights = grid.sparkSession, ["w_keyword", "w_semantic", "w_graph"]
+    points = [tuple(map(float, r)) for r in grid.select(*weights).collect()]  # of fixed size
+    row = F.struct("item", *(F.col(c).cast("double").alias(c) for c in ("keyword", "semantic", "graph")))
+    rows = scores.where("item <> query").groupBy("query").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    won = hits(rows.mapInArrow(_winners(points, k), "query string, item string, at array<int>")).join(sizes, "query")
+    mean = won.select("query", "n", F.explode("at").alias("at")).groupBy("at", "query", "n").agg(F.count("*").alias("hits")).groupBy("at").agg(F.sum(F.col("hits") / F.col("n")).alias("s"))
+    queries = scores.select("query").distinct().agg(F.count("*").alias("queries"))
+    numbers = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "at int, w_keyword double, w_semantic double, w_graph double")
+    return numbers.join(mean, "at", "left").join(F.broadcast(queries)).select(*weights, F.round(F.coalesce("s", F.lit(0.0)) / F.greatest("queries", F.lit(1)), 6).alias("recall"))  # one row
+
+
 def sweep_weights(scores: DataFrame, relevant: DataFrame, grid: DataFrame, k: int) -> DataFrame:
     """(weights, mean recall at k) of component scores (query, item, keyword, semantic, graph).
 
     The components are computed once; the grid, of fixed size, is sent to every task and meets only
     those scores that can be among the k best for some weights.
     """
-    weighted = _contenders(scores, k).join(F.broadcast(grid)).withColumn("total", F.round(F.col("keyword") * F.col("w_keyword") + F.col("semantic") * F.col("w_semantic") + F.col("graph") * F.col("w_graph"), 9)).where("total > 0")
-    weights = ["w_keyword", "w_semantic", "w_graph"]
-    rank = F.row_number().over(Window.partitionBy(*weights, "query").orderBy(F.desc("total"), "item"))
-    best = weighted.withColumn("rank", rank).where(F.col("rank") <= k)
-    hits = best.join(relevant.select("query", F.col("relevant").alias("item")), ["query", "item"]).groupBy(*weights, "query").agg(F.count("*").alias("hits"))
-    sizes = relevant.groupBy("query").agg(F.count("*").alias("n"))
-    queries = scores.select("query").distinct().agg(F.count("*").alias("queries"))
-    mean = hits.join(sizes, "query").groupBy(*weights).agg(F.sum(F.col("hits") / F.col("n")).alias("s"))
-    return grid.join(mean, weights, "left").join(F.broadcast(queries)).select(*weights, F.round(F.coalesce("s", F.lit(0.0)) / F.greatest("queries", F.lit(1)), 6).alias("recall"))
+    hits = lambda won: won.join(relevant.select("query", F.col("relevant").alias("item")), ["query", "item"])
+    queries = scores.select("query", F.col("query").alias("item"), *(F.lit(0.0).alias(c) for c in ("keyword", "semantic", "graph"))).distinct()
+    return _sweep(_contenders(scores, k).unionByName(queries), grid, k, hits, relevant.groupBy("query").agg(F.count("*").alias("n")))
+
+
+def sweep_by_tags(scores: DataFrame, concepts: DataFrame, grid: DataFrame, k: int) -> DataFrame:
+    """``sweep_weights`` of ``best_scores`` by the ``judgments`` of ``concepts``: of those only numbers are moved, and tags decide on the winners."""
+    return _sweep(stored(scores), grid, k, lambda won: judged(stored(won), concepts), judged_sizes(concepts))
 
 
 def report(scores: DataFrame) -> Column:

@@ -1019,7 +1019,7 @@ SELECT w_keyword, w_semantic, w_graph, round(coalesce(s, 0.0) / (SELECT count(DI
 def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Recall over the grid of weights; as no vectors are asked here, the semantic weight only takes from the others."""
     scores, nodes = _best_scores(spark, d, 5)
-    return E.sweep_weights(scores, E.judgments(nodes), E.weight_grid(spark), 5)
+    return E.sweep_by_tags(scores, nodes, E.weight_grid(spark), 5)
 
 
 def _expected(spark: SparkSession, d: str) -> DataFrame:
